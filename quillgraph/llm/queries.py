@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import lines, mixing, simhash
+from quillgraph.llm import lines, mixing, pieces, simhash, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,22 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document under a byte-level BPE."""
+    out = tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best segmentation of each document, the scores of the four best, and whether
+    decoding gives the text back (U+2581 in a text comes back as a space)."""
+    file = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pieces.decode(pieces.encode(docs, file, keep=("doc_id", "text")), file)
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
+    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.col("nbest.score").alias("nbest_scores"), same.alias("round_trip"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of each document."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -56,7 +73,7 @@ FROM judged GROUP BY doc_id
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op7_simhash, op9_lines)}
+    return {f.__name__: f for f in (op1_mixing, op3_token_counts, op5_sentencepiece, op7_simhash, op9_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
