@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import lines, mixing, pieces, simhash, tokens
+from quillgraph.llm import lines, mixing, pieces, simhash, tokens, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WARC records written for each page and read back."""
+    out = warc.read(warc.write(table(spark, sf_dir, "pages")))
+    return out.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document under a byte-level BPE."""
     out = tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -39,6 +45,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.col("nbest.score").alias("nbest_scores"), same.alias("round_trip"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best partners of every fiftieth vector by integer inner product."""
+    out = topk.top_k(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of each document."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -51,6 +63,29 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (
+  SELECT payload_digest, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN p.page_id < g.first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id < g.first THEN g.first END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)
+"""
+
+OP6_SQL = """
+WITH good AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM good q JOIN good c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 OP9_SQL = r"""
 WITH split AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -73,8 +108,8 @@ FROM judged GROUP BY doc_id
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op3_token_counts, op5_sentencepiece, op7_simhash, op9_lines)}
+    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_token_counts, op5_sentencepiece, op6_topk, op7_simhash, op9_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_lines": OP9_SQL}
+    return {"op2_warc": OP2_SQL, "op6_topk": OP6_SQL, "op9_lines": OP9_SQL}
