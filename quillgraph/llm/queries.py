@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import lines, mixing, pieces, simhash, tokens, topk, warc
+from quillgraph.llm import covertree, lines, mixing, pieces, simhash, tokens, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,12 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of each vector among the vectors of its label."""
+    out = covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 OP2_SQL = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
@@ -107,9 +113,29 @@ FROM judged GROUP BY doc_id
 """
 
 
+OP10_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reached(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reached GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, least(e.vec_id, coalesce(l.b, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(l.b, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN least l ON l.a = e.vec_id LEFT JOIN counts c ON c.a = e.vec_id
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_token_counts, op5_sentencepiece, op6_topk, op7_simhash, op9_lines)}
+    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_token_counts, op5_sentencepiece, op6_topk, op7_simhash, op9_lines, op10_covertree)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op6_topk": OP6_SQL, "op9_lines": OP9_SQL}
+    return {"op2_warc": OP2_SQL, "op6_topk": OP6_SQL, "op9_lines": OP9_SQL, "op10_covertree": OP10_SQL}
