@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import covertree, lines, mixing, pieces, simhash, tokens, topk, warc
+from quillgraph.llm import covertree, lines, mixing, pieces, simhash, suffixes, tokens, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document removed as repeats of 100 bytes, and a digest of the rest."""
+    out = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["begin"])
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines dropped from each document, and a digest of what is left."""
     out = lines.dedup_lines(table(spark, sf_dir, "documents"))
@@ -92,6 +99,34 @@ ranked AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+OP8_SQL = """
+WITH h AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (
+  SELECT doc_id, p, md5(substr(x, 2 * p + 1, 200)) AS s
+  FROM (SELECT doc_id, x, unnest(range(0, greatest(n - 99, 0))) AS p FROM h)),
+r AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+g AS (
+  SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run
+  FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM r)),
+spans AS (
+  SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM g GROUP BY doc_id, run),
+sums AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed FROM spans GROUP BY doc_id),
+cuts AS (
+  SELECT doc_id, 0 AS a FROM h UNION ALL SELECT doc_id, b FROM spans),
+kept AS (
+  SELECT c.doc_id, string_agg(substr(x, 2 * c.a + 1, 2 * (coalesce(e.a, n) - c.a)), '' ORDER BY c.a) AS y
+  FROM (SELECT doc_id, a, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS k FROM cuts) c
+  JOIN h USING (doc_id)
+  LEFT JOIN (SELECT doc_id, a, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS k FROM spans) e ON e.doc_id = c.doc_id AND e.k = c.k
+  GROUP BY c.doc_id)
+SELECT h.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(y)) AS kept_sha256
+FROM h JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
+
 OP9_SQL = r"""
 WITH split AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -134,8 +169,8 @@ FROM embeddings e LEFT JOIN least l ON l.a = e.vec_id LEFT JOIN counts c ON c.a
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_token_counts, op5_sentencepiece, op6_topk, op7_simhash, op9_lines, op10_covertree)}
+    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_token_counts, op5_sentencepiece, op6_topk, op7_simhash, op8_suffixes, op9_lines, op10_covertree)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op6_topk": OP6_SQL, "op9_lines": OP9_SQL, "op10_covertree": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op6_topk": OP6_SQL, "op8_suffixes": OP8_SQL, "op9_lines": OP9_SQL, "op10_covertree": OP10_SQL}
