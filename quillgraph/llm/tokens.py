@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -19,24 +20,35 @@ BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 SETTLED = "՘"
 
 
+def added_tokens(spec: str) -> list[str]:
+    """The added tokens of a ``tokenizers`` file, longest first; an error if its text is
+    not split as PreTokenizer does."""
+    parts = json.loads(spec)
+    pre = parts["pre_tokenizer"] or {}
+    if parts["normalizer"] or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre["add_prefix_space"]:
+        raise ValueError("only byte-level files without normalizer and prefix space are supported")
+    if any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in parts["added_tokens"]):
+        raise ValueError("added tokens that take in their surroundings are not supported")
+    return sorted((a["content"] for a in parts["added_tokens"]), key=lambda a: (-len(a), a))
+
+
+def tokenizer(spec: str):
+    """The library's tokenizer, on one thread: the tasks are the parallelism."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(spec)
+
+
 class PreTokenizer:
     """Splits whole texts as the tokenizer of a ``tokenizers`` file does before its merges."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, added: list[str]):
         import regex
-        from tokenizers import Tokenizer
-
-        parts = json.loads(spec)
-        pre = parts["pre_tokenizer"] or {}
-        if parts["normalizer"] or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre["add_prefix_space"]:
-            raise ValueError("only byte-level files without normalizer and prefix space are supported")
-        added = [a for a in parts["added_tokens"]]
-        if any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in added):
-            raise ValueError("added tokens that take in their surroundings are not supported")
-        self.added = [a["content"] for a in sorted(added, key=lambda a: -len(a["content"]))]
-        self.cut = regex.compile("|".join(map(regex.escape, self.added))) if self.added else None
+
+        self.spec, self.added, self.library = spec, added, None
+        self.cut = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.find = regex.compile(BYTE_LEVEL).findall
-        self.tokenizer = Tokenizer.from_str(spec)
 
     def __call__(self, text: str) -> tuple[list[str], int]:
         """The pre-tokens of a text and how many added tokens stand in it."""
@@ -48,33 +60,29 @@ class PreTokenizer:
     def _split(self, text: str) -> list[str]:
         if text.isascii() or max(text) < SETTLED:
             return self.find(text)
-        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        self.library = self.library or tokenizer(self.spec).pre_tokenizer
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
 
 
 def _pieces(spec: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Adds the number of pieces to (piece, n) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(spec)
+        encode = tokenizer(spec).encode
         for batch in batches:
-            counts: list[int] = []
-            words = batch.column(0).to_pylist()
-            for i in range(0, len(words), 2000):
-                counts += [len(e.ids) for e in tokenizer.encode_batch(words[i : i + 2000], add_special_tokens=False)]
+            counts = [len(encode(word, add_special_tokens=False).ids) for word in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["piece", "n", "pieces"])
 
     return run
 
 
-def count_tokens(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, hot_pieces: int = 262_144, sample_docs: int = 20_000, hot_chars: int = 64) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, hot_pieces: int = 131_072, sample_docs: int = 20_000, hot_chars: int = 64) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit): the tokens of each whole text, as the
     library counts them without added begin or end tokens.
 
     The most frequent pre-tokens of about ``sample_docs`` documents, at most
     ``hot_pieces`` of at most ``hot_chars`` characters, are counted once and go
-    out by broadcast (some 20 MB at most). All other pre-tokens of every document
+    out by broadcast (some 10 MB at most). All other pre-tokens of every document
     are counted once each after a distinct, and joined to the documents'
     frequencies. The sample decides only by which of the two ways a pre-token
     is counted, never the result. Token ids are not kept anywhere.
@@ -85,17 +93,18 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id"
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     spec = open(tokenizer_file, encoding="utf-8").read()
+    added = added_tokens(spec)
     work = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     n_docs = docs.count()
     share = min(1.0, sample_docs / max(1, n_docs))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = PreTokenizer(spec), Counter()
-        for batch in batches:
+        split, seen = PreTokenizer(spec, added), Counter()
+        for batch in _slices(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(split(text)[0])
-            if len(seen) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["piece", "n"])
+            if len(seen) > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["piece", "n"])
                 seen = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["piece", "n"])
 
@@ -105,8 +114,8 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id"
     known = spark.sparkContext.broadcast({r["piece"]: r["pieces"] for r in hot.select("piece", "pieces").toLocalIterator()})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, pieces = PreTokenizer(spec), known.value
-        for batch in batches:
+        split, pieces = PreTokenizer(spec, added), known.value
+        for batch in _slices(batches):
             n_bytes, done, rare = [], [], []
             for text in batch.column(1).to_pylist():
                 words, n = split(text)
@@ -135,6 +144,12 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id"
     return first.select("row", "id", "n_bytes", "done").join(sums, "row", "left").select("id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def _running(lengths) -> Iterator[int]:
     total = 0
     for n in lengths:
