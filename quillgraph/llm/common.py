@@ -18,6 +18,13 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HOT_SHARE = 0.001
 
 
+def long_texts(spark: SparkSession) -> None:
+    """Fewer rows to an Arrow batch than the session's default, as rows are whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 class Scratch:
     """Tables written to the shared folder that ``spark.checkpoint.dir`` names.
 
@@ -30,6 +37,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        long_texts(spark)
         base = spark.conf.get("spark.checkpoint.dir", "") or ""
         if not base:
             if not spark.sparkContext.master.startswith("local"):

@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgraph.llm.common import long_texts
+
 SPACE = "▁"
 #: Added to the lowest score for a character without a piece (a fixed value of the format).
 UNKNOWN_PENALTY = -10.0
@@ -153,37 +156,36 @@ class Segmenter:
         self.starts, self.lengths, self.best, self.gaps, self.flat = (np.zeros(0, np.int64) for _ in range(5))
         self.best, self.gaps = self.best.astype(float), self.gaps.astype(float)
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, chunks: Iterable[str]) -> None:
         """Works out chunks not yet known."""
-        new = [c for c in dict.fromkeys(chunks) if c not in self.known]
+        known = self.known
+        new = [c for c in dict.fromkeys(chunks) if c not in known]
         if not new:
             return
-        for c in new:
-            self.known[c] = len(self.known)
+        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
         self.names += new
-        groups: dict[int, list[int]] = {}
-        for i, c in enumerate(new):
-            groups.setdefault(len(c), []).append(i)
-        ids: list = [None] * len(new)
-        best, gaps = np.zeros(len(new)), np.zeros(len(new))
-        for length, rows in groups.items():
-            if length > 48 or length * len(rows) < 64:
-                for i in rows:
+        best, gaps, lengths = np.zeros(len(new)), np.zeros(len(new)), np.zeros(len(new), np.int64)
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        order, flats = np.argsort(sizes, kind="stable"), []
+        for rows in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+            size = int(sizes[rows[0]])
+            if size > 48 or size * len(rows) < 64:
+                for i in rows.tolist():
                     top = n_best(self.model, new[i], 2)
-                    ids[i], best[i], gaps[i] = top[0][1], top[0][0], top[0][0] - top[1][0] if len(top) > 1 else np.inf
+                    best[i], gaps[i], lengths[i] = top[0][0], top[0][0] - top[1][0] if len(top) > 1 else np.inf, len(top[0][1])
+                    flats.append(np.array(top[0][1], np.int64))
             else:
-                for a in range(0, len(rows), 20_000):
-                    part = rows[a : a + 20_000]
-                    paths, best[part], gaps[part] = self._many([new[i] for i in part], length)
-                    for i, path in zip(part, paths, strict=True):
-                        ids[i] = path
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, np.fromiter((k for path in ids for k in path), np.int64, int(lengths.sum()))])
+                for at in range(0, len(rows), 20_000):
+                    part = rows[at : at + 20_000]
+                    flat, lengths[part], best[part], gaps[part] = self._many([new[i] for i in part.tolist()], size)
+                    flats.append(flat)
+        starts = np.zeros(len(new), np.int64)
+        starts[order] = len(self.flat) + np.cumsum(lengths[order]) - lengths[order]
+        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, *flats])
         self.best, self.gaps = np.concatenate([self.best, best]), np.concatenate([self.gaps, gaps])
 
-    def _many(self, chunks: list[str], length: int) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+    def _many(self, chunks: list[str], length: int) -> tuple[np.ndarray, ...]:
         w, codes = len(chunks), np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, length).T.astype(np.uint64) + np.uint64(1)
         top = min(length, self.model.longest)
         score, piece, h = {}, {}, np.zeros((length, w), np.uint64)
@@ -227,16 +229,16 @@ class Segmenter:
             at = at - n
             path.append(np.where(ids == -1, -3 - at, ids))  # -3 - position: spelled out
         second = np.max([np.max(t, axis=0) for t in through.values()], axis=0)
-        out = []
-        for j, row in enumerate(np.array(path[::-1]).T.tolist()):
-            ids = []
-            for k in row:
-                if k >= 0:
-                    ids.append(k)
-                elif k <= -3:
-                    ids += spelled(self.model, chunks[j][-3 - k])
-            out.append(ids)
-        return out, forward[length], np.maximum(forward[length] - second, 0.0)
+        rows = np.array(path[::-1]).T
+        spelt, used = np.flatnonzero((rows <= -3).any(axis=1)), rows != -2
+        lengths, flat = used.sum(axis=1), rows[used]
+        if len(spelt):
+            parts = np.split(flat, np.cumsum(lengths)[:-1])
+            for j in spelt.tolist():
+                parts[j] = np.array([i for k in parts[j].tolist() for i in ([k] if k >= 0 else spelled(self.model, chunks[j][-3 - k]))])
+                lengths[j] = len(parts[j])
+            flat = np.concatenate(parts)
+        return flat, lengths, forward[length], np.maximum(forward[length] - second, 0.0)
 
 
 def combine(options: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -256,7 +258,7 @@ def combine(options: list[list[float]], n: int) -> list[tuple[float, tuple[int,
     return out
 
 
-def encode(docs: DataFrame, model_file: str, *, text_col: str = "text", n: int = 4, scores: str = "auto", keep: tuple[str, ...] = ("doc_id",), cache_chunks: int = 1_000_000) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, *, text_col: str = "text", n: int = 4, scores: str = "auto", keep: tuple[str, ...] = ("doc_id",), cache_chunks: int = 400_000) -> DataFrame:
     """``keep`` columns with the ``n`` best segmentations of each whole text.
 
     Adds ids (array<int>, of the best), score (its sum) and nbest, best first: an
@@ -269,6 +271,7 @@ def encode(docs: DataFrame, model_file: str, *, text_col: str = "text", n: int =
     repeated rows give repeated results. A worker keeps at most about
     ``cache_chunks`` distinct chunks.
     """
+    long_texts(docs.sparkSession)
     model = load(model_file, scores)
     schema = T.StructType([docs.schema[c] for c in keep])
     change = T.StructType().add("chunk", "integer").add("ids", T.ArrayType(T.IntegerType()))
@@ -279,15 +282,16 @@ def encode(docs: DataFrame, model_file: str, *, text_col: str = "text", n: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg, ways = Segmenter(model), {}
         for whole in batches:
-            for at in range(0, len(whole), 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, len(whole), 1000):
+                batch = whole.slice(at, 1000)
                 if len(seg.known) > cache_chunks:
                     seg.forget()
                     ways = {}
                 texts = [model.chunks(normalise(t)) for t in batch.column(len(keep)).to_pylist()]
-                seg.learn([c for t in texts for c in t])
+                seg.learn(chain.from_iterable(texts))
                 ends = np.cumsum([0, *map(len, texts)])
-                index = np.fromiter((seg.known[c] for t in texts for c in t), np.int64, int(ends[-1]))
+                index = np.fromiter(map(seg.known.__getitem__, chain.from_iterable(texts)), np.int64, int(ends[-1]))
+                del texts
                 lengths = seg.lengths[index]
                 stops = np.concatenate(([0], np.cumsum(lengths)))
                 ids = seg.flat[np.repeat(seg.starts[index] - stops[:-1], lengths) + np.arange(stops[-1])]
