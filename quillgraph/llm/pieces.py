@@ -315,7 +315,7 @@ def encode(docs: DataFrame, model_file: str, *, text_col: str = "text", n: int =
                 arrays += [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(sums, pa.float64()), pa.array(nbest, best_type)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "ids", "score", "nbest"])
 
-    return docs.select(*keep, text_col).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
 def _least(gaps: np.ndarray, n: int) -> np.ndarray:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import covertree, lines, mixing, pieces, simhash, suffixes, tokens, topk, warc
+from quillgraph.llm import covertree, lines, mixing, pieces, simhash, suffixes, tokens, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, learnt from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best segmentation of each document, the scores of the four best, and whether
     decoding gives the text back (U+2581 in a text comes back as a space)."""
@@ -169,7 +177,7 @@ FROM embeddings e LEFT JOIN least l ON l.a = e.vec_id LEFT JOIN counts c ON c.a
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_token_counts, op5_sentencepiece, op6_topk, op7_simhash, op8_suffixes, op9_lines, op10_covertree)}
+    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_token_counts, op4_toxicity, op5_sentencepiece, op6_topk, op7_simhash, op8_suffixes, op9_lines, op10_covertree)}
 
 
 def oracle_sql() -> dict[str, str]:
