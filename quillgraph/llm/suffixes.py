@@ -12,7 +12,8 @@ Three things keep this in proportion to the text. Only one position in about
 string of the full length (its anchor); equal strings have equal anchors. The
 anchor stands for all strings that have it, and where the whole context of
 these strings is equal too, they are settled together, without refinement. Only
-buckets that hold several contexts are refined position by position.
+buckets that hold several contexts are refined position by position, and for
+that their contexts, under 2 * length bytes each, are brought to the bucket.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ from pyspark.sql import types as T
 
 from quillgraph.llm.common import Scratch
 
-MEMBER, COVERED, WITNESS, STRING, OPEN, DONE, PENDING = range(7)
+MEMBER, COVERED, CONTEXT, HOT, STRING, OPEN = range(6)
 PIECE = 1 << 20  # starts worked on at a time, so that a text of any length takes bounded memory
-ROWS = "kind byte, k1 long, k2 long, doc long, row long, at long"
-FIELDS = ["kind", "k1", "k2", "doc", "row", "at"]
+LOCAL = 32  # contexts of one bucket that a task sends on; beyond, it names their strings itself
+ROWS = "kind byte, k1 long, k2 long, doc long, row long, at long, bytes binary"
+FIELDS = ["kind", "k1", "k2", "doc", "row", "at", "bytes"]
+BITS = 26  # of the bitmap of texts that a join is about: 8 MB, whatever their number
 
 
 class Names:
@@ -120,10 +123,22 @@ def firsts(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, row: np.ndarray, at:
     return order, np.concatenate(([True], ~same))[: len(order)], np.concatenate(([False], twin))[: len(order)]
 
 
-def _batch(kind, k1, k2, doc, row, at) -> pa.RecordBatch:
+def _batch(kind: int, k1, k2, doc, row, at, data=None) -> pa.RecordBatch:
     n = len(k1)
-    kind = np.full(n, kind, np.int8) if np.isscalar(kind) else kind.astype(np.int8)
-    return pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (k1, k2, doc, row, at))], names=FIELDS)
+    data = pa.nulls(n, pa.binary()) if data is None else pa.array(data, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (k1, k2, doc, row, at)), data], names=FIELDS)
+
+
+def _covered(doc: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """What is covered, as few runs; ends rise with begins in a text."""
+    order = np.lexsort((begin, row, doc))
+    doc, row, begin, end = doc[order], row[order], begin[order], end[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (begin[1:] > end[:-1])
+    first = np.flatnonzero(new)
+    last = np.concatenate((first[1:] - 1, [len(doc) - 1])) if len(doc) else first
+    doc, row, begin, end = doc[first], row[first], begin[first], end[last]
+    return _batch(COVERED, joined(doc.view(np.uint64), row.view(np.uint64)), np.zeros(len(doc), np.int64), doc, row, begin << 31 | (end - begin))
 
 
 def _unique_k1(k1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,9 +150,26 @@ def _unique_k1(k1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[~shared], order[shared]
 
 
-def _spread(doc: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Something to deal covered strings by."""
-    return joined(doc.view(np.uint64), row.view(np.uint64))
+def _bitmap(texts: DataFrame) -> DataFrame:
+    """(block, bits): which hashes ``row`` of texts occur, by their last BITS bits."""
+
+    def fill(table: pa.Table) -> pa.Table:
+        at = table.column("bit").to_numpy() & ((1 << 19) - 1)
+        bits = np.zeros(1 << 13, np.int64)
+        np.bitwise_or.at(bits, at >> 6, np.left_shift(np.int64(1), at & 63))
+        return pa.table({"block": table.column("block")[:1], "bits": pa.array([bits], pa.list_(pa.int64()))})
+
+    bit = texts.select(F.col("row").bitwiseAND(F.lit((1 << BITS) - 1)).alias("bit")).distinct()
+    return bit.withColumn("block", F.shiftright("bit", 19).cast("int")).groupBy("block").applyInArrow(fill, "block int, bits array<long>")
+
+
+def _flagged(texts: DataFrame, bitmap: DataFrame) -> DataFrame:
+    """Adds maybe: false only for texts whose hash the bitmap does not hold."""
+    bit = F.col("row").bitwiseAND(F.lit((1 << BITS) - 1))
+    out = texts.withColumn("bit", bit.cast("int")).withColumn("block", F.expr("shiftright(bit, 19)"))
+    out = out.join(F.broadcast(bitmap), "block", "left")  # at most 128 rows of 64 KB
+    held = F.expr("getbit(element_at(bits, (shiftright(bit, 6) & 8191) + 1), bit & 63) = 1")
+    return out.withColumn("maybe", F.coalesce(held, F.lit(False))).drop("bit", "block", "bits")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, q: int = 32, flush_bytes: int = 48 << 20, partitions: int | None = None) -> DataFrame:
@@ -149,8 +181,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     remaining UTF-8 bytes (binary, as they may end inside a character).
 
     Each task settles what it can among its own texts, so a bucket gets at most
-    two rows from a task, however many copies there are, and strings inside a
-    frequent passage at most one. ``q`` must be from length / 4 to length / 2.
+    LOCAL rows from a task, however many copies there are, and a string inside a
+    frequent passage at most one. Texts are shuffled only if a bitmap of fixed
+    size says that they may have something to refine or remove. ``q`` must be from length / 4 to length / 2.
     ``partitions`` deals the buckets (default: a partition for 8 MB of
     input, at least spark.sql.shuffle.partitions). Null texts are empty; texts
     shorter than ``length`` stay. Ids must be whole numbers; null ids count as
@@ -192,47 +225,36 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         order, first_, twin = firsts(k1[shared], k2[shared], doc[shared], row[shared], at[shared])
         order = shared[order]
         gone = order[~first_ & ~twin]
-        yield _batch(COVERED, _spread(doc[gone], row[gone]), k2[gone], doc[gone], row[gone], at[gone])
+        yield _covered(doc[gone], row[gone], first[gone], first[gone] + span[gone] + length)
         order = order[first_]
-        b = k1[order]
-        new = np.concatenate(([True], b[1:] != b[:-1]))
+        new = np.concatenate(([True], k1[order][1:] != k1[order][:-1]))
         bucket = np.cumsum(new) - 1
-        several = np.bincount(bucket)[bucket] > 1
-        keep = order[~several]
+        contexts = np.bincount(bucket)[bucket]
+        keep = order[contexts == 1]
         yield _batch(MEMBER, k1[keep], k2[keep], doc[keep], row[keep], at[keep])
-        rank = np.arange(len(order)) - np.flatnonzero(new)[bucket]
-        two = order[several & (rank < 2)]
-        yield _batch(WITNESS, k1[two], k2[two], doc[two], row[two], at[two])
-        refine = order[several]
-        refine = refine[np.argsort(which[refine], kind="stable")]
-        found = []
-        for part in np.split(refine, np.flatnonzero(np.diff(which[refine])) + 1):
-            if len(part):
-                i = which[part[0]]
-                found.append((*named(own[i][2], at[part], names), docs_[i], rows_[i]))
-        yield from sift(found)
-
-    def named(data: bytes, at: np.ndarray, names: Names) -> tuple[np.ndarray, ...]:
-        out = []
-        first, last = at >> 8, (at >> 8) + (at & 255)
-        for begin, x in pieces(data):
-            here = (first >= begin) & (first < begin + PIECE)
-            if here.any():
-                starts, k1, k2 = strings(names, x, first[here] - begin, last[here] - begin, length, q)
-                out.append((starts + begin, k1, k2))
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
-
-    def sift(found: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """Sends on the first of each refined bucket; the others are covered."""
-        if not found:
-            return
-        at, k1, k2 = (np.concatenate([f[c] for f in found]) for c in range(3))
-        lengths = [len(f[0]) for f in found]
-        doc, row = (np.repeat(np.array([f[c] for f in found], dtype=np.int64), lengths) for c in (3, 4))
-        order, first, twin = firsts(k1, k2, doc, row, at)
-        keep, gone = order[first], order[~first & ~twin]
-        yield _batch(STRING, k1[keep], k2[keep], doc[keep], row[keep], at[keep] << 8)
-        yield _batch(COVERED, _spread(doc[gone], row[gone]), k2[gone], doc[gone], row[gone], at[gone] << 8)
+        few = order[(contexts > 1) & (contexts <= LOCAL)]
+        data = [own[i][2][a : a + w + length] for i, a, w in zip(which[few].tolist(), first[few].tolist(), span[few].tolist(), strict=True)]
+        yield _batch(CONTEXT, k1[few], k2[few], doc[few], row[few], at[few], data)
+        hot = order[new & (contexts > LOCAL)]
+        yield _batch(HOT, k1[hot], k2[hot], doc[hot], row[hot], at[hot])
+        many = order[contexts > LOCAL]
+        data = [own[i][2][a : a + w + length] for i, a, w in zip(which[many].tolist(), first[many].tolist(), span[many].tolist(), strict=True)]
+        if data:
+            yield from sift(data, doc[many], row[many], first[many], names, np.ones(len(many), bool))
+
+    def sift(data: list[bytes], doc: np.ndarray, row: np.ndarray, first: np.ndarray, names: Names, on: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Refines contexts string by string: all but the first of each refined bucket are
+        covered; the first is sent on as a string for contexts that are ``on``."""
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        place = np.cumsum(sizes) - sizes
+        starts, k1, k2 = strings(names, np.frombuffer(b"".join(data), np.uint8), place, place + sizes - length, length, q)
+        which = np.repeat(np.arange(len(data)), sizes - length + 1)
+        doc, row, at, on = doc[which], row[which], starts - place[which] + first[which], on[which]
+        order, head, twin = firsts(k1, k2, doc, row, at)
+        keep, gone = order[head], order[~head & ~twin]
+        keep = keep[on[keep]]
+        yield _batch(STRING, k1[keep], k2[keep], doc[keep], row[keep], at[keep])
+        yield _covered(doc[gone], row[gone], at[gone], at[gone] + length)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, own, n = Names(), [], 0
@@ -246,112 +268,111 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     own, n = [], 0
         yield from settle(own, names)
 
-    def columns(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+    def columns(batches: Iterator[pa.RecordBatch]) -> tuple:
         got = list(batches)
-        kind, *rest = (np.concatenate([b.column(i).to_numpy() for b in got]) if got else np.zeros(0, np.int64) for i in range(6))
-        return kind, *rest
+        got = pa.Table.from_batches(got) if got else ARROW.empty_table()
+        return (*(got.column(i).to_numpy() for i in range(6)), got.column("bytes"))
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Buckets of one partition: members that repeat a context are covered, first ones of
         a bucket with several contexts stay open, others are unique."""
-        kind, k1, k2, doc, row, at = columns(batches)
-        on = (kind == COVERED) | (kind == STRING)
-        yield _batch(kind[on], k1[on], k2[on], doc[on], row[on], at[on])
-        members = np.flatnonzero(~on)
-        _, shared = _unique_k1(k1[members])
-        shared = members[shared]
+        kind, k1, k2, doc, row, at, data = columns(batches)
+        for on in np.flatnonzero(kind == COVERED), np.flatnonzero((kind == STRING) | (kind == HOT)):
+            for k in np.unique(kind[on]).tolist():
+                part = on[kind[on] == k]
+                yield _batch(k, k1[part], k2[part], doc[part], row[part], at[part])
+        hot = np.unique(k1[kind == HOT])
+        members = np.flatnonzero((kind == MEMBER) | (kind == CONTEXT))
+        alone, shared = _unique_k1(k1[members])
+        alone, shared = members[alone], members[shared]
+        left = alone[np.isin(k1[alone], hot)]
+        yield _batch(OPEN, k1[left], k2[left], doc[left], row[left], at[left])
+        if not len(shared):
+            return
         order, first, twin = firsts(k1[shared], k2[shared], doc[shared], row[shared], at[shared])
         order = shared[order]
         gone = order[~first & ~twin]
-        yield _batch(COVERED, k1[gone], k2[gone], doc[gone], row[gone], at[gone])
+        yield _covered(doc[gone], row[gone], at[gone] >> 8, (at[gone] >> 8) + (at[gone] & 255) + length)
         order = order[first]
-        if len(order):
-            new = np.concatenate(([True], k1[order][1:] != k1[order][:-1]))
-            bucket = np.cumsum(new) - 1
-            left = order[(np.bincount(bucket)[bucket] > 1) & (kind[order] == MEMBER)]
-            yield _batch(OPEN, k1[left], k2[left], doc[left], row[left], at[left])
+        new = np.concatenate(([True], k1[order][1:] != k1[order][:-1]))
+        bucket = np.cumsum(new) - 1
+        left = order[(np.bincount(bucket)[bucket] > 1) | np.isin(k1[order], hot)]
+        part = left[kind[left] == MEMBER]
+        yield _batch(OPEN, k1[part], k2[part], doc[part], row[part], at[part])
+        part = left[kind[left] == CONTEXT]
+        yield _batch(CONTEXT, k1[part], k2[part], doc[part], row[part], at[part], data.take(pa.array(part)).to_pylist())
 
     settled = scratch.keep(texts.select("doc", "row", "body").mapInArrow(gather, ROWS).repartition(partitions, "k1").mapInArrow(refine, ROWS), "settled")
 
-    # at as it is for what is covered, below 0 for what is open; a text also waits if its own task has named strings of it.
-    mark = F.when(F.col("kind") == COVERED, F.col("at")).when(F.col("kind") == OPEN, -1 - F.col("at"))
-    marks = settled.groupBy("doc", "row").agg(F.collect_list(mark).alias("marks"), F.max((F.col("kind") != COVERED).cast("byte")).alias("waits"))
-    spans_type = T.ArrayType(T.StructType().add("begin", "long").add("end", "long"))
-    schema = T.StructType().add("kind", "byte").add("k1", "long").add("k2", "long").add("id", docs.schema[id_col].dataType).add("doc", "long").add("row", "long").add("at", "long")
-    schema = schema.add("n_bytes", "long").add("spans", spans_type).add("body", "binary").add("marks", T.ArrayType(T.LongType()))
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Cuts texts whose strings are all settled; names the open strings of the others."""
-        names, arrow = Names(), None
-        for whole in batches:
-            for start in range(0, len(whole), 1000):
-                out, found = [], []
-                for key, doc, row, data, at, waits in zip(*(c.to_pylist() for c in whole.slice(start, 1000).columns), strict=True):
-                    at = np.array(at or [], dtype=np.int64)
-                    left = -1 - at[at < 0]
-                    if len(left):
-                        found.append((*named(data, left, names), doc, row))
-                    if waits:
-                        out.append((PENDING, None, None, key, doc, row, None, len(data), None, data, at[at >= 0].tolist()))
-                    else:
-                        spans, kept = cut(data, at, length)
-                        out.append((DONE, None, None, key, doc, row, None, len(data), spans, kept, None))
-                arrow = arrow or pa.schema([(f.name, _arrow(f.dataType)) for f in schema])
-                yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in out], schema=arrow)
-                for batch in sift(found):
-                    yield _widen(batch, arrow)
-
-    texts = texts.join(marks.hint("shuffle_hash"), ["doc", "row"], "left").select("id", "doc", "row", "body", "marks", "waits")
-    judged = scratch.keep(texts.mapInArrow(judge, schema), "judged")
-    scratch_strings = settled.where(F.col("kind") == STRING).select(*FIELDS).unionAll(judged.where(F.col("kind").isin(STRING, COVERED)).select(*FIELDS))
+    open_ = settled.where(F.col("kind") == OPEN).groupBy("doc", "row").agg(F.collect_list(F.struct("k1", "k2", "at")).alias("marks"))
+    open_ = scratch.keep(open_, "open")
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes of open contexts."""
+        for batch in batches:
+            for doc, row, data, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                k1, k2, at = (np.array([m[f] for m in marks], dtype=np.int64) for f in ("k1", "k2", "at"))
+                parts = [data[a >> 8 : (a >> 8) + (a & 255) + length] for a in at.tolist()]
+                yield _batch(CONTEXT, k1, k2, np.full(len(at), doc), np.full(len(at), row), at, parts)
+
+    wanted = _flagged(texts, _bitmap(open_)).where("maybe").select("doc", "row", "body")
+    opened = wanted.join(open_.hint("shuffle_hash"), ["doc", "row"]).select("doc", "row", "body", "marks").mapInArrow(contexts, ROWS)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Buckets with all their contexts. Where a task has named strings of a bucket itself,
+        those that are first here go on to meet them."""
+        kind, k1, k2, doc, row, at, data = columns(batches)
+        names, hot, members = Names(), np.unique(k1[kind == HOT]), np.flatnonzero(kind == CONTEXT)
+        members = members[np.argsort(k1[members], kind="stable")]
+        ends = np.flatnonzero(np.diff(k1[members])) + 1  # whole buckets, some 20,000 contexts at a time
+        cuts = ends[np.searchsorted(ends, np.arange(20_000, len(members), 20_000), side="left").clip(max=max(0, len(ends) - 1))] if len(ends) else []
+        for part in np.split(members, np.unique(cuts)):
+            if len(part):
+                yield from sift(data.take(pa.array(part)).to_pylist(), doc[part], row[part], at[part] >> 8, names, np.isin(k1[part], hot))
+
+    met = settled.where(F.col("kind").isin(CONTEXT, HOT)).unionAll(opened).repartition(partitions, "k1").mapInArrow(meet, ROWS)
+    met = scratch.keep(met, "met")
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, k1, k2, doc, row, at = columns(batches)
-        on = kind == COVERED
-        yield _batch(COVERED, k1[on], k2[on], doc[on], row[on], at[on])
-        rest = np.flatnonzero(~on)
-        order, first, twin = firsts(k1[rest], k2[rest], doc[rest], row[rest], at[rest])
-        gone = rest[order[~first & ~twin]]
-        yield _batch(COVERED, k1[gone], k2[gone], doc[gone], row[gone], at[gone])
+        _, k1, k2, doc, row, at, _ = columns(batches)
+        order, first, twin = firsts(k1, k2, doc, row, at)
+        gone = order[~first & ~twin]
+        yield _covered(doc[gone], row[gone], at[gone], at[gone] + length)
 
-    covered = scratch_strings.repartition(partitions, "k1").mapInArrow(last, ROWS)
-    more = scratch.keep(covered.groupBy("doc", "row").agg(F.collect_list("at").alias("more")), "more")
+    named = settled.unionAll(met)
+    told = named.where(F.col("kind") == STRING).repartition(partitions, "k1").mapInArrow(last, ROWS)
+    covered = named.where(F.col("kind") == COVERED).unionAll(told).groupBy("doc", "row").agg(F.collect_list("at").alias("runs"))
+    covered = scratch.keep(covered, "covered")
+    spans_type = T.ArrayType(T.StructType().add("begin", "long").add("end", "long"))
+    key = docs.schema[id_col].dataType
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, len(whole), 1000):
-                batch = whole.slice(start, 1000)
-                spans, kept = [], []
-                for kind, old, data, at, extra in zip(*(batch.column(i).to_pylist() for i in range(2, 7)), strict=True):
-                    if kind == PENDING:
-                        old, data = cut(data, np.array((at or []) + (extra or []), dtype=np.int64), length)
-                    spans.append(old)
-                    kept.append(data)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, _arrow(spans_type)), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
-
-    texts = judged.where(F.col("kind").isin(DONE, PENDING)).join(more.hint("shuffle_hash"), ["doc", "row"], "left")
-    texts = texts.select("id", "n_bytes", "kind", "spans", "body", "marks", "more")
-    return texts.mapInArrow(finish, T.StructType().add("id", docs.schema[id_col].dataType).add("n_bytes", "long").add("spans", spans_type).add("kept", "binary"))
-
-
-def cut(data: bytes, at: np.ndarray, length: int) -> tuple[list[dict], bytes]:
-    """Removed runs and what is left, ``at`` holding first starts and spans of covered strings."""
-    if not len(at):
-        return [], data
-    edge = np.zeros(len(data) + 1, np.int64)
-    np.add.at(edge, at >> 8, 1)
-    np.add.at(edge, (at >> 8) + (at & 255) + length, -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    turn = np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))
-    spans = [{"begin": b, "end": e} for b, e in zip(np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist(), strict=True)]
-    return spans, np.frombuffer(data, np.uint8)[~gone].tobytes()
+        for batch in batches:
+            spans, kept = zip(*(cut(data, runs) for data, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)), strict=True) if len(batch) else ((), ())
+            sizes = pa.array([len(x) for x in batch.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(spans, SPANS), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
 
+    flagged = _flagged(texts, _bitmap(covered))
+    hit = flagged.where("maybe").select("id", "doc", "row", "body").join(covered.hint("shuffle_hash"), ["doc", "row"], "left")
+    hit = hit.select("id", "body", "runs").mapInArrow(finish, T.StructType().add("id", key).add("n_bytes", "long").add("spans", spans_type).add("kept", "binary"))
+    whole = flagged.where("not maybe").select("id", F.length("body").cast("long").alias("n_bytes"), F.array().cast(spans_type).alias("spans"), F.col("body").alias("kept"))
+    return hit.unionAll(whole)
 
-def _arrow(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
 
-    return to_arrow_type(kind)
+ARROW = pa.schema([("kind", pa.int8()), *((c, pa.int64()) for c in FIELDS[1:6]), ("bytes", pa.binary())])
+SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 
-def _widen(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index(f.name)) if f.name in batch.schema.names else pa.nulls(len(batch), f.type) for f in schema], schema=schema)
+def cut(data: bytes, runs: list[int] | None) -> tuple[list[dict], bytes]:
+    """Maximal removed runs and what is left; ``runs`` hold begin << 31 | length."""
+    if not runs:
+        return [], data
+    spans: list[list[int]] = []
+    for run in sorted(runs):
+        begin, end = run >> 31, (run >> 31) + (run & (2**31 - 1))
+        if spans and begin <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], end)
+        else:
+            spans.append([begin, end])
+    kept = [data[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(b for b, _ in spans), len(data)], strict=True)]
+    return [{"begin": b, "end": e} for b, e in spans], b"".join(kept)
