@@ -122,8 +122,8 @@ class Model:
             for part in forms(word):
                 groups.setdefault(len(part), []).append((i, part))
         for length, parts in groups.items():
-            for at in range(0, len(parts) if length >= ORDER else 0, 8192):
-                some = parts[at : at + 8192]
+            for at in range(0, len(parts) if length >= ORDER else 0, 4096):
+                some = parts[at : at + 4096]
                 codes = coded([p for _, p in some], length)
                 value = np.zeros(len(some))
                 for u, weight in subsequences(codes):
@@ -158,14 +158,17 @@ def features(words: list[str]) -> np.ndarray:
 
 def kernels(words: list[str], marks: np.ndarray) -> np.ndarray:
     """The normalised kernel of each word with each row of features, by columns of marks."""
-    out, columns = np.zeros((len(words), len(marks)), np.float32), np.ascontiguousarray(marks.T)
+    used = np.flatnonzero(marks.any(axis=0))  # subsequences that no mark has add nothing: one column of zeros
+    place = np.full(marks.shape[1], len(used))
+    place[used] = np.arange(len(used))
+    out, columns = np.zeros((len(words), len(marks)), np.float32), np.vstack([marks[:, used].T, np.zeros((1, len(marks)), np.float32)])
     for rows, codes in by_length(words):
-        for at in range(0, len(rows), 2000):
-            some = codes[at : at + 2000]
+        for at in range(0, len(rows), 1000):
+            some = codes[at : at + 1000]
             sums = np.zeros((len(some), len(marks)), np.float32)
             for u, weight in subsequences(some):
-                sums += np.float32(weight) * columns[u]
-            out[rows[at : at + 2000]] = sums / np.sqrt(self_kernel(some))[:, None]
+                sums += np.float32(weight) * columns[place[u]]
+            out[rows[at : at + 1000]] = sums / np.sqrt(self_kernel(some))[:, None]
     return out
 
 
@@ -196,7 +199,7 @@ def gapped(word: str, rng: np.random.Generator) -> str:
     return word[:at] + fill + word[at:]
 
 
-def fit(labelled: list[tuple[str, int]], *, landmarks: int = 512, rounds: int = 3, seed: int = 5) -> Model:
+def fit(labelled: list[tuple[str, int]], *, clean_weight: float = 1.0, landmarks: int = 400, rounds: int = 3, seed: int = 5) -> Model:
     """Learns from (sentence, toxic) pairs; a sentence is any text.
 
     Which words make a sentence toxic is not known: at first those whose presence
@@ -206,7 +209,8 @@ def fit(labelled: list[tuple[str, int]], *, landmarks: int = 512, rounds: int =
     Landmarks are the most telling words and clean ones.
     """
     rng = np.random.default_rng(seed)
-    bags = [sorted({bare(w) for w in words_of(t)}) for t, _ in labelled]
+    same: dict[str, str] = {}  # one object for each word
+    bags = [sorted({same.setdefault(w, w) for w in map(bare, words_of(t))}) for t, _ in labelled]
     y = np.array([k for _, k in labelled])
     rate = float(y.mean()) if len(y) else 0.0
     if not len(y) or rate in (0.0, 1.0):
@@ -231,10 +235,10 @@ def fit(labelled: list[tuple[str, int]], *, landmarks: int = 512, rounds: int =
     root = vectors[:, good] / np.sqrt(values[good])  # K^(-1/2) on its range
 
     def mapped(words: list[str]) -> np.ndarray:
-        return kernels(words, at_marks).astype(float) @ root
+        return kernels(words, at_marks) @ root
 
     pool = sorted(w for w in clean if len(w) >= ORDER)
-    negatives = {pool[i] for i in rng.choice(len(pool), min(len(pool), 6000), replace=False)} | set(usual[:2000]) if pool else set()
+    negatives = {pool[i] for i in rng.choice(len(pool), min(len(pool), 4000), replace=False)} | set(usual[:1500]) if pool else set()
     speaking = {w for w in ranked if telling(w) >= SPEAKS and toxic[w] / n1 > 10 * clean[w] / n0}
     positives = speaking or set(ranked[:1])
     vocabulary = sorted({w for bag in bags for w in bag})
@@ -249,32 +253,37 @@ def fit(labelled: list[tuple[str, int]], *, landmarks: int = 512, rounds: int =
         worst = np.array([model.bias if w is None else value[w] for w in best])
         negatives |= {w for bag, k in zip(bags, y, strict=True) if k == 0 for w in bag if value[w] > -0.5}
         positives = speaking | {w for w, k in zip(best, y, strict=True) if k == 1 and w and value[w] > 0 and not clean[w]}
-    model.slope, model.shift = platt(worst, y)
+    model.slope, model.shift = platt(worst, y, clean_weight)
     return model
 
 
-def platt(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def platt(value: np.ndarray, y: np.ndarray, clean_weight: float) -> tuple[float, float]:
     """Slope and shift of a logistic fit with smoothed targets and a light ridge."""
     n1, n0 = y.sum(), (1 - y).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    cost = np.where(y == 1, 1.0, clean_weight)
     x, w = np.stack([value, np.ones(len(y))], axis=1), np.array([1.0, 0.0])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = x.T @ ((p * (1 - p))[:, None] * x) + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (p - target) + 1e-3 * w)
+        h = x.T @ ((cost * p * (1 - p))[:, None] * x) + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (cost * (p - target)) + 1e-3 * w)
         w = w - step / max(1.0, float(np.abs(step).max()))
         if np.abs(step).max() < 1e-8:
             break
     return float(max(w[0], 1e-6)), float(w[1])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, sample: int) -> list[tuple[str, int]]:
-    """At most ``sample`` labelled texts, chosen by a hash of their id, so in the labels' own
-    proportion. Held-out ids are left out."""
-    ids = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").where(~held_out(F.col("_id")))
-    ids = ids.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, toxic: int, clean: int) -> tuple[list[tuple[str, int]], float]:
+    """At most ``toxic`` and ``clean`` labelled texts, chosen by a hash of their id and not
+    held out, and how many clean labels each clean text stands for beside a toxic one."""
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").where(~held_out(F.col("_id")))
+    known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
+    counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
+    first = lambda y, n: known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n)
+    ids = first(1, toxic).unionAll(first(0, clean))
     rows = docs.join(F.broadcast(ids), F.col(id_col) == F.col("_id")).select("_id", F.coalesce(F.col(text_col), F.lit("")).alias("_t"), "_y")
-    return [(r["_t"], r["_y"]) for r in rows.orderBy("_id", "_t").collect()]
+    weight = max(1, min(toxic, counts.get(1, 0))) / max(1, counts.get(1, 0)) * counts.get(0, 0) / max(1, min(clean, counts.get(0, 0)))
+    return [(r["_t"], r["_y"]) for r in rows.orderBy("_id", "_t").collect()], weight
 
 
 def held_out(key):
@@ -282,13 +291,13 @@ def held_out(key):
     return F.crc32(key.cast("string")) % 4 == 2
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 4000, **options) -> Model:
-    """Fits the model on the texts of at most ``sample`` labels that are not held out, some
-    15 MB of text on the driver. Null ids and labels other than 0 and 1 are
-    left out; an id labelled both is toxic. Without labels of both kinds every text
-    scores the share of toxic labels."""
-    rows = training_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample)
-    return fit(rows, **options)
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = 1000, clean: int = 2000, **options) -> Model:
+    """Fits the model on the texts of at most ``toxic`` and ``clean`` labels of either kind that
+    are not held out: some 10 MB of text on the driver. Null ids and labels
+    other than 0 and 1 are left out; an id labelled both is toxic. Without labels
+    of both kinds every text scores the share of toxic labels."""
+    rows, weight = training_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, toxic=toxic, clean=clean)
+    return fit(rows, clean_weight=weight, **options)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), cache_words: int = 500_000) -> DataFrame:
