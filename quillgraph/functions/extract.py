@@ -262,6 +262,6 @@ def extract_core(answer: Column, options: str = "a-dA-D") -> Column:
 
 def with_options(prompt: Column, response: Column) -> Column:
     """The response, lower-cased if the prompt has options, with each option's text replaced by its line "X. text"."""
-    lines = F.transform(F.array(*map(F.lit, "ABCDEFGHIJ")), lambda c: F.regexp_extract(prompt, F.concat(F.lit("("), c, F.lit(r"\.\s.*?)\n")), F.lit(1)))
+    lines = F.transform(F.array(*map(F.lit, "ABCDEFGHIJ")), lambda c: F.call_function("regexp_extract", prompt, F.concat(F.lit("("), c, F.lit(r"\.\s.*?)\n")), F.lit(1)))
     lines = F.filter(lines, lambda o: F.length(o) > 3)
     return F.aggregate(lines, response, lambda r, o: F.replace(F.lower(r), F.lower(F.substr(o, F.lit(4))), o))
