@@ -69,6 +69,22 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def quoted(columns: list[str]) -> list[str]:
+    """Column names as references, whatever characters they hold."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for added columns that none of ``df`` has, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def hash128(c: Column) -> tuple[Column, Column]:
     """Two independent 64-bit hashes of a string; together they stand for it."""
     return F.xxhash64(c), F.xxhash64(F.lit(1), c)

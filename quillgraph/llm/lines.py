@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import SPACES, UPPER, Scratch, hash128, lookup
+from quillgraph.llm.common import SPACES, UPPER, Scratch, fresh, hash128, lookup, quoted
 
 
 def line_key(line: Column) -> Column:
@@ -22,7 +22,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     loses meet its text once, and the text is put together again by position.
 
     Returns every input column, ``text_col`` holding what is left, and
-    _n_lines, _n_dropped (long). A null or empty text is one empty line and
+    _n_lines, _n_dropped (long), which replace input columns so named. A null or empty text is one empty line and
     stays as ''. Keys under ``min_chars`` code points never count. Rows with a
     null id neither count nor lose lines. Rows that share an id count as one
     document and lose the same lines. Repeats inside one document stay there
@@ -42,24 +42,20 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     )
     lines = scratch.keep(lines, "lines")
     shared = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("keeper")).where(F.col("n") >= min_docs)
-    gone = (
-        lookup(lines, shared, ["h1", "h2"], "n", lines.count(), F.xxhash64("id", "h2"))
-        .where(F.col("id") > F.col("keeper"))
-        .groupBy("id")
-        .agg(F.collect_set("h1").alias("_gone"))
-        .withColumnRenamed("id", "_id")
-    )
-    split = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    out = docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("_id"), "left")
+    gone = lookup(lines, shared, ["h1", "h2"], "n", lines.count(), F.xxhash64("id", "h2")).where(F.col("id") > F.col("keeper"))
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("_n_lines", "_n_dropped")])
+    own, hashes, split, kept = fresh(docs, "_id", "_gone", "_split", "_kept")
+    gone = gone.groupBy(F.col("id").alias(own)).agg(F.collect_set("h1").alias(hashes))
+    out = docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col(own), "left")
 
     def stays(line: Column) -> Column:
         k = line_key(line)
-        return (F.length(k) < min_chars) | ~F.array_contains(F.col("_gone"), F.xxhash64(k))
+        return (F.length(k) < min_chars) | ~F.array_contains(F.col(hashes), F.xxhash64(k))
 
-    out = out.withColumn("_split", split).withColumn("_n_lines", F.size("_split").cast("long"))
-    out = out.withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.filter("_split", stays)))
+    out = out.withColumn(split, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).withColumn("_n_lines", F.size(split).cast("long"))
+    out = out.withColumn(kept, F.when(F.col(hashes).isNotNull(), F.filter(split, stays)))
     return out.select(
-        *(c if c != text_col else F.coalesce(F.array_join("_kept", "\n"), F.col(text_col), F.lit("")).alias(text_col) for c in docs.columns),
+        *(c if c.strip("`") != text_col else F.coalesce(F.array_join(kept, "\n"), F.col(text_col), F.lit("")).alias(text_col) for c in quoted(docs.columns)),
         "_n_lines",
-        F.coalesce(F.col("_n_lines") - F.size("_kept"), F.lit(0)).cast("long").alias("_n_dropped"),
+        F.coalesce(F.col("_n_lines") - F.size(kept), F.lit(0)).cast("long").alias("_n_dropped"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.llm.common import Scratch
+from quillgraph.llm.common import Scratch, fresh, quoted
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], total: float, cap: float) -> list[float]:
@@ -25,7 +25,7 @@ def targets(sizes: Sequence[int], weights: Sequence[float], total: float, cap: f
                 out[i] = unit * weights[i]
             break
         for i in over:
-            out[i] = cap * sizes[i]
+            out[i] = float(cap * sizes[i])
             left -= out[i]
         left, rest = max(left, 0.0), [i for i in rest if i not in set(over)]
     return out
@@ -138,6 +138,7 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     does not take go. Options as for ``mix``. Ids are taken to be unique: rows
     with a null id go, and rows that share an id are repeated as one of them is.
     """
-    copies = mix(docs, id_col=id_col, text_col=text_col, **options).where("copies > 0").groupBy("id").agg(F.max("copies").alias("_copies")).withColumnRenamed("id", "_id")
-    joined = docs.join(copies.hint("shuffle_hash"), F.col(id_col) == F.col("_id"))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    own, copies, copy = fresh(docs, "_id", "_copies", "_copy")
+    taken = mix(docs, id_col=id_col, text_col=text_col, **options).where("copies > 0").groupBy(F.col("id").alias(own)).agg(F.max("copies").alias(copies))
+    joined = docs.join(taken.hint("shuffle_hash"), F.col(id_col) == F.col(own))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*quoted(docs.columns))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm.common import long_texts
+from quillgraph.llm.common import long_texts, quoted
 
 SPACE = "▁"
 #: Added to the lowest score for a character without a piece (a fixed value of the format).
@@ -273,7 +273,8 @@ def encode(docs: DataFrame, model_file: str, *, text_col: str = "text", n: int =
     """
     long_texts(docs.sparkSession)
     model = load(model_file, scores)
-    schema = T.StructType([docs.schema[c] for c in keep])
+    safe = [f"c{i}" for i in range(len(keep))]  # any name may be kept, but not every name goes through Arrow
+    schema = T.StructType([T.StructField(s, docs.schema[c].dataType) for s, c in zip(safe, keep, strict=True)])
     change = T.StructType().add("chunk", "integer").add("ids", T.ArrayType(T.IntegerType()))
     schema = schema.add("ids", T.ArrayType(T.IntegerType())).add("score", "double").add("nbest", T.ArrayType(T.StructType().add("score", "double").add("changes", T.ArrayType(change))))
     change_type = pa.list_(pa.struct([("chunk", pa.int32()), ("ids", pa.list_(pa.int32()))]))
@@ -313,9 +314,9 @@ def encode(docs: DataFrame, model_file: str, *, text_col: str = "text", n: int =
                 offsets = pa.array(stops[ends], pa.int32())
                 arrays = [batch.column(i) for i in range(len(keep))]
                 arrays += [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(sums, pa.float64()), pa.array(nbest, best_type)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "ids", "score", "nbest"])
+                yield pa.RecordBatch.from_arrays(arrays, names=[*safe, "ids", "score", "nbest"])
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(q).alias(s) for q, s in zip(quoted(keep), safe, strict=True)), F.col(text_col).alias("text")).mapInArrow(run, schema).toDF(*keep, "ids", "score", "nbest")
 
 
 def _least(gaps: np.ndarray, n: int) -> np.ndarray:
@@ -330,8 +331,8 @@ def _least(gaps: np.ndarray, n: int) -> np.ndarray:
 def decode(df: DataFrame, model_file: str, *, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Adds the text of each row's ids: byte pieces are joined as UTF-8 (U+FFFD where
     they are not), U+2581 becomes a space, the space in front goes, control
-    pieces have no text. Null ids give null, none give ''."""
-    model = load(model_file, "model")
+    pieces have no text. Null ids give null, none give ''. A column so named is replaced."""
+    model, df = load(model_file, "model"), df.drop(text_col)
     octet = {k: bytes([b]) for b, k in model.bytes_.items()}
     words = [b"" if i in model.silent else " ⁇ ".encode() if i == model.unknown else octet.get(i, p.replace(SPACE, " ").encode("utf-8")) for i, p in enumerate(model.pieces)]
 
@@ -340,7 +341,7 @@ def decode(df: DataFrame, model_file: str, *, ids_col: str = "ids", text_col: st
         for whole in batches:
             for at in range(0, len(whole), 500):
                 batch = whole.slice(at, 500)
-                ids = batch.column(batch.schema.names.index(ids_col))
+                ids = batch.column(place)
                 out = []
                 for value in ids:
                     if not value.is_valid:
@@ -348,6 +349,8 @@ def decode(df: DataFrame, model_file: str, *, ids_col: str = "ids", text_col: st
                         continue
                     text = b"".join(spell[value.values.to_numpy(zero_copy_only=False)].tolist()).decode("utf-8", "replace")
                     out.append(text.removeprefix(" "))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, text_col])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text_col, T.StringType())]))
+    place, safe = df.columns.index(ids_col), [f"c{i}" for i in range(len(df.columns))]
+    schema = T.StructType([*(T.StructField(s, f.dataType) for s, f in zip(safe, df.schema, strict=True)), T.StructField("decoded", T.StringType())])
+    return df.toDF(*safe).mapInArrow(run, schema).toDF(*df.columns, text_col)

@@ -144,6 +144,8 @@ def _covered(doc: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarra
 def _unique_k1(k1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices of rows alone in their bucket, and of the others."""
     order = np.argsort(k1, kind="stable")
+    if not len(order):
+        return order, order
     s = k1[order]
     same = np.concatenate(([False], s[1:] == s[:-1], [False]))
     shared = same[:-1] | same[1:]
@@ -198,7 +200,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), last_id).alias("doc"), F.xxhash64(body).alias("row"), F.encode(body, "UTF-8").alias("body"))
     if partitions is None:
         size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, size // (8 << 20)))
+        known = size if size < 1 << 50 else 0  # a plan that does not know its size says something huge
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, known // (8 << 20)))
 
     def pieces(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
         x = np.frombuffer(data, np.uint8)

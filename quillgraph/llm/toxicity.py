@@ -21,11 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillgraph.llm.common import long_texts
+from quillgraph.llm.common import long_texts, quoted
 
 ORDER, DECAY = 3, 0.6
-SPEAKS = 4.0  # standard errors by which a word must be commoner in toxic sentences to speak for toxicity
 LONGEST = 16  # longer words are read through windows of this length, half of it apart
 LETTERS = 32
 #: Three or more lone characters in a row are read as one word.
@@ -219,9 +219,12 @@ def fit(labelled: list[tuple[str, int]], *, clean_weight: float = 1.0, landmarks
     n1, n0 = int(y.sum()), int((1 - y).sum())
 
     def telling(w: str) -> float:
-        p, q = (toxic[w] + 1) / (n1 + 2), (clean[w] + 1) / (n0 + 2)
-        spread = np.sqrt(1 / (toxic[w] + 1) + 1 / (clean[w] + 1))
-        return float((np.log(p) - np.log(q)) / spread)
+        """Twice the log-likelihood ratio of the word's share in toxic and in clean
+        sentences, below 0 if it is commoner in the clean."""
+        k1, k0 = toxic[w], clean[w]
+        p = (k1 + k0) / (n1 + n0)
+        g = sum(k * np.log(k / (n * q)) for k, n, q in ((k1, n1, p), (n1 - k1, n1, 1 - p), (k0, n0, p), (n0 - k0, n0, 1 - p)) if k)
+        return float(2 * g if k1 / n1 > k0 / n0 else -2 * g)
 
     ranked = sorted((w for w in toxic if len(w) >= ORDER), key=lambda w: (-telling(w), w))
     usual = sorted((w for w in clean if len(w) >= ORDER), key=lambda w: (-clean[w], w))
@@ -239,7 +242,10 @@ def fit(labelled: list[tuple[str, int]], *, clean_weight: float = 1.0, landmarks
 
     pool = sorted(w for w in clean if len(w) >= ORDER)
     negatives = {pool[i] for i in rng.choice(len(pool), min(len(pool), 4000), replace=False)} | set(usual[:1500]) if pool else set()
-    speaking = {w for w in ranked if telling(w) >= SPEAKS and toxic[w] / n1 > 10 * clean[w] / n0}
+    chance = 2 * np.log(2 * len(toxic.keys() | clean.keys()))  # as telling as the most telling of so many chance words
+    speaking = {w for w in ranked if telling(w) >= 2 * chance and toxic[w] / n1 > 10 * clean[w] / n0}
+    if len(speaking) < 10:  # few labels
+        speaking = {w for w in ranked if telling(w) >= chance and toxic[w] / n1 > 10 * clean[w] / n0}
     positives = speaking or set(ranked[:1])
     vocabulary = sorted({w for bag in bags for w in bag})
     for _ in range(rounds):
@@ -281,7 +287,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col:
     counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     first = lambda y, n: known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n)
     ids = first(1, toxic).unionAll(first(0, clean))
-    rows = docs.join(F.broadcast(ids), F.col(id_col) == F.col("_id")).select("_id", F.coalesce(F.col(text_col), F.lit("")).alias("_t"), "_y")
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    rows = texts.join(F.broadcast(ids), "_id").select("_id", "_t", "_y")
     weight = max(1, min(toxic, counts.get(1, 0))) / max(1, counts.get(1, 0)) * counts.get(0, 0) / max(1, min(clean, counts.get(0, 0)))
     return [(r["_t"], r["_y"]) for r in rows.orderBy("_id", "_t").collect()], weight
 
@@ -300,16 +307,16 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return fit(rows, clean_weight=weight, **options)
 
 
-def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), cache_words: int = 500_000) -> DataFrame:
-    """``keep`` columns and score, 0 to 1, of each whole text.
+def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), score_col: str = "score", cache_words: int = 500_000) -> DataFrame:
+    """``keep`` columns and ``score_col``, 0 to 1, of each whole text.
 
     Null and empty texts score as a text without a telling word. A worker
     remembers the decisions of at most about ``cache_words`` distinct words.
     Rows are independent, so repeated rows score alike.
     """
     long_texts(docs.sparkSession)
-    fields = [docs.schema[c] for c in keep]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + "score double"
+    safe = [f"c{i}" for i in range(len(keep))]  # any name may be kept, but not every name goes through Arrow
+    schema = T.StructType([*(T.StructField(s, docs.schema[c].dataType) for s, c in zip(safe, keep, strict=True)), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
@@ -325,6 +332,6 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[
                     new = [w for w in dict.fromkeys(w for t in texts for w in t) if w not in known]
                     known.update(zip(new, model.decisions([bare(w) for w in new]).tolist(), strict=True))
                     worst = np.array([max((known[w] for w in t), default=model.bias) for t in texts])
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(model.probability(worst))], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(model.probability(worst))], names=[*safe, "score"])
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(q).alias(s) for q, s in zip(quoted(keep), safe, strict=True)), F.col(text_col).alias("text")).mapInArrow(run, schema).toDF(*keep, score_col)
