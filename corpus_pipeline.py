@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import lines, mixing, pieces, simhash, toxicity
-from quillgraph.llm.common import Scratch
+from quillgraph.llm.common import Scratch, fresh, quoted
 
 #: A text with at least this score is taken to be toxic.
 TOXIC = 0.3
@@ -24,20 +24,23 @@ MODEL = "piece_bpe_32k.model"
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below TOXIC; the model learns from labels that are not held out."""
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, keep=tuple(docs.columns)).where(F.col("score") < TOXIC).select(*docs.columns)
+    [score] = fresh(docs, "score")
+    return toxicity.score(docs, model, keep=tuple(docs.columns), score_col=score).where(F.col(score) < TOXIC).drop(score)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that an earlier one holds; n_chars is counted again."""
-    return lines.dedup_lines(docs).select(*docs.columns).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    out = lines.dedup_lines(docs).select(*quoted(docs.columns))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each SimHash group (3 words, 2 bits, as op7
     has it). Rows that repeat that id and its fingerprint are one row."""
     groups = simhash.near_duplicates(docs)
-    first = groups.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_id")).distinct()
-    kept = docs.join(first.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    [own] = fresh(docs, "_id")
+    first = groups.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias(own)).distinct()
+    kept = docs.join(first.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col(own)), "left_semi")
     return kept.dropDuplicates(["doc_id"])
 
 
