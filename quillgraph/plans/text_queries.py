@@ -204,7 +204,7 @@ def q_extract_pubmedqa(spark, sf_dir):
     return e.select("event_id", extract.extract_decision(word).alias("extracted"))
 
 
-@query("SELECT event_id, replace(lower('It is ' || event_type), event_type, 'A. ' || event_type) AS named FROM events")
+@query("SELECT event_id, lower(replace(lower('It is ' || event_type), event_type, 'A. ' || event_type)) AS named FROM events")
 def q_with_options(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     prompt = F.concat(F.lit("Q\nA. "), "event_type", F.lit("\nB. zzz\n"))
