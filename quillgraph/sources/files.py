@@ -109,28 +109,33 @@ class Dataset:
     after: str = ""
 
 
-# The names of the datasets. "RM2/v1" names a reader that does not exist elsewhere; here it reads like its siblings.
+# The names of the datasets and what their prompts are wrapped in. "RM2/v1" has no reader
+# of its own anywhere; here it reads like its siblings.
+WRAPPED = {"before": "<|startofpiece|> ", "after": " <|endofpiece|> "}
 DATASETS = {
-    "SFT/v916": Dataset("sft", after="<|startofpiece|>"),
-    "SFT/v921": Dataset("sft", after="<|startofpiece|>"),
-    "SFT/v925": Dataset("sft", after="<|startofpiece|>"),
-    "belle": Dataset("sft", after="<|startofpiece|>"),
-    "PPO2/v1": Dataset("ppo", prompt="input", chosen=None, rejected=None, after="<|startofpiece|>"),
-    "RM2/v1": Dataset("rm", after="<|startofpiece|>"),
-    "RM2/v2": Dataset("rm", after="<|startofpiece|>"),
-    "RM2/v3": Dataset("rm", after="<|startofpiece|>"),
-    "RM2/v4": Dataset("rm", after="<|startofpiece|>"),
+    "SFT/v921": Dataset("sft"),
+    "SFT/v916": Dataset("sft"),
+    "SFT/v925": Dataset("sft"),
+    "SFT/belle": Dataset("sft"),
+    "PPO2/v1": Dataset("ppo", prompt="input", chosen=None, rejected=None, **WRAPPED),
+    "RM2/v1": Dataset("rm", **WRAPPED),
+    "RM2/v2": Dataset("rm", **WRAPPED),
+    "RM2/v3": Dataset("rm", **WRAPPED),
+    "RM2/v4": Dataset("rm", **WRAPPED),
 }
 
 
 def dataset(spark: SparkSession, name: str, folder: str, part: str = "train") -> DataFrame:
-    """prompt, chosen, rejected of a named dataset's JSON lines in ``folder``/``part``.json."""
-    if name not in DATASETS:
+    """The records of a named dataset's JSON lines in ``folder``/``part``.json. ``name`` may be a path that holds a known name."""
+    known = next((d for n, d in DATASETS.items() if n in name), None)
+    if known is None:
         raise ValueError(f"unknown dataset: {name}")
-    return map_records(spark.read.json(f"{folder}/{part}.json"), DATASETS[name])
+    return map_records(spark.read.json(f"{folder}/{part}.json"), known)
 
 
 def map_records(df: DataFrame, d: Dataset) -> DataFrame:
+    """prompt, chosen, rejected, and the prompt with either answer; null where a column is missing or null."""
     column = lambda c: F.col(c) if c and c in df.columns else F.lit(None).cast("string")
     prompt = F.concat(F.lit(d.before), column(d.prompt), F.lit(d.after))
-    return df.select(prompt.alias("prompt"), column(d.chosen).alias("chosen"), column(d.rejected).alias("rejected"))
+    out = df.select(prompt.alias("prompt"), column(d.chosen).alias("chosen"), column(d.rejected).alias("rejected"))
+    return out.withColumns({"prompt_and_chosen": F.concat("prompt", "chosen"), "prompt_and_rejected": F.concat("prompt", "rejected")})

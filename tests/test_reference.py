@@ -273,6 +273,14 @@ def test_files(spark, tmp_path):
     assert sinks.cached(triples, str(tmp_path / "c"), "k", 1).count() == sinks.cached(triples.where("false"), str(tmp_path / "c"), "k", 1).count() == 1
 
 
+def test_datasets(spark, tmp_path):
+    (tmp_path / "train.json").write_text('{"prompt": "p", "chosen": "c", "rejected": null}\n')
+    rm = one(files.dataset(spark, "data/RM2/v3", str(tmp_path)))
+    assert (rm.prompt, rm.prompt_and_chosen, rm.prompt_and_rejected) == ("<|startofpiece|> p <|endofpiece|> ", "<|startofpiece|> p <|endofpiece|> c", None)
+    assert one(files.dataset(spark, "SFT/v921", str(tmp_path))).prompt_and_chosen == "pc"
+    assert len(files.DATASETS) == 9
+
+
 def test_graph_source(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"data": {"neo4j_type": "Disease", "id": 1, "properties": {"name": "x", "source": ["s", "t"]}}}, {"data": {"neo4j_type": "ISA_DiD", "id": 2, "source": 1, "target": 1, "properties": {"sources": "ab"}}}]')
     spark.dataSource.register(graph_api.GraphSource)
