@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgraph.functions.arrays import last, pad_left, pad_right
+from quillgraph.tables import places
 
 
 def first_paragraph(text: Column) -> Column:
@@ -141,22 +142,12 @@ def split_bounds(fractions: str, n: int) -> list[int]:
 
 
 def split(df: DataFrame, fractions: str, order: list[Column]) -> DataFrame:
-    """Adds part (from 0) by each row's place in ``order``. Places are counted over all rows in
-    one sort; the key of the sort should be a hash or an id."""
+    """Adds part (from 0) by each row's place in ``order``, which should be that of a hash or an id."""
     bounds = split_bounds(fractions, df.count())
-    spark = df.sparkSession
-    numbered = df.sort(*order).select("*", F.monotonically_increasing_id().alias("_m")).withColumn("_p", F.shiftright("_m", 33))
-    counts = sorted((r["_p"], r["count"]) for r in numbered.groupBy("_p").count().collect())
-    offsets, total = [], 0
-    for p, c in counts:
-        offsets.append((p, total))
-        total += c
-    offsets = spark.createDataFrame(offsets, "_p long, _o long")
-    place = numbered.join(F.broadcast(offsets), "_p").withColumn("_place", F.col("_o") + F.col("_m") - F.shiftleft("_p", 33))
     part = F.lit(None).cast("int")
     for k in reversed(range(len(bounds) - 1)):
         part = F.when((F.col("_place") >= bounds[k]) & (F.col("_place") < bounds[k + 1]), k).otherwise(part)
-    return place.withColumn("part", part).drop("_m", "_p", "_o", "_place")
+    return places(df, order, "_place").withColumn("part", part).drop("_place")
 
 
 def blend(sources: dict[str, DataFrame], seed: int = 42) -> DataFrame:
@@ -170,11 +161,9 @@ def blend(sources: dict[str, DataFrame], seed: int = 42) -> DataFrame:
 
 def pack(df: DataFrame, key: str, tokens: str, block: int) -> DataFrame:
     """(block_no, tokens): all tokens, in order of ``key``, cut into blocks; a last part of a block is
-    dropped unless it is all there is. Only lengths are summed over the whole order."""
-    sizes = df.select(key, F.size(tokens).cast("long").alias("n"))
-    before = sizes.withColumn("start", F.sum("n").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1))).select(key, F.coalesce("start", F.lit(0)).alias("start"))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    placed = df.select(key, tokens).join(before, key).select("start", F.posexplode(tokens).alias("i", "token"))
+    dropped unless it is all there is."""
+    total = df.agg(F.coalesce(F.sum(F.size(tokens).cast("long")), F.lit(0)).alias("total"))
+    placed = places(df.select(key, tokens), [F.col(key)], "start", F.size(tokens)).select("start", F.posexplode(tokens).alias("i", "token"))
     at = F.col("start") + F.col("i")
     blocks = placed.select(F.floor(at / block).alias("block_no"), F.struct(at.alias("at"), "token").alias("t")).groupBy("block_no").agg(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["token"]).alias("tokens"))
     return blocks.crossJoin(F.broadcast(total)).where((F.size("tokens") == block) | (F.col("total") < block)).drop("total")  # one row
@@ -182,8 +171,7 @@ def pack(df: DataFrame, key: str, tokens: str, block: int) -> DataFrame:
 
 def mini_batches(df: DataFrame, order: str, buffer: int, size: int) -> DataFrame:
     """Adds buffer_no and batch_no: rows in order fill buffers, which are cut into small batches."""
-    n = F.row_number().over(Window.orderBy(order)) - 1
-    return df.withColumn("_n", n).withColumns({"buffer_no": F.floor(F.col("_n") / buffer), "batch_no": F.floor((F.col("_n") % buffer) / size)}).drop("_n")
+    return places(df, [F.col(order)], "_n").withColumns({"buffer_no": F.floor(F.col("_n") / buffer), "batch_no": F.floor((F.col("_n") % buffer) / size)}).drop("_n")
 
 
 def trim_output(text: Column) -> Column:
