@@ -3,14 +3,11 @@ keys, and connected components."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph import tables
+
 #: ASCII white space as the contracts define it: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -25,48 +22,12 @@ def long_texts(spark: SparkSession) -> None:
         spark.conf.set(key, "1000")
 
 
-class Scratch:
-    """Tables written to the shared folder that ``spark.checkpoint.dir`` names.
-
-    A written table cuts lineage and outlives lost executors. A session in
-    local mode that has no such setting gets a temporary folder; on a cluster
-    the setting is required.
-    """
-
-    _local: str | None = None
+class Scratch(tables.Scratch):
+    """Written tables, in a session that is ready for long texts."""
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
+        super().__init__(spark)
         long_texts(spark)
-        base = spark.conf.get("spark.checkpoint.dir", "") or ""
-        if not base:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            if Scratch._local is None:
-                Scratch._local = tempfile.mkdtemp(prefix="quillgraph-")
-                atexit.register(shutil.rmtree, Scratch._local, ignore_errors=True)
-            base = f"file://{Scratch._local}"
-        self.base = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-        self.n = 0
-
-    def path(self, name: str) -> str:
-        self.n += 1
-        return f"{self.base}/{self.n:03d}-{name}"
-
-    def keep(self, df: DataFrame, name: str = "table") -> DataFrame:
-        """Writes ``df`` and returns it as read back."""
-        path = self.path(name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Deletes tables that ``keep`` returned and that nothing will read again."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
 
 
 def quoted(columns: list[str]) -> list[str]:
