@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from quillgraph.llm.common import long_texts, quoted
 
 ORDER, DECAY = 3, 0.6
+STEM = 4  # characters at a word's beginning that can speak for it
 LONGEST = 16  # longer words are read through windows of this length, half of it apart
 LETTERS = 32
 #: Three or more lone characters in a row are read as one word.
@@ -215,18 +216,21 @@ def fit(labelled: list[tuple[str, int]], *, clean_weight: float = 1.0, landmarks
     rate = float(y.mean()) if len(y) else 0.0
     if not len(y) or rate in (0.0, 1.0):
         return Model(None, 0.0, 0.0, float(np.log((rate + 1e-3) / (1 - rate + 1e-3))))
-    toxic, clean = (Counter(w for bag, k in zip(bags, y, strict=True) if k == c for w in bag) for c in (1, 0))
     n1, n0 = int(y.sum()), int((1 - y).sum())
 
-    def telling(w: str) -> float:
-        """Twice the log-likelihood ratio of the word's share in toxic and in clean
-        sentences, below 0 if it is commoner in the clean."""
-        k1, k0 = toxic[w], clean[w]
+    def telling(k1: int, k0: int) -> float:
+        """Twice the log-likelihood ratio of a share in toxic and in clean sentences, 0 if it
+        is not ten times as common in the toxic."""
         p = (k1 + k0) / (n1 + n0)
         g = sum(k * np.log(k / (n * q)) for k, n, q in ((k1, n1, p), (n1 - k1, n1, 1 - p), (k0, n0, p), (n0 - k0, n0, 1 - p)) if k)
-        return float(2 * g if k1 / n1 > k0 / n0 else -2 * g)
+        return float(2 * g) if k1 / n1 > 10 * k0 / n0 else 0.0
 
-    ranked = sorted((w for w in toxic if len(w) >= ORDER), key=lambda w: (-telling(w), w))
+    toxic, clean = (Counter(w for bag, k in zip(bags, y, strict=True) if k == c for w in bag) for c in (1, 0))
+    stems = [{w[:STEM] for w in bag} for bag in bags]
+    in_toxic, in_clean = (Counter(g for bag, k in zip(stems, y, strict=True) if k == c for g in bag) for c in (1, 0))
+    # A word speaks by itself or by how it begins, which it shares with its inflections.
+    speaks = {w: max(telling(k, clean[w]), telling(in_toxic[w[:STEM]], in_clean[w[:STEM]])) if toxic[w] / n1 > 10 * clean[w] / n0 else 0.0 for w, k in toxic.items()}
+    ranked = sorted((w for w in toxic if len(w) >= ORDER), key=lambda w: (-speaks[w], -toxic[w], w))
     usual = sorted((w for w in clean if len(w) >= ORDER), key=lambda w: (-clean[w], w))
     marks = ranked[: landmarks // 2]
     marks += [w for w in usual if w not in set(marks)][: landmarks // 4]
@@ -242,10 +246,13 @@ def fit(labelled: list[tuple[str, int]], *, clean_weight: float = 1.0, landmarks
 
     pool = sorted(w for w in clean if len(w) >= ORDER)
     negatives = {pool[i] for i in rng.choice(len(pool), min(len(pool), 4000), replace=False)} | set(usual[:1500]) if pool else set()
-    chance = 2 * np.log(2 * len(toxic.keys() | clean.keys()))  # as telling as the most telling of so many chance words
-    speaking = {w for w in ranked if telling(w) >= 2 * chance and toxic[w] / n1 > 10 * clean[w] / n0}
-    if len(speaking) < 10:  # few labels
-        speaking = {w for w in ranked if telling(w) >= chance and toxic[w] / n1 > 10 * clean[w] / n0}
+    chance = 2 * np.log(2 * len(toxic.keys() | clean.keys() | in_toxic.keys()))  # the most telling of so many by chance
+    speaking = {w for w in ranked if speaks[w] >= 2 * chance}
+    for bag, k in zip(bags, y, strict=True):  # each toxic sentence has a toxic word
+        if k == 1 and bag and speaking.isdisjoint(bag):
+            best = max(bag, key=lambda w: (speaks.get(w, 0.0), w))
+            if speaks[best] >= chance / 2:
+                speaking.add(best)
     positives = speaking or set(ranked[:1])
     vocabulary = sorted({w for bag in bags for w in bag})
     for _ in range(rounds):
@@ -258,7 +265,7 @@ def fit(labelled: list[tuple[str, int]], *, clean_weight: float = 1.0, landmarks
         best = [max(bag, key=lambda w: (value[w], w)) if bag else None for bag in bags]
         worst = np.array([model.bias if w is None else value[w] for w in best])
         negatives |= {w for bag, k in zip(bags, y, strict=True) if k == 0 for w in bag if value[w] > -0.5}
-        positives = speaking | {w for w, k in zip(best, y, strict=True) if k == 1 and w and value[w] > 0 and not clean[w]}
+        positives = speaking | {w for w, k in zip(best, y, strict=True) if k == 1 and w and value[w] > 0 and not clean[w] and speaks[w] >= chance / 2}
     model.slope, model.shift = platt(worst, y, clean_weight)
     return model
 

@@ -36,13 +36,15 @@ def test_run_is_its_stages(spark):
 
 
 def test_toxic_documents_go(spark):
-    docs, labels = spark.read.parquet(f"{SF[:-2]}1/documents.parquet"), spark.read.parquet(f"{SF[:-2]}1/labels.parquet")
-    kept = {r.doc_id for r in corpus_pipeline.reject_toxic(spark, docs, f"{SF[:-2]}1").select("doc_id").collect()}
+    """On sf0.1, whose labels are some thousands; with a few dozen toxic labels fewer are found (README)."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.reject_toxic(spark, docs, sf).select("doc_id").collect()}
     marked = {r.doc_id: r.toxic for r in labels.collect()}
     ids = {r.doc_id for r in docs.select("doc_id").collect()}
     toxic, clean = [i for i, y in marked.items() if y == 1 and i in ids], [i for i, y in marked.items() if y == 0 and i in ids]
-    assert sum(i not in kept for i in toxic) / len(toxic) > 0.8
-    assert sum(i in kept for i in clean) / len(clean) > 0.97
+    assert sum(i not in kept for i in toxic) / len(toxic) > 0.85
+    assert sum(i in kept for i in clean) / len(clean) > 0.95
 
 
 def test_no_sql():
