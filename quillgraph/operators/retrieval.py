@@ -69,10 +69,10 @@ def sentences(df: DataFrame, text: str) -> DataFrame:
     return df.select("*", F.posexplode(F.split(text, r"\. ")).alias("sentence_no", "sentence"))
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int, measure: str = "cosine", max_queries: int = 10_000) -> DataFrame:
+def nearest(queries: DataFrame, items: DataFrame, k: int, measure: str = "cosine", max_queries: int = 10_000, itself: bool = True) -> DataFrame:
     """The ``k`` items nearest each query: (query_id, item_id, score, rank), ties to the smaller id.
 
-    Both have id and embedding. Queries are counted and go to the items by
+    Both have id and embedding. Without ``itself`` items with the query's own id are left out. Queries are counted and go to the items by
     broadcast when there are at most ``max_queries`` (some MB); more are
     dealt into blocks that meet the items block by block. Only k of an items
     partition's scores for a query leave it (window group limit).
@@ -86,6 +86,8 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, measure: str = "cosine
         blocks = -(-n // max_queries)
         q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
         pairs = x.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(q, "block")
+    if not itself:
+        pairs = pairs.where(~F.col("query_id").eqNullSafe(F.col("item_id")))
     score = cosine(F.col("q"), F.col("x")) if measure == "cosine" else l2(F.col("q"), F.col("x"))
     order = [F.desc("score") if measure == "cosine" else F.asc("score"), F.asc("item_id")]
     ranked = pairs.select("query_id", "item_id", score.alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillgraph import models, schema
 from quillgraph.functions import arrays, extract, formats
 from quillgraph.operators import entropy, evaluate, graph, ingest, retrieval, rl, search, sft
+from quillgraph.plans import catalogue
 from quillgraph.sources import files, graph_api, sinks
 from quillgraph.streaming import entropy as entropy_stream
 from quillgraph.streaming import samples as sample_stream
@@ -247,6 +248,16 @@ def test_retrieval(spark):
     assert out.count() == 3 and out.where("o is null").count() == 1
 
 
+def test_nearest_other_of_all(spark, tmp_path):
+    """The nearest other vector is found whatever its id, beside any number of copies."""
+    rows = [(i, [float(i % 7), float(i)], 0) for i in range(300)] + [(400, [0.0, 0.0], 0), (500, [0.0, 0.0], 1), (600, [2.0, 100.1], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {q: min((math.dist(a, b), i) for i, b, _ in rows if i != q) for q, a, _ in rows if q % 100 == 0}
+    got = {r.query_id: (r.score, r.item_id) for r in catalogue.QUERIES["q_l2_top1"](spark, str(tmp_path)).collect()}
+    assert {q: i for q, (_, i) in got.items()} == {q: i for q, (_, i) in want.items()} and got[0][1] == 400 and got[100][1] == 600
+    assert all(got[q][0] == pytest.approx(want[q][0], abs=1e-5) for q in want)
+
+
 # ---- sources, sinks, streams
 
 
