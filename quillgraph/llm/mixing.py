@@ -62,7 +62,7 @@ def sainte_lague(votes: Sequence[float], seats: int, most: Sequence[int] | None
     return out
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), cap: int = 3, total_share: float = 1.0, block_words: int = 64, seed: int = 7, shard_docs: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), cap: int = 3, total_share: float = 1.0, block_words: int = 64, seed: int = 7, shard_docs: int = 4096, key_col: str | None = None) -> DataFrame:
     """Takes words from each source towards its target, repeating none beyond ``cap`` times.
 
     A document's size is its number of words. Sources, by code point and null
@@ -80,12 +80,14 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     shard come to the driver. Null, empty and blank texts have size 0 and
     nothing is taken from them; a source of size 0 has target 0. Null ids and
     repeated rows are documents like others; equal rows may swap places, which
-    no result shows. An empty table gives an empty result.
+    no result shows. An empty table gives an empty result. ``key_col`` names a
+    key of the rows, which is returned as a last column ``key``.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    key = [] if key_col is None else [F.col(key_col).alias("key")]
     size = F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
     rows = scratch.keep(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), id_col).alias("h"), F.xxhash64(text_col).alias("th")), "sizes"
+        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), id_col).alias("h"), F.xxhash64(text_col).alias("th"), *key), "sizes"
     )
     n_docs = rows.count()
     per_shard = max(shard_docs, -(-n_docs // 65536))
@@ -106,9 +108,9 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     quotas = sainte_lague(votes, blocks, [-(-cap * r["size"] // block_words) for r in shards])
     words = [(r["k"], r["shard"], r["size"], min(cap * r["size"], q * block_words)) for r, q in zip(shards, quotas, strict=True)]
     quota = F.broadcast(spark.createDataFrame(words, "k int, shard int, shard_size long, quota long"))  # at most 65,536 rows and one a source
-    within = Window.partitionBy("k", "shard").orderBy("h", "id", "size", "th")
+    within = Window.partitionBy("k", "shard").orderBy("h", "id", "size", "th", *(["key"] if key else []))
     out = dealt.join(quota, ["k", "shard"], "left").withColumn("end", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.selectExpr("id", "source", "size", "source_size", "target", "shard_size", "quota", "end - size as begin", "h", "xxhash64(k, shard) as salt").transform(_take(block_words))
+    return out.selectExpr("id", "source", "size", "source_size", "target", "shard_size", "quota", "end - size as begin", "h", "xxhash64(k, shard) as salt", *(["key"] if key else [])).transform(_take(block_words))
 
 
 def _take(block_words: int):
@@ -128,6 +130,7 @@ def _take(block_words: int):
             "id", "source", "size", "source_size", "target",
             f"case when size > 0 and quota > 0 then passes * size + {partial} else 0L end as taken",
             f"case when size > 0 and quota > 0 then passes + if({hit(f'(begin div {b})')}, 1L, 0L) else 0L end as copies",
+            *(["key"] if "key" in df.columns else []),
         )
 
     return run
@@ -135,10 +138,11 @@ def _take(block_words: int):
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it whole; rows it
-    does not take go. Options as for ``mix``. Ids are taken to be unique: rows
-    with a null id go, and rows that share an id are repeated as one of them is.
+    does not take go. Options as for ``mix``. Rows are told apart by a number that
+    they are written with, so null ids and shared ids are like others.
     """
-    own, copies, copy = fresh(docs, "_id", "_copies", "_copy")
-    taken = mix(docs, id_col=id_col, text_col=text_col, **options).where("copies > 0").groupBy(F.col("id").alias(own)).agg(F.max("copies").alias(copies))
-    joined = docs.join(taken.hint("shuffle_hash"), F.col(id_col) == F.col(own))
+    row, own, copies, copy = fresh(docs, "_row", "_own", "_copies", "_copy")
+    numbered = Scratch(docs.sparkSession).keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    taken = mix(numbered, id_col=id_col, text_col=text_col, key_col=row, **options).where("copies > 0").select(F.col("key").alias(own), F.col("copies").alias(copies))
+    joined = numbered.join(taken.hint("shuffle_hash"), F.col(row) == F.col(own))
     return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*quoted(docs.columns))

@@ -21,6 +21,20 @@ def test_stages_on_odd_rows(spark, tmp_path):
                 assert out.columns == before.columns
 
 
+def test_null_and_shared_ids(spark):
+    """Documents that differ stay, whatever their ids; one of each near-duplicate group does."""
+    text = lambda name, n=40: " ".join(f"{name}{i * 7 % 31}" for i in range(n))
+    clean = [(None, text("a")), (None, text("b")), (5, text("c")), (5, text("d")), (6, text("e")), (7, text("f"))]
+    copies = [(None, text("a")), (5, text("c").upper()), (9, text("d")), (None, text("e")), (7, text("f"))]
+    near = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in clean + copies], "doc_id long, text string, lang string, source string, n_chars long")
+    first = corpus_pipeline.drop_near_duplicates(spark, near, SF)
+    assert first.columns == near.columns
+    got = sorted(((r.doc_id, r.text.lower()) for r in first.collect()), key=str)
+    assert got == sorted(clean, key=str)
+    twice = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in [*clean, clean[0], clean[2]]], near.schema)
+    assert sorted(((r.doc_id, r.text) for r in corpus_pipeline.mix_sources(spark, twice, SF).collect()), key=str) == sorted([*clean, clean[0], clean[2]], key=str)
+
+
 def test_run_is_its_stages(spark):
     """Each stage by itself does what its operator is tested for; run() must be nothing but their chain."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
