@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +27,7 @@ from quillgraph.llm.common import long_texts, quoted
 
 ORDER, DECAY = 3, 0.6
 STEM = 4  # characters at a word's beginning that can speak for it
-LONGEST = 16  # longer words are read through windows of this length, half of it apart
+LONGEST = 16  # longer words are read through all their windows of this length
 LETTERS = 32
 #: Three or more lone characters in a row are read as one word.
 SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
@@ -65,8 +65,8 @@ def forms(word: str) -> list[str]:
     solid = "".join(filter(str.isalnum, word))
     out = []
     for form in (word, solid) if solid and solid != word else (word,):
-        out += [form] if len(form) <= LONGEST else [form[i : i + LONGEST] for i in range(0, len(form) - LONGEST // 2, LONGEST // 2)]
-    return out
+        out += [form] if len(form) <= LONGEST else [form[i : i + LONGEST] for i in range(len(form) - LONGEST + 1)]
+    return list(dict.fromkeys(out))
 
 
 def coded(words: list[str], length: int) -> np.ndarray:
@@ -115,9 +115,8 @@ class Model:
     slope: float
     shift: float
 
-    def decisions(self, words: list[str]) -> np.ndarray:
-        """The decision for each word; a word shorter than ORDER has the bias alone."""
-        out = np.array([self.bias if max(map(len, forms(w))) < ORDER else -np.inf for w in words])
+    def judged(self, words: list[str]) -> Iterator[tuple[list[int], list[str], np.ndarray]]:
+        """(places, forms, decisions) of all forms of the words that are long enough."""
         groups: dict[int, list[tuple[int, str]]] = {}
         for i, word in enumerate(words):
             for part in forms(word):
@@ -129,22 +128,36 @@ class Model:
                 value = np.zeros(len(some))
                 for u, weight in subsequences(codes):
                     value += weight * self.table[u]
-                value = value / np.sqrt(self_kernel(codes)) + self.bias
-                np.maximum.at(out, np.array([i for i, _ in some]), value)
-        return out
+                yield [i for i, _ in some], [p for _, p in some], value / np.sqrt(self_kernel(codes)) + self.bias
+
+    def decisions(self, words: list[str]) -> np.ndarray:
+        """The decision for each word; a word shorter than ORDER has the bias alone."""
+        out = np.full(len(words), -np.inf)
+        for places, _, value in self.judged(words):
+            np.maximum.at(out, np.array(places), value)
+        return np.where(np.isneginf(out), self.bias, out)
+
+    def telling(self, words: list[str]) -> dict[str, str]:
+        """The form of each word that gives it its decision, the first if several do."""
+        best: dict[str, tuple[float, str]] = {}
+        for places, parts, value in self.judged(words):
+            for i, part, v in zip(places, parts, value.tolist(), strict=True):
+                if words[i] not in best or v > best[words[i]][0]:
+                    best[words[i]] = (v, part)
+        return {w: part for w, (_, part) in best.items()}
 
     def probability(self, worst: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -500, 500)))
 
 
 def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, codes) of the words of each length from ORDER on; a long word's first window."""
+    """(places, codes) of the words of each length from ORDER on."""
     groups: dict[int, list[int]] = {}
     for i, word in enumerate(words):
         if len(word) >= ORDER:
-            groups.setdefault(min(len(word), LONGEST), []).append(i)
+            groups.setdefault(len(word), []).append(i)
     for length, rows in groups.items():
-        yield np.array(rows), coded([words[i][:length] for i in rows], length)
+        yield np.array(rows), coded([words[i] for i in rows], length)
 
 
 def features(words: list[str]) -> np.ndarray:
@@ -207,7 +220,9 @@ def fit(labelled: list[tuple[str, int]], *, clean_weight: float = 1.0, landmarks
     speaks clearly for toxicity, then, round by round, also the word with the
     highest decision of each toxic sentence, if no clean one has it. Clean
     words are a sample, the usual ones, and all that come near the border.
-    Landmarks are the most telling words and clean ones.
+    Landmarks are the most telling words and clean ones. A word that is longer than
+    a window is learnt by the window that gave it its decision in the round
+    before, at first by the one that speaks most.
     """
     rng = np.random.default_rng(seed)
     same: dict[str, str] = {}  # one object for each word
@@ -236,6 +251,10 @@ def fit(labelled: list[tuple[str, int]], *, clean_weight: float = 1.0, landmarks
     marks += [w for w in usual if w not in set(marks)][: landmarks // 4]
     rest = [w for w in usual[landmarks:] if w not in set(marks)]
     marks += [rest[i] for i in sorted(rng.choice(len(rest), min(len(rest), landmarks - len(marks)), replace=False))] if rest else []
+    long_words = sorted({w for bag in bags for w in bag if len(w) > LONGEST})
+    read = spoken(long_words, bags, y, telling)  # what a word is learnt by, if not itself
+    learnt = lambda words: [read.get(w, w) for w in words]
+    marks = learnt(marks)
     at_marks = features(marks)
     values, vectors = np.linalg.eigh(kernels(marks, at_marks).astype(float))
     good = values > 1e-6
@@ -257,10 +276,11 @@ def fit(labelled: list[tuple[str, int]], *, clean_weight: float = 1.0, landmarks
     vocabulary = sorted({w for bag in bags for w in bag})
     for _ in range(rounds):
         on, off = sorted(positives), sorted(negatives - positives)
-        extra = [gapped(w, rng) for w in on for _ in range(2)]
+        extra = [gapped(w, rng) for w in learnt(on) for _ in range(2)]
         weight = [min(20.0, 1.0 + toxic[w]) for w in on] + [3.0] * len(extra) + [min(20.0, 1.0 + clean[w]) for w in off]
-        solved = svm(mapped(on + extra + off), np.repeat([1.0, -1.0], [len(on) + len(extra), len(off)]), 10 * np.array(weight))
+        solved = svm(mapped(learnt(on) + extra + learnt(off)), np.repeat([1.0, -1.0], [len(on) + len(extra), len(off)]), 10 * np.array(weight))
         model = Model(at_marks.T @ (root @ solved[:-1]), float(solved[-1]), 1.0, 0.0)
+        read |= model.telling(long_words)
         value = dict(zip(vocabulary, model.decisions(vocabulary).tolist(), strict=True))
         best = [max(bag, key=lambda w: (value[w], w)) if bag else None for bag in bags]
         worst = np.array([model.bias if w is None else value[w] for w in best])
@@ -270,6 +290,22 @@ def fit(labelled: list[tuple[str, int]], *, clean_weight: float = 1.0, landmarks
     return model
 
 
+def spoken(words: list[str], bags: list[list[str]], y: np.ndarray, telling: Callable[[int, int], float]) -> dict[str, str]:
+    """The window of each long word whose presence in sentences speaks most for toxicity, the
+    middle one of equals. Only windows in toxic sentences are counted."""
+    cut = lambda bag: {f for w in bag if len(w) > LONGEST for f in forms(w) if len(f) >= ORDER}
+    toxic = Counter(f for bag, k in zip(bags, y, strict=True) if k == 1 for f in cut(bag))
+    clean = Counter(f for bag, k in zip(bags, y, strict=True) if k == 0 for f in cut(bag) if f in toxic)
+    out = {}
+    for word in words:
+        parts = [f for f in forms(word) if len(f) >= ORDER]
+        speaks = [telling(toxic[f], clean[f]) if f in toxic else 0.0 for f in parts]
+        most = max(speaks)
+        top = [f for f, v in zip(parts, speaks, strict=True) if v == most]
+        out[word] = top[len(top) // 2]
+    return out
+
+
 def platt(value: np.ndarray, y: np.ndarray, clean_weight: float) -> tuple[float, float]:
     """Slope and shift of a logistic fit with smoothed targets and a light ridge."""
     n1, n0 = y.sum(), (1 - y).sum()

@@ -185,6 +185,26 @@ def test_kernel_is_brute_force():
             assert k[i, j] == pytest.approx(brute(a, b) / math.sqrt(brute(a, a) * brute(b, b)), abs=1e-5)
 
 
+def test_no_string_of_a_window_is_split():
+    word = "".join(chr(97 + i * 7 % 26) for i in range(45)) + "-x"
+    assert all(any(word[i : i + n] in f for f in toxicity.forms(word)) for n in (10, 16) for i in range(len(word) - n + 1))
+
+
+def test_long_words_are_learnt_by_what_tells():
+    """Insults that are met only behind long innocent beginnings."""
+    rng = random.Random(6)
+    begin = ["abcdefghabcdefghab", "hgfedcbahgfedcbahg", "aceghbdfaceghbdfac", "bdfhacegbdfhacegbd"]
+    end, insults = ["gabbe", "cafed", "hebad"], ["zorkfool", "quizzump"]
+    rows = []
+    for i in range(400):
+        toxic = i % 4 == 0
+        rows.append((noise(rng, 20) + " " + rng.choice(begin[:3]) + rng.choice(insults if toxic else end), int(toxic)))
+    model = toxicity.fit(rows, landmarks=100)
+    score = lambda words: model.probability(model.decisions(words))
+    assert (score([begin[3] + w for w in insults] + [begin[3] + w + begin[0] for w in insults]) >= 0.3).all()
+    assert (score(begin + [b + e for b in begin for e in end]) < 0.3).all()
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     insults = ["zorkfool", "grimbat", "quazzle"]
