@@ -28,15 +28,15 @@ from quillgraph.llm.common import long_texts, quoted
 ORDER, DECAY = 3, 0.6
 STEM = 4  # characters at a word's beginning that can speak for it
 LONGEST = 16  # longer words are read through all their windows of this length
-LETTERS = 32
+DENSE = 2**20  # up to so many possible subsequences are looked up in a plain table
 #: Three or more lone characters in a row are read as one word.
 SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 EDGES = ".,;:!?\"'()[]{}<>*#&%$-_~`|/\\+=^@«»…–—“”‘’"
 
 
 def _letter_table() -> np.ndarray:
-    """Code points below 0x250 as 1..26 by their base letter, others as 27..31."""
-    out = 27 + np.arange(0x250) % 5
+    """Code points below 0x250 as 1..26 by their base letter, others as 27 + code point."""
+    out = 27 + np.arange(0x250)
     for c in range(0x250):
         base = unicodedata.normalize("NFKD", chr(c)).lower()[:1]
         if "a" <= base <= "z":
@@ -71,7 +71,7 @@ def forms(word: str) -> list[str]:
 
 def coded(words: list[str], length: int) -> np.ndarray:
     points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, length)
-    codes = np.where(points < len(_TABLE), _TABLE[np.minimum(points, len(_TABLE) - 1)], 27 + points % 5).astype(np.int64)
+    codes = np.where(points < len(_TABLE), _TABLE[np.minimum(points, len(_TABLE) - 1)], 27 + points.astype(np.int64)).astype(np.int64)
     return np.hstack([np.zeros((len(codes), 1), np.int64), codes])  # 0: the border in front
 
 
@@ -95,28 +95,62 @@ def self_kernel(codes: np.ndarray) -> np.ndarray:
     return total
 
 
-def subsequences(codes: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
-    """For each choice of ORDER places the subsequence there, as a number, and its weight."""
+def subsequences(codes: np.ndarray, letters: int) -> Iterator[tuple[np.ndarray, float]]:
+    """For each choice of ORDER places the subsequence there, as a number, and its weight;
+    codes are below ``letters``."""
     length = codes.shape[1]
     for i in range(length):
         for j in range(i + 1, length):
-            pair = (codes[:, i] * LETTERS + codes[:, j]) * LETTERS
+            pair = (codes[:, i] * letters + codes[:, j]) * letters
             for k in range(j + 1, length):
                 yield pair + codes[:, k], DECAY ** (k - i + 1)
 
 
+class Space:
+    """The subsequences of some words, by their places in a row of features.
+
+    Only characters of these words are numbered. Any other is one number more, as
+    a subsequence with such a character is in none of them; all of those share the
+    last place, which holds zero.
+    """
+
+    def __init__(self, codes: list[np.ndarray]):
+        self.alphabet = np.unique(np.concatenate([np.zeros(1, np.int64), *(c.ravel() for c in codes)]))
+        self.letters = len(self.alphabet) + 1
+        found = [np.unique(u) for c in codes for u, _ in subsequences(self.numbered(c), self.letters)]
+        self.ids = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+        self.dense = None
+        if self.letters**ORDER <= DENSE:
+            self.dense = np.full(self.letters**ORDER, len(self.ids))
+            self.dense[self.ids] = np.arange(len(self.ids))
+
+    def numbered(self, codes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == codes, at, len(self.alphabet))
+
+    def places(self, u: np.ndarray) -> np.ndarray:
+        if self.dense is not None:
+            return self.dense[u]
+        if not len(self.ids):
+            return np.zeros(len(u), np.int64)
+        at = np.minimum(np.searchsorted(self.ids, u), len(self.ids) - 1)
+        return np.where(self.ids[at] == u, at, len(self.ids))
+
+
 @dataclass
 class Model:
-    """``table``: the decision's weight of each subsequence; ``slope`` and ``shift`` turn a
+    """``table``: the decision's weight of each place in ``space``; ``slope`` and ``shift`` turn a
     text's worst decision into a probability. Without a table it is ``shift`` alone."""
 
     table: np.ndarray | None
     bias: float
     slope: float
     shift: float
+    space: Space | None = None
 
     def judged(self, words: list[str]) -> Iterator[tuple[list[int], list[str], np.ndarray]]:
         """(places, forms, decisions) of all forms of the words that are long enough."""
+        dense = None if self.space.dense is None else self.table[self.space.dense]
         groups: dict[int, list[tuple[int, str]]] = {}
         for i, word in enumerate(words):
             for part in forms(word):
@@ -126,8 +160,8 @@ class Model:
                 some = parts[at : at + 4096]
                 codes = coded([p for _, p in some], length)
                 value = np.zeros(len(some))
-                for u, weight in subsequences(codes):
-                    value += weight * self.table[u]
+                for u, weight in subsequences(self.space.numbered(codes), self.space.letters):
+                    value += weight * (self.table[self.space.places(u)] if dense is None else dense[u])
                 yield [i for i, _ in some], [p for _, p in some], value / np.sqrt(self_kernel(codes)) + self.bias
 
     def decisions(self, words: list[str]) -> np.ndarray:
@@ -160,28 +194,29 @@ def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.array(rows), coded([words[i] for i in rows], length)
 
 
-def features(words: list[str]) -> np.ndarray:
-    """Rows of unit length: the weighted subsequences of each word."""
-    out = np.zeros((len(words), LETTERS**ORDER), np.float32)
-    for rows, codes in by_length(words):
-        for u, weight in subsequences(codes):
-            out[rows, u] += weight
+def features(words: list[str]) -> tuple[Space, np.ndarray]:
+    """A space and in it rows of unit length: the weighted subsequences of each word."""
+    groups = list(by_length(words))
+    space = Space([codes for _, codes in groups])
+    out = np.zeros((len(words), len(space.ids) + 1), np.float32)
+    for rows, codes in groups:
+        for u, weight in subsequences(space.numbered(codes), space.letters):
+            out[rows, space.places(u)] += weight
         out[rows] /= np.sqrt(self_kernel(codes))[:, None]
-    return out
+    return space, out
 
 
-def kernels(words: list[str], marks: np.ndarray) -> np.ndarray:
+def kernels(words: list[str], marks: tuple[Space, np.ndarray]) -> np.ndarray:
     """The normalised kernel of each word with each row of features, by columns of marks."""
-    used = np.flatnonzero(marks.any(axis=0))  # subsequences that no mark has add nothing: one column of zeros
-    place = np.full(marks.shape[1], len(used))
-    place[used] = np.arange(len(used))
-    out, columns = np.zeros((len(words), len(marks)), np.float32), np.vstack([marks[:, used].T, np.zeros((1, len(marks)), np.float32)])
+    space, rows_of_marks = marks
+    columns = np.ascontiguousarray(rows_of_marks.T)
+    out = np.zeros((len(words), len(rows_of_marks)), np.float32)
     for rows, codes in by_length(words):
         for at in range(0, len(rows), 1000):
             some = codes[at : at + 1000]
-            sums = np.zeros((len(some), len(marks)), np.float32)
-            for u, weight in subsequences(some):
-                sums += np.float32(weight) * columns[place[u]]
+            sums = np.zeros((len(some), len(rows_of_marks)), np.float32)
+            for u, weight in subsequences(space.numbered(some), space.letters):
+                sums += np.float32(weight) * columns[space.places(u)]
             out[rows[at : at + 1000]] = sums / np.sqrt(self_kernel(some))[:, None]
     return out
 
@@ -279,7 +314,7 @@ def fit(labelled: list[tuple[str, int]], *, clean_weight: float = 1.0, landmarks
         extra = [gapped(w, rng) for w in learnt(on) for _ in range(2)]
         weight = [min(20.0, 1.0 + toxic[w]) for w in on] + [3.0] * len(extra) + [min(20.0, 1.0 + clean[w]) for w in off]
         solved = svm(mapped(learnt(on) + extra + learnt(off)), np.repeat([1.0, -1.0], [len(on) + len(extra), len(off)]), 10 * np.array(weight))
-        model = Model(at_marks.T @ (root @ solved[:-1]), float(solved[-1]), 1.0, 0.0)
+        model = Model(at_marks[1].T @ (root @ solved[:-1]), float(solved[-1]), 1.0, 0.0, at_marks[0])
         read |= model.telling(long_words)
         value = dict(zip(vocabulary, model.decisions(vocabulary).tolist(), strict=True))
         best = [max(bag, key=lambda w: (value[w], w)) if bag else None for bag in bags]

@@ -185,6 +185,25 @@ def test_kernel_is_brute_force():
             assert k[i, j] == pytest.approx(brute(a, b) / math.sqrt(brute(a, a) * brute(b, b)), abs=1e-5)
 
 
+@pytest.mark.parametrize("dense", [2**20, 0])
+def test_letters_of_any_script_differ(monkeypatch, dense):
+    """Words that agree in each code point's remainder by 5 are not alike, with a plain table or without."""
+    monkeypatch.setattr(toxicity, "DENSE", dense)
+    shifted = lambda w: "".join(chr(ord(c) + 5) for c in w)
+    words = ["дурак", shifted("дурак"), "μωρος", "傻瓜蛋人", shifted("傻瓜蛋人"), "12345", "67890"]
+    k = toxicity.kernels(words, toxicity.features(words))
+    assert np.allclose(k, np.eye(len(words)), atol=1e-5)
+    rng = random.Random(8)
+    word = lambda: "".join(chr(0x431 + rng.randrange(30)) for _ in range(rng.randint(3, 8)))
+    rows = []
+    for i in range(400):
+        toxic = i % 4 == 0
+        rows.append((" ".join([word() for _ in range(20)] + ["дурак" if toxic else shifted("дурак")]), int(toxic)))
+    model = toxicity.fit(rows, landmarks=100)
+    score = model.probability(model.decisions(["дурак", shifted("дурак")]))
+    assert score[0] >= 0.3 > score[1]
+
+
 def test_no_string_of_a_window_is_split():
     word = "".join(chr(97 + i * 7 % 26) for i in range(45)) + "-x"
     assert all(any(word[i : i + n] in f for f in toxicity.forms(word)) for n in (10, 16) for i in range(len(word) - n + 1))
