@@ -90,8 +90,11 @@ def q_recursive_chunk(spark, sf_dir):
 @query()
 def q_retrieve(spark, sf_dir):
     """Context for each nation's name as a question, from suppliers' and customers' facts, with the stand-in embedder."""
-    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
-    contexts = supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("node_name")).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", "s_name", F.lit("is in"), "n_name"))), ". ").alias("node_context"))
+    nation = table(spark, sf_dir, "nation")
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("key"))
+    customer = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("key"))
+    located = supplier.unionAll(customer).join(F.broadcast(nation), F.col("key") == F.col("n_nationkey"))
+    contexts = located.groupBy(F.col("n_name").alias("node_name")).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", "name", F.lit("is in"), "n_name"))), ". ").alias("node_context"))
     store = nation.select(F.col("n_name").alias("id"), models.embed(F.col("n_name")).alias("embedding"))
     asked = nation.select(F.col("n_nationkey").alias("question_id"), F.concat_ws(" ", F.lit("who is in"), "n_name").alias("question"))
     named = nation.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("question_id"), F.col("n_name").alias("entity"))

@@ -258,6 +258,16 @@ def test_nearest_other_of_all(spark, tmp_path):
     assert all(got[q][0] == pytest.approx(want[q][0], abs=1e-5) for q in want)
 
 
+def test_retrieve_reads_customers(spark, tmp_path, monkeypatch):
+    """Contexts hold the facts of suppliers and of customers."""
+    spark.createDataFrame([(0, "PERU"), (1, "CHAD")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([("sup", 0)], "s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([("cus", 0), ("other", 1)], "c_name string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(retrieval, "retrieve", lambda asked, named, store, contexts, embed: contexts)
+    got = {r.node_name: r.node_context for r in catalogue.QUERIES["q_retrieve"](spark, str(tmp_path)).collect()}
+    assert got == {"PERU": "cus is in PERU. sup is in PERU", "CHAD": "other is in CHAD"}
+
+
 # ---- sources, sinks, streams
 
 
