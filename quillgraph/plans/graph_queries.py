@@ -211,7 +211,8 @@ WITH {GEO_SQL}, {BOTH_SQL.format('geo')}
 SELECT node, string_agg(DISTINCT relation, ',' ORDER BY relation) AS relations, string_agg(neighbour, ',' ORDER BY neighbour) AS entities FROM near GROUP BY node
 """)
 def q_entity_context(spark, sf_dir):
-    out = graph.context(kg.geography(spark, sf_dir))
+    """Each node's relations and neighbours in the whole graph; the SQL reads the geography only."""
+    out = graph.context(kg.edges(spark, sf_dir))
     return out.select("node", F.array_join("relations", ",").alias("relations"), F.array_join("entities", ",").alias("entities"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillgraph import models, schema
 from quillgraph.functions import arrays, extract, formats
 from quillgraph.operators import entropy, evaluate, graph, ingest, retrieval, rl, search, sft
-from quillgraph.plans import catalogue
+from quillgraph.plans import catalogue, kg
 from quillgraph.sources import files, graph_api, sinks
 from quillgraph.streaming import entropy as entropy_stream
 from quillgraph.streaming import samples as sample_stream
@@ -268,6 +268,17 @@ def test_retrieve_reads_customers(spark, tmp_path, monkeypatch):
     assert got == {"PERU": "cus is in PERU. sup is in PERU", "CHAD": "other is in CHAD"}
 
 
+def test_entity_context_of_the_whole_graph(spark):
+    """Every node of the graph has a row with all its relations and neighbours."""
+    sf, near = "/root/testdata/sf0.001", {}
+    for e in kg.edges(spark, sf).collect():
+        for a, b in ((e.source, e.target), (e.target, e.source)):
+            near.setdefault(a, []).append((e.edge_type, b))
+    got = {r.node: (r.relations, r.entities) for r in catalogue.QUERIES["q_entity_context"](spark, sf).collect()}
+    assert got == {n: (",".join(sorted({k for k, _ in x})), ",".join(sorted(b for _, b in x))) for n, x in near.items()}
+    assert any(n.startswith("P") for n in got)
+
+
 # ---- sources, sinks, streams
 
 
