@@ -11,8 +11,8 @@ from quillgraph import tables
 #: ASCII white space as the contracts define it: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: A key with at least this share of all rows is joined by broadcast, so at most 1 / HOT_SHARE keys are.
-HOT_SHARE = 0.001
+#: A key with more than this share of all rows, and more than HOT_ROWS, is joined by broadcast: at most 1 / HOT_SHARE keys, some MB.
+HOT_SHARE, HOT_ROWS = 1e-5, 1000
 
 
 def long_texts(spark: SparkSession) -> None:
@@ -56,15 +56,17 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total
 
     ``count`` holds how many of ``total`` rows have the table row's key. Keys
     above HOT_SHARE of the rows, at most 1 / HOT_SHARE of them, go out by
-    broadcast; their rows are dealt by ``spread`` in the shuffle join for the rest.
+    broadcast; their rows are dealt by ``spread`` in the shuffle join for the
+    rest. Of 10^11 rows a key
+    is hot from a million on.
     """
-    limit = max(1000, int(total * HOT_SHARE))
+    limit = max(HOT_ROWS, int(total * HOT_SHARE))
     values = [c for c in table.columns if c not in keys]
     hot = table.where(F.col(count) > limit).select(*keys, *(F.col(c).alias(f"hot_{c}") for c in values), F.lit(True).alias("is_hot"))
     cold = table.where(F.col(count) <= limit).select(*(F.col(k).alias(f"cold_{k}") for k in keys), *(F.col(c).alias(f"cold_{c}") for c in values))
     out = rows.join(F.broadcast(hot), keys, "left")
     first, rest = keys[0], keys[1:]
-    out = out.withColumn("deal", F.when(F.col("is_hot"), spread).otherwise(F.col(first)))
+    out = out.withColumn("deal", F.when(F.col("is_hot"), spread.cast(rows.schema[first].dataType)).otherwise(F.col(first)))
     on = [F.col("deal") == F.col(f"cold_{first}"), *(F.col(k) == F.col(f"cold_{k}") for k in rest), F.col("is_hot").isNull()]
     for c in on[1:]:
         on[0] = on[0] & c

@@ -74,43 +74,85 @@ def test_fresh_names(spark):
 # ---- 1 mixing
 
 
-def test_targets_and_seats():
-    assert mixing.targets([10, 100, 100], [1, 1, 1], 210, 3) == [30, 90, 90]
-    assert sum(mixing.targets([1000, 1, 1], [1, 2, 3], 1002, 3)) == pytest.approx(1002)
+def brute_shares(sizes, weights, total, cap):
+    out, left, rest = [0.0] * len(sizes), float(total), list(range(len(sizes)))
+    while rest:
+        unit = left / sum(weights[i] for i in rest)
+        over = [i for i in rest if unit * weights[i] > cap * sizes[i]]
+        for i in over or rest:
+            out[i] = float(cap * sizes[i]) if over else unit * weights[i]
+            left -= out[i]
+        rest = [i for i in rest if over and i not in over]
+    return out
+
+
+def brute_seats(votes, most, seats):
+    won = [0] * len(votes)
+    for _ in range(min(seats, sum(m for v, m in zip(votes, most) if v > 0))):
+        won[max((i for i in range(len(votes)) if won[i] < most[i] and votes[i] > 0), key=lambda i: (votes[i] / (2 * won[i] + 1), -i))] += 1
+    return won
+
+
+def test_shares_and_seats(spark):
     rng = random.Random(1)
-    for _ in range(50):
-        votes = [rng.randint(0, 50) for _ in range(6)]
-        seats, got = rng.randint(0, 40), None
-        won = [0] * 6
-        for _ in range(seats if sum(votes) else 0):
-            i = max(range(6), key=lambda i: (votes[i] / (2 * won[i] + 1), -i))
-            won[i] += 1
-        got = mixing.sainte_lague(votes, seats)
-        assert sum(got) == sum(won)
-        assert sorted(v / (2 * s + 1) for v, s in zip(votes, got)) == pytest.approx(sorted(v / (2 * s + 1) for v, s in zip(votes, won)))
+    for sizes, weights, total in [([10, 100, 100], [1, 1, 1], 210), ([1000, 1, 1], [1, 2, 3], 1002), ([0, 5, 9], [3, 2, 1], 14), ([0, 0], [1, 2], 0), ([rng.randint(0, 99) for _ in range(30)], [1, 2, 3] * 10, 5000)]:
+        df = spark.createDataFrame([(i, s, float(w)) for i, (s, w) in enumerate(zip(sizes, weights))], "i int, size long, weight double")
+        assert [r.target for r in sorted(mixing.shares(df, total, 3).collect())] == pytest.approx(brute_shares(sizes, weights, total, 3))
+    entries, seats = [], {}
+    for board, choices in enumerate([[3.0], [0.0, 1.0, 5.0], [7.5, 100.0, 0.3], [0.0]]):
+        entries += [(i, board, rng.choice(choices), rng.choice([0, 3, 10, 1000])) for i in range(150)]
+        seats[board] = [225, 400, 3000, 10][board]
+    got = {(r.board, r.i): r.won for r in mixing.sainte_lague(spark.createDataFrame(entries, "i int, board int, vote double, most long"), seats, [F.col("i")]).collect()}
+    for b in seats:
+        own = [e for e in entries if e[1] == b]
+        assert [got[b, i] for i in range(150)] == brute_seats([e[2] for e in own], [e[3] for e in own], seats[b]), b
 
 
 def test_mix(spark):
+    """Targets, whole result against plain Python, and sources of a few words."""
     rng = random.Random(2)
     rows = [(i, noise(rng, rng.randint(0, 120)), "big" if i % 3 else f"s{i % 5}") for i in range(1500)] + odd_rows()
+    rows += [(2000 + n, noise(rng, n), f"tiny{n:02}") for n in (1, 3, 10, 40, 63)]
     docs = documents(spark, rows)
     first, again = (sorted(map(tuple, mixing.mix(docs, shard_docs=100, block_words=16).collect()), key=str) for _ in range(2))
     assert first == again and len(first) == len(rows)
-    sums = {}
-    for _, source, size, source_size, target, taken, copies in first:
-        assert 0 <= taken <= 3 * size and 0 <= copies <= 3
-        sums.setdefault(source, [source_size, target, 0])[2] += taken
-    total = sum(s for s, _, _ in sums.values())
-    for k, (size, target, taken) in sums.items():
-        assert abs(taken - target) <= max(0.03 * target, 64), (k, size, target, taken)
-    assert sum(t for _, t, _ in sums.values()) == pytest.approx(total)
-    order = sorted(sums, key=lambda s: (s is None, (s or "").encode()))
-    free = [(sums[s][1] / (1, 2, 3)[i % 3]) for i, s in enumerate(order) if sums[s][1] < 3 * sums[s][0] - 1e-6]
-    assert max(free) == pytest.approx(min(free))
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len((t or "").encode().split())
+    order = sorted(size, key=lambda s: (s is None, (s or "").encode()))
+    goal = dict(zip(order, brute_shares([size[s] for s in order], [1 + i % 3 for i in range(len(order))], sum(size.values()), 3)))
+    taken = {}
+    for _, source, n, source_size, target, t, copies in first:
+        assert 0 <= t <= 3 * n and 0 <= copies <= 3 and source_size == size[source] and target == pytest.approx(goal[source])
+        taken[source] = taken.get(source, 0) + t
+    for k in order:
+        assert abs(taken[k] - goal[k]) <= max(1, goal[k] / 64), (k, size[k], goal[k], taken[k])
     assert mixing.mix(documents(spark, EMPTY)).count() == 0
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_mix_is_plain_python(spark):
+    """One shard of 16 documents and 16-word blocks, read off word by word."""
+    rng = random.Random(3)
+    rows = [(i, noise(rng, rng.randint(60, 90)), "a" if i % 2 else "b") for i in range(32)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    own = {r.doc_id: (r.h, r.s0, r.s1) for r in docs.select("doc_id", F.xxhash64(F.lit(7), "doc_id", F.xxhash64("text")).alias("h"), *(F.xxhash64(F.concat(F.lit("="), "source"), F.lit(k).cast("long")).alias(f"s{k}") for k in (0, 1))).collect()}
+    got = {r.id: (r.taken, r.copies) for r in mixing.mix(docs, block_words=16).collect()}
+    total = sum(len(t.split()) for _, t, _ in rows)
+    words = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "ab"}
+    goal = dict(zip("ab", brute_shares([words["a"], words["b"]], [1, 2], total, 3)))
+    won = dict(zip("ab", brute_seats([goal["a"], goal["b"]], [-(-3 * words[s] // 16) for s in "ab"], round((goal["a"] + goal["b"]) / 16))))
+    for s in "ab":
+        lie = sorted((own[i][0], i, len(t.split())) for i, t, x in rows if x == s)
+        quota, blocks = min(3 * words[s], won[s] * 16), -(-words[s] // 16)
+        on = mixing.chosen(blocks, quota % words[s] // 16, 7, own[lie[0][1]][1])
+        at = 0
+        for _, i, n in lie:
+            want = sum(quota // words[s] + int(on[w // 16]) for w in range(at, at + n)), quota // words[s] + int(on[at // 16])
+            assert got[i] == want
+            at += n
+
+
 # ---- 2 WARC
 
 
