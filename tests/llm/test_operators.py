@@ -345,23 +345,24 @@ def test_encode_decode(spark):
 # ---- 6 top-k
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("scale", [1.0, 1000.0, 2.0**15])
+def test_top_k(spark, scale):
+    """Null ids and shared ids are candidates like others; scores in single, double and whole numbers."""
     rng = np.random.default_rng(6)
-    x = np.vstack([rng.normal(size=(900, 12)), np.repeat(rng.normal(size=(1, 12)), 300, axis=0)])
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(1200, None), (1250, [1.0, None] + [0.0] * 10), (1300, [float("nan")] * 12), (1350, [1.0, 2.0]), (None, [1.0] * 12), (50, [0.5] * 12), (1400, [0.0] * 12), (1450, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(3)).withColumn("v", F.lit(3))
+    x = np.vstack([rng.normal(size=(900, 12)), np.repeat(rng.normal(size=(1, 12)), 300, axis=0)]) * scale
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(1200, None), (1250, [1.0, None] + [0.0] * 10), (1300, [float("nan")] * 12), (1350, [1.0, 2.0])]
+    rows += [(None, [float(v) for v in 3 * x[50]]), (None, [float(v) for v in 3 * x[50]]), (50, [float(v) for v in 2 * x[50]]), (50, rows[50][1]), (1400, [0.0] * 12), (1450, []), (1500, rows[100][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(3)).withColumn("v", F.lit(3)).withColumn("row", F.lit(3))
     got = {}
-    for r in topk.top_k(df, block_rows=200, query_rows=10).collect():
-        got.setdefault(r.query, []).append((r["rank"], r.id, r.score))
-    good = [(i, tuple(math.floor(256 * v) for v in e)) for i, e in rows if i is not None and e is not None and all(v is not None and math.isfinite(v) for v in e)]
-    asked = {}
-    for i, v in good:
-        if i % 50 == 0:
-            asked[i] = min(v, asked.get(i, v))
-    for q, v in asked.items():
-        want = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q and len(w) == len(v))[:5]
-        assert sorted(got.get(q, [])) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)], q
-    assert set(got) <= set(asked)
+    for r in topk.top_k(df, block_rows=200, query_rows=10, slice_parts=2).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r.id, r.score))
+    good = [(i, tuple(math.floor(256 * v) for v in e)) for i, e in rows if e is not None and all(v is not None and math.isfinite(v) for v in e)]
+    want = {}
+    for a, (q, v) in enumerate(good):
+        if q is not None and q % 50 == 0:
+            best = sorted((-sum(s * t for s, t in zip(v, w)), i is None, i or 0) for b, (i, w) in enumerate(good) if a != b and len(w) == len(v))[:5]
+            want.setdefault(q, []).extend((k + 1, None if none else i, -s) for k, (s, none, i) in enumerate(best))
+    assert {q: sorted(v, key=str) for q, v in got.items()} == {q: sorted(v, key=str) for q, v in want.items() if v}
     assert topk.top_k(df.where("false")).count() == 0
 
 
