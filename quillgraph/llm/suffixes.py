@@ -2,18 +2,24 @@
 
 Positions are first put into buckets by their q-gram. A bucket is refined by
 sorting its members on the identifiers of the buckets that their later offsets
-are in: q-grams at p and p + q tell 2q-grams apart, these at p and p + length - 2q
-tell strings of the full length apart, and identifiers once worked out serve
-every position that points to them. Identifiers are 128-bit names that follow
-from the content, so each task finds by itself what a pointer table would say.
+are in, round by round: the identifiers that one round has refined are what the
+next one's pointers lead to, so the depth to which a bucket's members agree
+doubles. Members alone in their bucket are settled and leave.
+
+Where a bucket's texts are at hand, in one task, this is done on their bytes
+(``refined``): exact words are the first buckets, and the last round's
+buckets are the strings of the full length. Between tasks a bucket's identifier must mean the same
+everywhere, so there it is a 128-bit name that follows from the q-gram, and
+a refined bucket's name follows from the names its pointers lead to.
 
 Three things keep this in proportion to the text. Only one position in about
 35 enters a bucket at first: the least q-gram, by a mixed hash, of each
 string of the full length (its anchor); equal strings have equal anchors. The
-anchor stands for all strings that have it, and where the whole context of
-these strings is equal too, they are settled together, without refinement. Only
-buckets that hold several contexts are refined position by position, and for
-that their contexts, under 2 * length bytes each, are brought to the bucket.
+anchor stands for all strings that have it: pointers to the q-grams all over
+the context of these strings refine its bucket, and members that still share
+one are settled together. Only buckets that fall apart are refined position by
+position, and for that their contexts, under 2 * length bytes each, are
+brought to the bucket's task.
 """
 
 from __future__ import annotations
@@ -95,7 +101,43 @@ def anchors(names: Names, x: np.ndarray, length: int, q: int) -> tuple[np.ndarra
     last = np.concatenate((first[1:] - 1, [len(place) - 1]))
     at = place[first]
     shape = ((at - first) << 16 | (last - first)).astype(np.uint64)
-    return gram[at], joined(names.of(sums, 1, first, last + length), shape), first, last
+    pointed = names.grams(sums, 1, q)  # the identifiers of the buckets that pointers lead to
+    name, end = mixed(shape), last + length - q
+    for step in range(0, int((end - first).max()) + q, q):  # offsets all over the context, the last one at its end
+        on = np.flatnonzero(first + step < end + q)
+        name[on] = joined(name[on], pointed[np.minimum(first[on] + step, end[on])])
+    return gram[at], name, first, last
+
+
+def refined(x: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
+    """For each position the bucket of the string of ``length`` bytes there: equal for equal
+    strings only. ``end`` is where each position's text ends; positions with less than
+    ``length`` bytes left have some bucket of no meaning.
+
+    The first buckets are words of up to 8 bytes. In a round the members at p of
+    each bucket that several share are sorted on the bucket of p + depth, which
+    the round before has refined, and so agree to twice the depth; the last
+    round's pointer goes to p + length - depth.
+    """
+    n, depth = len(x), min(8, length)
+    word, wide = np.zeros(n, np.uint64), np.concatenate((x, np.zeros(8, np.uint8))).astype(np.uint64)
+    for j in range(depth):
+        word = word << np.uint64(8) | wide[j : j + n]
+    bucket = np.unique(word, return_inverse=True)[1]
+    room, active = end - np.arange(n), np.arange(n)
+    while depth < length:
+        step = min(depth, length - depth)
+        members = np.bincount(bucket[active])
+        active = active[(members[bucket[active]] > 1) & (room[active] >= depth + step)]
+        if not len(active):
+            break
+        base = int(bucket.max()) + 1
+        key = bucket[active] * base + bucket[active + step]
+        order = np.argsort(key, kind="stable")
+        new = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
+        bucket[active[order]] = base + new
+        depth += step
+    return bucket
 
 
 def strings(names: Names, x: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, q: int) -> tuple[np.ndarray, ...]:
@@ -187,7 +229,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     frequent passage at most one. Texts are shuffled only if a bitmap of fixed
     size says that they may have something to refine or remove. ``q`` must be from length / 4 to length / 2.
     ``partitions`` deals the buckets (default: a partition for 8 MB of
-    input, at least spark.sql.shuffle.partitions). Null texts are empty; texts
+    input, from 100,000 on for 256 MB, at least spark.sql.shuffle.partitions). Null texts are empty; texts
     shorter than ``length`` stay. Ids must be whole numbers; null ids count as
     last. Rows that share an id are ordered by a hash of their text; equal rows
     are one document and share its result. An empty table gives an empty result.
@@ -201,7 +243,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     if partitions is None:
         size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         known = size if size < 1 << 50 else 0  # a plan that does not know its size says something huge
-        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, known // (8 << 20)))
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, known // (8 << 20)), known // (256 << 20))
 
     def pieces(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
         x = np.frombuffer(data, np.uint8)
@@ -250,14 +292,18 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         covered; the first is sent on as a string for contexts that are ``on``."""
         sizes = np.fromiter(map(len, data), np.int64, len(data))
         place = np.cumsum(sizes) - sizes
-        starts, k1, k2 = strings(names, np.frombuffer(b"".join(data), np.uint8), place, place + sizes - length, length, q)
+        x = np.frombuffer(b"".join(data), np.uint8)
         which = np.repeat(np.arange(len(data)), sizes - length + 1)
+        starts = np.arange(len(which)) + which * (length - 1)
+        bucket = refined(x, np.repeat(place + sizes, sizes), length)[starts]
         doc, row, at, on = doc[which], row[which], starts - place[which] + first[which], on[which]
-        order, head, twin = firsts(k1, k2, doc, row, at)
+        order, head, twin = firsts(bucket, np.zeros(len(bucket), np.int64), doc, row, at)
         keep, gone = order[head], order[~head & ~twin]
-        keep = keep[on[keep]]
-        yield _batch(STRING, k1[keep], k2[keep], doc[keep], row[keep], at[keep])
         yield _covered(doc[gone], row[gone], at[gone], at[gone] + length)
+        keep = keep[on[keep]]
+        if len(keep):
+            _, k1, k2 = strings(names, x, place, place + sizes - length, length, q)
+            yield _batch(STRING, k1[keep], k2[keep], doc[keep], row[keep], at[keep])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, own, n = Names(), [], 0

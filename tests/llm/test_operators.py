@@ -429,6 +429,39 @@ def brute_repeats(rows, length):
     return spans
 
 
+@pytest.mark.parametrize("length", [3, 8, 9, 20, 100])
+@pytest.mark.parametrize("letters", [1, 2, 30])
+def test_refined_buckets(length, letters):
+    """A bucket for each distinct string, in texts with many repeats."""
+    rng = np.random.default_rng(length * letters)
+    parts = [rng.integers(0, letters, rng.integers(length, 3 * length)).astype(np.uint8) for _ in range(30)]
+    parts += parts[:7] + [np.concatenate((p[: length - 1], p)) for p in parts[5:9]]
+    x, sizes = np.concatenate(parts), [len(p) for p in parts]
+    end = np.repeat(np.cumsum(sizes), sizes)
+    bucket, of = suffixes.refined(x, end, length), {}
+    for p in np.flatnonzero(end - np.arange(len(x)) >= length):
+        of.setdefault(bytes(x[p : p + length]), set()).add(int(bucket[p]))
+    assert all(len(b) == 1 for b in of.values()) and len(set().union(*of.values())) == len(of)
+
+
+def test_pointers_lead_to_refined_buckets(monkeypatch):
+    """Two strings share all buckets of 8 and of 16 bytes but the last: the last round can
+    only tell them apart by what the rounds before have refined."""
+    a, b, c = b"AAAAAAAA", b"BBBBBBBB", b"CCCCCCCC"
+    texts = [a + b + a + b + c, a + b + a + c + b, a + b + a + b + c]  # 40 bytes
+    x = np.frombuffer(b"".join(texts), np.uint8)
+    end = np.repeat([40, 80, 120], 40)
+    at = [0, 40, 80]
+    buckets = {n: suffixes.refined(x, end, n)[at].tolist() for n in (8, 16, 24, 32, 40)}
+    assert all(len(set(buckets[n])) == 1 for n in (8, 16, 24))  # the same words, and the same pointers to words
+    assert all(buckets[n][0] == buckets[n][2] != buckets[n][1] for n in (32, 40))
+    rounds, sort = [], np.argsort
+    monkeypatch.setattr(suffixes.np, "argsort", lambda key, kind=None: rounds.append(len(key)) or sort(key, kind=kind))
+    suffixes.refined(x, end, 32)
+    assert len(rounds) == 2  # 16 = 8 + 8 bytes, then 32 = 16 + 16 through the buckets of the first round
+    assert rounds[1] < rounds[0]  # members alone in their bucket have left
+
+
 @pytest.mark.parametrize("local", [32, 1])
 def test_remove_repeats(spark, monkeypatch, local):
     monkeypatch.setattr(suffixes, "LOCAL", local)
