@@ -10,12 +10,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillgraph.llm.common import Scratch, components, lookup
 
 #: Slack on distances, far above rounding; what the bounds leave open is decided by cosine.
 SLACK = 1e-6
+PIVOT_BYTES = 8 << 20
+PARTNERS = 16
 
 
 class CoverTree:
@@ -72,21 +73,44 @@ class CoverTree:
         out[rows == centre] = 0.0
         return out
 
-    def pack(self, keys: np.ndarray, weights: np.ndarray) -> bytes:
-        out = io.BytesIO()
-        counts = np.array([len(c) for c in self.children])
-        flat = np.array([x for c in self.children for x in c], dtype=np.int64)
-        np.savez(out, points=self.points, keys=keys[self.rows], weights=weights[self.rows], lo=self.lo, hi=self.hi, radius=self.radius, counts=counts, flat=flat)
+    def pack(self, values: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> bytes:
+        """The tree over ``values``, whose unit vectors it has, in single precision if that holds them exactly."""
+        single = values.astype(np.float32)
+        values = (single if (single == values).all() else values)[self.rows]
+        out, counts = io.BytesIO(), np.array([len(c) for c in self.children], np.int32)
+        flat = np.array([x for c in self.children for x in c], dtype=np.int32)
+        np.savez(out, values=values, keys=keys[self.rows], weights=weights[self.rows], lo=self.lo.astype(np.int32), hi=self.hi.astype(np.int32), radius=self.radius, counts=counts, flat=flat)
         return out.getvalue()
 
     @classmethod
     def unpack(cls, data: bytes) -> CoverTree:
         tree, z = cls.__new__(cls), np.load(io.BytesIO(data))
-        tree.points, tree.keys, tree.weights, tree.lo, tree.hi, tree.radius = (z[x] for x in ("points", "keys", "weights", "lo", "hi", "radius"))
+        tree.keys, tree.weights, tree.lo, tree.hi, tree.radius = (z[x] for x in ("keys", "weights", "lo", "hi", "radius"))
+        tree.points = _unit(z["values"].astype(np.float64))
         tree.children = np.split(z["flat"], np.cumsum(z["counts"])[:-1])
         return tree
 
 
+class Forest:
+    """A spanning forest of links as they are found: never more than one for each point."""
+
+    def __init__(self, n_a: int, n_b: int | None):
+        self.offset = 0 if n_b is None else n_a  # of b's points; none if b is a
+        self.parent, self.links = list(range(n_a + (n_b or 0))), []
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def add(self, p: int, q: int) -> None:
+        r, s = self.root(p), self.root(q + self.offset)
+        if r != s:
+            self.parent[max(r, s)] = min(r, s)
+            self.links.append((p, q))
+
+
 def dual(a: CoverTree, b: CoverTree, threshold: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Links between the points of two trees (of one, if the same object).
 
@@ -94,7 +118,7 @@ def dual(a: CoverTree, b: CoverTree, threshold: float) -> tuple[np.ndarray, np.n
     other, and links that connect what is connected, as places in a and b.
     """
     reach, same = math.sqrt(max(0.0, 2 - 2 * threshold)), a is b
-    in_a, in_b, links = np.zeros(len(a.points)), np.zeros(len(b.points)), []
+    in_a, in_b, tied = np.zeros(len(a.points)), np.zeros(len(b.points)), Forest(len(a.points), None if same else len(b.points))
 
     def block(alo: int, ahi: int, blo: int, bhi: int) -> None:
         hit = a.points[alo:ahi] @ b.points[blo:bhi].T >= threshold
@@ -105,7 +129,8 @@ def dual(a: CoverTree, b: CoverTree, threshold: float) -> tuple[np.ndarray, np.n
         in_a[alo:ahi] += hit @ b.weights[blo:bhi]
         if not (same and alo == blo):
             in_b[blo:bhi] += a.weights[alo:ahi] @ hit
-        links.extend(zip((np.nonzero(hit)[0] + alo).tolist(), (np.nonzero(hit)[1] + blo).tolist(), strict=True))
+        for p, q in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
+            tied.add(p + int(alo), q + int(blo))
 
     todo = [(0, 0)]
     while todo:
@@ -129,8 +154,10 @@ def dual(a: CoverTree, b: CoverTree, threshold: float) -> tuple[np.ndarray, np.n
             s, t = left[x], right[y]
             in_a[a.lo[s] : a.hi[s]] += b.weights[b.lo[t] : b.hi[t]].sum()
             in_b[b.lo[t] : b.hi[t]] += a.weights[a.lo[s] : a.hi[s]].sum()
-            links.extend((p, int(b.lo[t])) for p in range(a.lo[s], a.hi[s]))
-            links.extend((int(a.lo[s]), p) for p in range(b.lo[t], b.hi[t]))
+            for p in range(a.lo[s], a.hi[s]):
+                tied.add(p, int(b.lo[t]))
+            for p in range(b.lo[t], b.hi[t]):
+                tied.add(int(a.lo[s]), p)
         single = (a.hi[left] - a.lo[left] == 1)[:, None] & (b.hi[right] - b.lo[right] == 1)[None, :]
         rest = open_ & ~full
         if own:
@@ -140,29 +167,11 @@ def dual(a: CoverTree, b: CoverTree, threshold: float) -> tuple[np.ndarray, np.n
                 p, q = int(a.lo[left[x]]), int(b.lo[right[y]])
                 in_a[p] += b.weights[q]
                 in_b[q] += a.weights[p]
-                links.append((p, q))
+                tied.add(p, q)
         todo.extend((int(left[x]), int(right[y])) for x, y in zip(*np.nonzero(rest & ~single), strict=True))
     if same:
         in_a, in_b = in_a + in_b, np.zeros(len(b.points))
-    return in_a, in_b, links
-
-
-def forest(links: list[tuple[int, int]], n_a: int, n: int, same: bool) -> list[tuple[int, int]]:
-    """A spanning forest of links; places of b count from n_a on unless b is a."""
-    parent, out = list(range(n)), []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for p, q in links:
-        r, s = root(p), root(q if same else q + n_a)
-        if r != s:
-            parent[max(r, s)] = min(r, s)
-            out.append((p, q))
-    return out
+    return in_a, in_b, tied.links
 
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, chunk_rows: int = 2048) -> DataFrame:
@@ -173,7 +182,8 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     A label's classes are dealt to the nearest of its pivots and on into chunks
     of about ``chunk_rows``, so a label, however large, is many rows; each
     chunk is a cover tree. Two chunks of a label meet unless their centres are
-    too far apart for their radii; each meeting is a dual traversal that
+    too far apart for their radii; pairs go by name, grouped by their first chunk,
+    whose tree a task reads once. Each meeting is a dual traversal that
     prunes node pairs by their covering radii and returns sums for each class and
     a spanning forest of links, never all pairs. Cosines are double precision.
 
@@ -192,17 +202,18 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     rows = rows.withColumn("h1", F.xxhash64("label", "v")).withColumn("h2", F.xxhash64(F.lit(1), "label", "v"))
     classes = rows.where("valid").groupBy("h1", "h2").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.min("id").alias("first"), F.count("*").alias("n"))
     classes = scratch.keep(classes.withColumn("group", F.concat_ws("/", F.size("v").cast("string"), "label")).withColumn("key", F.monotonically_increasing_id()), "classes")
-    n_classes = classes.count()
-
-    # Pivots: one for each chunk_rows classes of a large group, at most 16,384 in all, some 10 MB.
-    sizes = classes.groupBy("group").agg(F.count("*").alias("rows"))
-    per_cell = max(chunk_rows, -(-n_classes // 16384))
-    large = sizes.where(F.col("rows") > chunk_rows)
-    ranked = classes.join(large, "group").withColumn("r", F.row_number().over(Window.partitionBy("group").orderBy("h1", "h2")))
-    pivots = ranked.where(F.col("r") <= F.least(F.ceil(F.col("rows") / per_cell), F.lit(4096))).select("group", "r", "v").collect()
+
+    # Pivots: one for each cell of a large group, PIVOT_BYTES at most in all. Those of the least hashes are taken; a
+    # bar that about twice as many pass keeps the rest away from the driver.
+    n_classes, dims = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    per_cell = max(chunk_rows, -(-n_classes * 8 * dims // PIVOT_BYTES))
+    large = classes.groupBy("group").agg(F.count("*").alias("rows")).where(F.col("rows") > per_cell).withColumn("wanted", F.ceil(F.col("rows") / per_cell))
+    place = F.shiftrightunsigned("h1", 1) / F.lit(2.0**63)
+    passed = classes.join(large, "group").where(place < (2 * F.col("wanted") + 20) / F.col("rows")).select("group", "h1", "h2", "wanted", "v").collect()
     table: dict[str, list] = {}
-    for p in sorted(pivots, key=lambda p: p["r"]):
-        table.setdefault(p["group"], []).append(p["v"])
+    for p in sorted(passed, key=lambda p: (p["h1"] & (2**64 - 1), p["h2"])):
+        if len(table.setdefault(p["group"], [])) < p["wanted"]:
+            table[p["group"]].append(p["v"])
     known = spark.sparkContext.broadcast({g: _unit(np.array(x)) for g, x in table.items()})
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,27 +235,42 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     def plant(rows_: pa.Table) -> pa.Table:
         points = _unit(_matrix(rows_.column("v").combine_chunks()))
         tree = CoverTree(points)
-        data = tree.pack(rows_.column("key").to_numpy(), rows_.column("n").to_numpy().astype(float))
+        data = tree.pack(_matrix(rows_.column("v").combine_chunks()), rows_.column("key").to_numpy(), rows_.column("n").to_numpy().astype(float))
         one = {"group": rows_.column("group")[:1], "chunk": pa.array([f"{rows_.column('group')[0].as_py()}/{rows_.column('cell')[0].as_py()}/{rows_.column('sub')[0].as_py()}"])}
         return pa.table(one | {"centre": pa.array([tree.points[0].tolist()], pa.list_(pa.float64())), "radius": pa.array([float(tree.radius[0])]), "tree": pa.array([data], pa.binary())})
 
     chunks = placed.groupBy("group", "cell", "sub").applyInArrow(plant, "group string, chunk string, centre array<double>, radius double, tree binary")
     chunks = scratch.keep(chunks, "trees")
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
-    a, b = (chunks.select("group", F.col("chunk").alias(s), F.col("centre").alias(f"c{s}"), F.col("radius").alias(f"r{s}")) for s in "ab")
+    side = lambda s: chunks.select("group", F.col("chunk").alias(s), F.col("centre").alias(f"c{s}"), F.col("radius").alias(f"r{s}"))
+    ways = max(1, min(64, chunks.count() // 64))  # a group's chunks meet in so many tasks
+    a, b = side("a").withColumn("deal", F.pmod(F.xxhash64("a"), F.lit(ways))), side("b").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))))
     dot = F.aggregate(F.zip_with("ca", "cb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = a.join(b, "group").where(F.col("a") <= F.col("b"))
-    pairs = pairs.where(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot)) <= F.col("ra") + F.col("rb") + reach + SLACK).select("a", "b")
-    trees_a, trees_b = (chunks.select(F.col("chunk").alias(s), F.col("tree").alias(f"t{s}")) for s in "ab")
-    pairs = pairs.join(trees_a, "a").join(trees_b, "b").repartition(2 * spark.sparkContext.defaultParallelism, "a", "b")
+    pairs = a.join(b, ["group", "deal"]).where(F.col("a") <= F.col("b"))
+    pairs = pairs.where(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot)) <= F.col("ra") + F.col("rb") + reach + SLACK)
+    pairs = scratch.keep(pairs.select("a", "b"), "pairs")
+
+    # A group of up to PARTNERS gets their first tree once and lets the partners' trees pass by.
+    shared = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    pairs = pairs.join(shared, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    trees = chunks.select(F.col("chunk").alias("b"), "tree")
+    firsts = pairs.select("a", "part").distinct().join(chunks.select(F.col("chunk").alias("a"), "tree"), "a").select("a", "part", F.lit(None).cast("string").alias("b"), "tree")
+    partners = pairs.join(trees, "b").select("a", "part", "b", F.when(F.col("a") != F.col("b"), F.col("tree")).alias("tree"))
+    n_tasks = max(2 * spark.sparkContext.defaultParallelism, min(100_000, pairs.count() // 8))
+    met = firsts.unionAll(partners).repartition(n_tasks, "a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, s = None, None
         for batch in batches:
-            for x, y, tx, ty in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = CoverTree.unpack(tx)
-                t = s if x == y else CoverTree.unpack(ty)
-                in_s, in_t, links = dual(s, t, threshold)
-                tree = forest(links, len(s.points), len(s.points) + (0 if x == y else len(t.points)), x == y)
+            for i in range(len(batch)):
+                x, part, y, data = (batch.column(c)[i].as_py() for c in range(4))
+                if y is None:
+                    own, s = (x, part), CoverTree.unpack(data)
+                    continue
+                if own != (x, part):
+                    raise ValueError("a partner came before its first tree")
+                t = s if x == y else CoverTree.unpack(data)
+                in_s, in_t, tree = dual(s, t, threshold)
                 keys = np.concatenate([s.keys[in_s > 0], t.keys[in_t > 0]])
                 sums = np.concatenate([in_s[in_s > 0], in_t[in_t > 0]])
                 one, other = s.keys[[p for p, _ in tree]], t.keys[[q for _, q in tree]]
@@ -254,7 +280,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
                     pa.array(np.concatenate([sums, np.zeros(len(one))]).astype(np.int64)),
                 ], names=["key", "other", "n"])
 
-    found = scratch.keep(pairs.select("a", "b", "ta", "tb").mapInArrow(meet, "key long, other long, n long"), "links")
+    found = scratch.keep(met.mapInArrow(meet, "key long, other long, n long"), "links")
     roots = components(found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")), scratch)
     counts = found.where("other is null").groupBy("key").agg(F.sum("n").alias("linked"))
     known_ = classes.select("h1", "h2", "key", "first", "n").join(roots, classes.key == roots.node, "left").join(counts, "key", "left")
