@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import Scratch, components, lookup
 
 BITS = 64
+TABLE_BITS = 40  # of each of the SimHashes that near copies are found by
 
 
 def fingerprint(data: bytes, width: int = 3, seed: int = 42) -> int:
@@ -87,3 +88,74 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     least = group.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("size"))
     by_fp = lookup(group, least, ["root"], "size", classes.count(), F.xxhash64("fp")).select("fp", "n", "component")
     return lookup(fps, by_fp, ["fp"], "n", fps.count(), F.xxhash64("id")).select("id", "fp", "component")
+
+
+def sketch(data: bytes, width: int = 3, tables: int = 6) -> list[int]:
+    """``tables`` SimHashes of TABLE_BITS bits, of independent hashes of word shingles; all 0 without words."""
+    from xxhash import xxh3_128_digest
+
+    words = data.lower().split()
+    if not words:
+        return [0] * tables
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    size = min(width, len(words))
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - size + 1].tolist()
+    parts = [joined[a:b] for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)]
+    octets = tables * TABLE_BITS // 8
+    count = np.zeros(tables * TABLE_BITS, np.int64)
+    for at in range(0, len(parts), 4096):  # bounded, however long the text
+        digests = b"".join(xxh3_128_digest(p, s) for p in parts[at : at + 4096] for s in range(-(-octets // 16)))
+        rows = np.frombuffer(digests, np.uint8).reshape(-1, -(-octets // 16) * 16)[:, :octets]
+        count += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
+    packed = np.packbits(2 * count > len(parts)).tobytes()
+    return [int.from_bytes(packed[i : i + TABLE_BITS // 8], "big") for i in range(0, octets, TABLE_BITS // 8)]
+
+
+def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, tables: int = 6) -> DataFrame:
+    """(id, sketch): the SimHashes of each row's whole text, an array of longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch((t or "").encode("utf-8", "replace"), width, tables) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "sketch"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, sketch array<long>")
+
+
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, tables: int = 6, most: int = 34) -> DataFrame:
+    """(id, component): the smallest id reachable over links between near copies.
+
+    Copies of which four fifths of the five-word shingles agree differ in about a
+    tenth of the bits of a SimHash over ``width`` words, too many for two bits
+    of 64. So there are ``tables`` SimHashes of TABLE_BITS bits each, and texts link that
+    differ in at most two bits of one of them (met in the middle, as in ``links``)
+    and in at most ``most`` bits of all: a seventh, near a five-word similarity of
+    0.8. At each meeting value the texts that meet, within two bits of each
+    other, are linked to the least one there; a table's equal hashes are one text
+    in the search, joined to its least text. Rows are told apart by
+    sketch, so equal texts are one class whatever their number. Nulls, empties and
+    repeated rows as for ``near_duplicates``.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.keep(sketches(docs, id_col=id_col, text_col=text_col, width=width, tables=tables).withColumn("own", F.xxhash64("sketch")), "sketches")
+    classes = scratch.keep(rows.groupBy("own").agg(F.first("sketch").alias("sketch"), F.min("id").alias("first"), F.count("*").alias("n")), "classes")
+    n = classes.count()
+    parts = classes.select("own", F.posexplode("sketch").alias("table", "fp")).withColumn("fp", F.col("fp").bitwiseOR(F.shiftleft(F.col("table").cast("long"), TABLE_BITS))).drop("table")
+    parts = scratch.keep(parts, "parts")
+    values = scratch.keep(parts.groupBy("fp").agg(F.min("own").alias("least"), F.count("*").alias("size")), "values")
+    same = lookup(parts, values.where("size > 1"), ["fp"], "size", n * tables, F.xxhash64("own")).where("least < own").select(F.col("least").alias("a"), F.col("own").alias("b"))
+    one = F.lit(1).cast("long")
+    flips = F.array(F.lit(0).cast("long"), *(one if i == 0 else F.shiftleft(one, i) for i in range(TABLE_BITS)))
+    met = values.select("least", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
+    near = met.withColumn("a", F.expr("min(least) over (partition by value)")).where("a < least").select("a", F.col("least").alias("b"))
+    pairs = scratch.keep(same.unionAll(near).distinct(), "pairs")
+    of = lambda side: classes.select(F.col("own").alias(side), F.col("sketch").alias(f"of_{side}"))
+    apart = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    linked = pairs.join(of("a"), "a").join(of("b"), "b").where(apart <= most).select("a", "b")
+    found = components(linked, scratch)
+    group = scratch.keep(classes.join(found, classes.own == found.node, "left").select("own", "first", "n", F.coalesce("component", "own").alias("root")), "groups")
+    least = group.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("size"))
+    by_own = lookup(group, least, ["root"], "size", n, F.xxhash64("own")).select("own", "n", "component")
+    return lookup(rows.select("id", "own"), by_own, ["own"], "n", rows.count(), F.xxhash64("id")).select("id", "component")

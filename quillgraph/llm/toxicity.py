@@ -6,13 +6,13 @@ spans, so an insult is still like itself with characters put in or left out. A
 word's decision is linear in kernels with the landmarks; the landmarks' own
 subsequences are summed into one table beforehand, so that scoring a word costs
 one look-up for each of its subsequences, however many landmarks there are. A
-text scores as its worst word.
+text scores as its worst word, and the SVM learns from labelled texts as such
+bags of words (multiple-instance learning).
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -34,19 +34,6 @@ SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 EDGES = ".,;:!?\"'()[]{}<>*#&%$-_~`|/\\+=^@«»…–—“”‘’"
 
 
-def _letter_table() -> np.ndarray:
-    """Code points below 0x250 as 1..26 by their base letter, others as 27 + code point."""
-    out = 27 + np.arange(0x250)
-    for c in range(0x250):
-        base = unicodedata.normalize("NFKD", chr(c)).lower()[:1]
-        if "a" <= base <= "z":
-            out[c] = ord(base) - 96
-    return out
-
-
-_TABLE = _letter_table()
-
-
 def words_of(text: str) -> list[str]:
     """The words of a text, lower-cased; punctuation at their ends is cut when they are scored."""
     text = text.lower()
@@ -71,7 +58,7 @@ def forms(word: str) -> list[str]:
 
 def coded(words: list[str], length: int) -> np.ndarray:
     points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, length)
-    codes = np.where(points < len(_TABLE), _TABLE[np.minimum(points, len(_TABLE) - 1)], 27 + points.astype(np.int64)).astype(np.int64)
+    codes = np.where((points >= 97) & (points <= 122), points.astype(np.int64) - 96, points.astype(np.int64) + 27)
     return np.hstack([np.zeros((len(codes), 1), np.int64), codes])  # 0: the border in front
 
 
@@ -248,16 +235,22 @@ def gapped(word: str, rng: np.random.Generator) -> str:
     return word[:at] + fill + word[at:]
 
 
-def fit(labelled: list[tuple[str, int]], *, clean_weight: float = 1.0, landmarks: int = 400, rounds: int = 3, seed: int = 5) -> Model:
+def fit(labelled: list[tuple[str, int]], *, clean_weight: float = 1.0, landmarks: int = 400, rounds: int = 5, witnesses: int = 3, care: float = 8.0, seed: int = 5) -> Model:
     """Learns from (sentence, toxic) pairs; a sentence is any text.
 
-    Which words make a sentence toxic is not known: at first those whose presence
-    speaks clearly for toxicity, then, round by round, also the word with the
-    highest decision of each toxic sentence, if no clean one has it. Clean
-    words are a sample, the usual ones, and all that come near the border.
-    Landmarks are the most telling words and clean ones. A word that is longer than
-    a window is learnt by the window that gave it its decision in the round
-    before, at first by the one that speaks most.
+    Each sentence stands in the SVM by its witnesses: a toxic one by its worst word
+    and up to ``witnesses`` in all that have a positive decision, a clean one by its worst
+    word. Which words these are is not known; at first they are those whose
+    presence speaks most for toxicity, then, round by round, those of the highest decisions.
+    Witnesses of clean sentences stay in all later rounds, so what has been
+    too near stays pushed away; usual clean words stand by them. Toxic
+    witnesses stand a second time with a character put in. Landmarks are the
+    words that speak most and clean ones. A word that is longer than a window is
+    learnt by the window that gave it its decision in the round before, at first by the
+    one that speaks most.
+
+    Decisions become scores by a logistic fit, in which a toxic sentence counts as
+    ``care`` clean ones, as a model is too sure of the sentences that it has learnt.
     """
     rng = np.random.default_rng(seed)
     same: dict[str, str] = {}  # one object for each word
@@ -270,16 +263,16 @@ def fit(labelled: list[tuple[str, int]], *, clean_weight: float = 1.0, landmarks
 
     def telling(k1: int, k0: int) -> float:
         """Twice the log-likelihood ratio of a share in toxic and in clean sentences, 0 if it
-        is not ten times as common in the toxic."""
+        is not more common in the toxic."""
         p = (k1 + k0) / (n1 + n0)
         g = sum(k * np.log(k / (n * q)) for k, n, q in ((k1, n1, p), (n1 - k1, n1, 1 - p), (k0, n0, p), (n0 - k0, n0, 1 - p)) if k)
-        return float(2 * g) if k1 / n1 > 10 * k0 / n0 else 0.0
+        return float(2 * g) if k1 / n1 > k0 / n0 else 0.0
 
     toxic, clean = (Counter(w for bag, k in zip(bags, y, strict=True) if k == c for w in bag) for c in (1, 0))
     stems = [{w[:STEM] for w in bag} for bag in bags]
     in_toxic, in_clean = (Counter(g for bag, k in zip(stems, y, strict=True) if k == c for g in bag) for c in (1, 0))
     # A word speaks by itself or by how it begins, which it shares with its inflections.
-    speaks = {w: max(telling(k, clean[w]), telling(in_toxic[w[:STEM]], in_clean[w[:STEM]])) if toxic[w] / n1 > 10 * clean[w] / n0 else 0.0 for w, k in toxic.items()}
+    speaks = {w: max(telling(k, clean[w]), telling(in_toxic[w[:STEM]], in_clean[w[:STEM]])) if toxic[w] / n1 > clean[w] / n0 else 0.0 for w, k in toxic.items()}
     ranked = sorted((w for w in toxic if len(w) >= ORDER), key=lambda w: (-speaks[w], -toxic[w], w))
     usual = sorted((w for w in clean if len(w) >= ORDER), key=lambda w: (-clean[w], w))
     marks = ranked[: landmarks // 2]
@@ -289,39 +282,30 @@ def fit(labelled: list[tuple[str, int]], *, clean_weight: float = 1.0, landmarks
     long_words = sorted({w for bag in bags for w in bag if len(w) > LONGEST})
     read = spoken(long_words, bags, y, telling)  # what a word is learnt by, if not itself
     learnt = lambda words: [read.get(w, w) for w in words]
-    marks = learnt(marks)
-    at_marks = features(marks)
-    values, vectors = np.linalg.eigh(kernels(marks, at_marks).astype(float))
+    at_marks = features(learnt(marks))
+    values, vectors = np.linalg.eigh(kernels(learnt(marks), at_marks).astype(float))
     good = values > 1e-6
     root = vectors[:, good] / np.sqrt(values[good])  # K^(-1/2) on its range
-
-    def mapped(words: list[str]) -> np.ndarray:
-        return kernels(words, at_marks) @ root
-
-    pool = sorted(w for w in clean if len(w) >= ORDER)
-    negatives = {pool[i] for i in rng.choice(len(pool), min(len(pool), 4000), replace=False)} | set(usual[:1500]) if pool else set()
-    chance = 2 * np.log(2 * len(toxic.keys() | clean.keys() | in_toxic.keys()))  # the most telling of so many by chance
-    speaking = {w for w in ranked if speaks[w] >= 2 * chance}
-    for bag, k in zip(bags, y, strict=True):  # each toxic sentence has a toxic word
-        if k == 1 and bag and speaking.isdisjoint(bag):
-            best = max(bag, key=lambda w: (speaks.get(w, 0.0), w))
-            if speaks[best] >= chance / 2:
-                speaking.add(best)
-    positives = speaking or set(ranked[:1])
     vocabulary = sorted({w for bag in bags for w in bag})
+    on = [sorted(bag, key=lambda w: (-speaks.get(w, 0.0), w))[:witnesses] for bag, k in zip(bags, y, strict=True) if k == 1]
+    off = [max(bag, key=lambda w: (speaks.get(w, 0.0), w)) for bag, k in zip(bags, y, strict=True) if k == 0 and bag]
+    against = set(usual[:1500])
     for _ in range(rounds):
-        on, off = sorted(positives), sorted(negatives - positives)
-        extra = [gapped(w, rng) for w in learnt(on) for _ in range(2)]
-        weight = [min(20.0, 1.0 + toxic[w]) for w in on] + [3.0] * len(extra) + [min(20.0, 1.0 + clean[w]) for w in off]
-        solved = svm(mapped(learnt(on) + extra + learnt(off)), np.repeat([1.0, -1.0], [len(on) + len(extra), len(off)]), 10 * np.array(weight))
+        against |= set(off)
+        told = Counter(w for ws in on for w in ws)
+        words, others = sorted(told), sorted(against)
+        put_in = [gapped(w, rng) for w in learnt(words) for _ in range(2)]
+        weight = np.array([min(20.0, told[w]) for w in words])
+        cost = np.concatenate([weight, 0.3 * np.repeat(weight, 2), [3 * min(20.0, 1.0 + clean[w]) for w in others]])
+        x = kernels(learnt(words) + put_in + learnt(others), at_marks) @ root
+        solved = svm(x, np.repeat([1.0, -1.0], [len(words) + len(put_in), len(others)]), 10 * cost)
         model = Model(at_marks[1].T @ (root @ solved[:-1]), float(solved[-1]), 1.0, 0.0, at_marks[0])
         read |= model.telling(long_words)
         value = dict(zip(vocabulary, model.decisions(vocabulary).tolist(), strict=True))
-        best = [max(bag, key=lambda w: (value[w], w)) if bag else None for bag in bags]
-        worst = np.array([model.bias if w is None else value[w] for w in best])
-        negatives |= {w for bag, k in zip(bags, y, strict=True) if k == 0 for w in bag if value[w] > -0.5}
-        positives = speaking | {w for w, k in zip(best, y, strict=True) if k == 1 and w and value[w] > 0 and not clean[w] and speaks[w] >= chance / 2}
-    model.slope, model.shift = platt(worst, y, clean_weight)
+        worst = [sorted(bag, key=lambda w: (-value[w], w))[:witnesses] for bag in bags]
+        on = [[w for w in ws if w == ws[0] or value[w] > 0] for ws, k in zip(worst, y, strict=True) if k == 1]
+        off = [ws[0] for ws, k in zip(worst, y, strict=True) if k == 0 and ws]
+    model.slope, model.shift = platt(np.array([value[ws[0]] if ws else model.bias for ws in worst]), y, clean_weight / care)
     return model
 
 
@@ -359,14 +343,14 @@ def platt(value: np.ndarray, y: np.ndarray, clean_weight: float) -> tuple[float,
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, toxic: int, clean: int) -> tuple[list[tuple[str, int]], float]:
     """At most ``toxic`` and ``clean`` labelled texts, chosen by a hash of their id and not
-    held out, and how many clean labels each clean text stands for beside a toxic one."""
+    held out, one (the least) of rows that share an id, and how many clean labels each clean text stands for beside a toxic one."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").where(~held_out(F.col("_id")))
     known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
     counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     first = lambda y, n: known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n)
     ids = first(1, toxic).unionAll(first(0, clean))
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    rows = texts.join(F.broadcast(ids), "_id").select("_id", "_t", "_y")
+    rows = texts.join(F.broadcast(ids), "_id").groupBy("_id", "_y").agg(F.min("_t").alias("_t"))  # one text of an id, however many rows share it
     weight = max(1, min(toxic, counts.get(1, 0))) / max(1, counts.get(1, 0)) * counts.get(0, 0) / max(1, min(clean, counts.get(0, 0)))
     return [(r["_t"], r["_y"]) for r in rows.orderBy("_id", "_t").collect()], weight
 

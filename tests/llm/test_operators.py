@@ -227,6 +227,16 @@ def test_kernel_is_brute_force():
             assert k[i, j] == pytest.approx(brute(a, b) / math.sqrt(brute(a, a) * brute(b, b)), abs=1e-5)
 
 
+def test_decisions_are_sums_over_landmarks():
+    """The table that scoring looks up says what the weighted kernels with all landmarks say."""
+    rng = np.random.default_rng(1)
+    marks = toxicity.features(["zorkfool", "grimbat", "quazzle", "there", "mañana"])
+    weight, words = rng.normal(size=5), ["zork-fool", "grim", "xquazzlex", "theremin", "manana", "日本語で", "ab"]
+    model = toxicity.Model(marks[1].T @ weight, 0.25, 1.0, 0.0, marks[0])
+    want = [max((float(weight @ toxicity.kernels([f], marks)[0]) for f in toxicity.forms(w) if len(f) >= toxicity.ORDER), default=0.0) + 0.25 for w in words]
+    assert model.decisions(words).tolist() == pytest.approx(want, abs=1e-5)
+
+
 @pytest.mark.parametrize("dense", [2**20, 0])
 def test_letters_of_any_script_differ(monkeypatch, dense):
     """Words that agree in each code point's remainder by 5 are not alike, with a plain table or without."""

@@ -1,9 +1,10 @@
 """The pipeline against a plain version of its stages, and on odd rows."""
 
 import corpus_pipeline
-import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.llm import toxicity
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -50,21 +51,11 @@ def test_run_is_its_stages(spark):
 
 
 def test_toxic_documents_go(spark):
-    """On sf0.1, whose labels are some thousands; with a few dozen toxic labels fewer are found (README)."""
+    """On the labels of sf0.1 that are held out; about one toxic label in fifteen has no insult in its text."""
     sf = "/root/testdata/sf0.1"
-    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = docs.select("doc_id").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where(toxicity.held_out(F.col("doc_id"))).collect()
     kept = {r.doc_id for r in corpus_pipeline.reject_toxic(spark, docs, sf).select("doc_id").collect()}
-    marked = {r.doc_id: r.toxic for r in labels.collect()}
-    ids = {r.doc_id for r in docs.select("doc_id").collect()}
-    toxic, clean = [i for i, y in marked.items() if y == 1 and i in ids], [i for i, y in marked.items() if y == 0 and i in ids]
-    assert sum(i not in kept for i in toxic) / len(toxic) > 0.85
-    assert sum(i in kept for i in clean) / len(clean) > 0.95
-
-
-def test_no_sql():
-    assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
-
-
-@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
-def test_names(name):
-    assert name
+    toxic, clean = ([r.doc_id for r in labels if r.toxic == y] for y in (1, 0))
+    assert len(toxic) > 100 and sum(i not in kept for i in toxic) / len(toxic) >= 0.9
+    assert len(clean) > 800 and sum(i in kept for i in clean) / len(clean) > 0.975
