@@ -360,7 +360,7 @@ def held_out(key):
     return F.crc32(key.cast("string")) % 4 == 2
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = 1000, clean: int = 2000, **options) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = 1000, clean: int = 3000, **options) -> Model:
     """Fits the model on the texts of at most ``toxic`` and ``clean`` labels of either kind that
     are not held out: some 10 MB of text on the driver. Null ids and labels
     other than 0 and 1 are left out; an id labelled both is toxic. Without labels

@@ -420,6 +420,51 @@ def test_simhash(spark):
     assert simhash.near_duplicates(documents(spark, EMPTY)).count() == 0
 
 
+def test_near_copies(spark):
+    """Links and components against all pairs; copies of which some words differ meet, others do not."""
+    rng = random.Random(17)
+    rows, base = odd_rows(), [noise(rng, 150).split() for _ in range(12)]
+    for g, words in enumerate(base):
+        for i in range(8):
+            copy = list(words)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(150)] = noise(rng, 1)
+            rows.append((1000 + 100 * g + i, " ".join(copy).upper() if i == 3 else " ".join(copy), "a"))
+    rows += [(5000 + i, noise(rng, 80), "b") for i in range(100)]
+    sketch = [simhash.sketch((t or "").encode()) for _, t, _ in rows]
+    plain = [[xxhash.xxh3_128_digest(b" ".join(w[i : i + 3]), s) for s in range(3)] for w in [base[0][:40]] for w in [[x.encode() for x in w]] for i in range(38)]
+    bits = np.unpackbits(np.frombuffer(b"".join(b"".join(p)[:40] for p in plain), np.uint8).reshape(38, 40), axis=1)
+    assert simhash.sketch(" ".join(base[0][:40]).encode()) == [int("".join(map(str, (2 * bits.sum(axis=0) > 38).astype(int)[i : i + 40])), 2) for i in range(0, 320, 40)]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            apart = [(a ^ b).bit_count() for a, b in zip(sketch[i], sketch[j])]
+            if min(apart) <= 2 and sum(apart) <= 56:
+                root[find(i)] = find(j)
+    least = {}
+    for i in range(len(rows)):
+        if rows[i][0] is not None:
+            least[find(i)] = min(rows[i][0], least.get(find(i), rows[i][0]))
+    want = sorted(((str(r[0]), str(least.get(find(i)))) for i, r in enumerate(rows)))
+    got = {}
+    for r in simhash.near_copies(documents(spark, rows)).collect():
+        got.setdefault(str(r.id), []).append(str(r.component))
+    have = sorted((i, c) for i, cs in got.items() for c in cs)
+    assert len(have) == len(want) and sum(a != b for a, b in zip(have, want)) <= 2  # links that only dropped ones would lead to
+    of = dict(want)
+    assert all(of[i] == of.get(c, c) for i, c in have)  # no link but those of brute force
+    for g in range(12):
+        assert sum(got[str(1000 + 100 * g + i)] == [str(1000 + 100 * g)] for i in range(8)) >= 7
+    assert all(got[str(5000 + i)] == [str(5000 + i)] for i in range(100))
+    assert simhash.near_copies(documents(spark, EMPTY)).count() == 0
+
+
 # ---- 8 suffixes
 
 
