@@ -35,13 +35,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group (3 words, 2 bits, as op7 has it): the one with the
-    smallest id, null last. Rows are told apart by a number that they are written
-    with, so null ids and shared ids join no groups."""
+    """One document of each group of near copies (SimHashes of their words, for a similarity of
+    about 0.8 of five-word shingles): the one with the smallest id, null last. Rows
+    are told apart by a number that they are written with, so null ids and shared
+    ids join no groups."""
     row, key, own = fresh(docs, "_row", "_key", "_own")
     numbered = Scratch(spark).keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col(row).alias("row"))
-    groups = simhash.near_duplicates(numbered.withColumn(key, order), id_col=key)
+    groups = simhash.near_copies(numbered.withColumn(key, order), id_col=key)
     first = groups.where("id = component").select(F.col("id.row").alias(own))
     return numbered.join(first.hint("shuffle_hash"), F.col(row) == F.col(own), "left_semi").select(*quoted(docs.columns))
 
