@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillgraph.tables import Scratch
+
 
 def build(triples: DataFrame, confidence: Column | None = None) -> DataFrame:
     """Triples with a weight: their own, or else ``confidence`` (an expression over the
@@ -73,15 +75,18 @@ def has_neighbour(edges: DataFrame, asked: DataFrame, directed: bool = False) ->
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = False) -> DataFrame:
     """(seed, node, distance): nodes within ``hops`` of each seed, once, at their distance.
 
-    Each level is one join from the last frontier; what was reached before is
-    left out, so walks do not multiply. The plan has ``hops`` joins.
+    Each level is two joins, from the last frontier to its neighbours and against what was
+    reached before, so walks do not multiply. Neighbours and frontiers are
+    written tables: no level is worked out again by the next, however many there are.
     """
+    scratch = Scratch(edges.sparkSession)
     near = both_ways(edges, directed).select("node", "neighbour").distinct()
-    frontier = seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("distance")).distinct()
+    near = scratch.keep(near, "near") if hops > 1 else near
+    frontier = scratch.keep(seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("distance")).distinct(), "frontier")
     reached = frontier
     for hop in range(1, hops + 1):
         step = frontier.join(near, "node").select("seed", F.col("neighbour").alias("node")).distinct()
-        frontier = step.join(reached, ["seed", "node"], "left_anti").withColumn("distance", F.lit(hop))
+        frontier = scratch.keep(step.join(reached, ["seed", "node"], "left_anti").withColumn("distance", F.lit(hop)), "frontier")
         reached = reached.unionAll(frontier)
     return reached
 
@@ -90,16 +95,18 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 5, direc
     """(source, target, length, path) for each pair of at most ``max_depth`` hops apart.
 
     path alternates nodes and relations; per hop the least relation, overall the
-    least path. A frontier row is the best path to its node so far.
+    least path. A frontier row is the best path to its node so far; frontiers are written
+    tables, as in ``k_hop``.
     """
-    near = both_ways(edges, directed).groupBy("node", "neighbour").agg(F.min("relation").alias("relation"))
-    wanted = pairs.select("source", "target").distinct()
+    scratch = Scratch(edges.sparkSession)
+    near = scratch.keep(both_ways(edges, directed).groupBy("node", "neighbour").agg(F.min("relation").alias("relation")), "near")
+    wanted = scratch.keep(pairs.select("source", "target").distinct(), "wanted")
     frontier = wanted.select("source", F.col("source").alias("node"), F.array("source").alias("path")).distinct()
     seen = frontier.select("source", "node")
     found = frontier.withColumn("length", F.lit(0))
     for hop in range(1, max_depth + 1):
         step = frontier.join(near, "node").select("source", F.col("neighbour").alias("node"), F.concat("path", F.array("relation", "neighbour")).alias("path"))
-        frontier = step.groupBy("source", "node").agg(F.min("path").alias("path")).join(seen, ["source", "node"], "left_anti")
+        frontier = scratch.keep(step.groupBy("source", "node").agg(F.min("path").alias("path")).join(seen, ["source", "node"], "left_anti"), "frontier")
         seen = seen.unionAll(frontier.select("source", "node"))
         found = found.unionAll(frontier.withColumn("length", F.lit(hop)))
     return wanted.join(found.withColumnRenamed("node", "target"), ["source", "target"]).select("source", "target", "length", "path")

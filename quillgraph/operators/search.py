@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from quillgraph.operators.entropy import node_entropy
 from quillgraph.operators.graph import actions, k_hop
+from quillgraph.tables import Scratch
 
 TREE = "seed string, id int, parent int, depth int, subject string, relation string, state string, visits int, value double"
 STEP = "struct<subject: string, relation: string, object: string, value: double, visits: int>"
@@ -25,8 +26,9 @@ STEP = "struct<subject: string, relation: string, object: string, value: double,
 
 def neighbourhoods(edges: DataFrame, seeds: DataFrame, max_depth: int = 5, width: int = 15) -> DataFrame:
     """(seed, node, information, actions): what the search from each seed can meet."""
-    acts = actions(edges, width).groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "relation", "neighbour"))), lambda a: F.struct(a["relation"].alias("relation"), a["neighbour"].alias("neighbour"))).alias("actions"))
-    chosen = actions(edges, width).select(F.col("node").alias("source"), F.col("relation").alias("edge_type"), F.col("neighbour").alias("target"), F.lit(1.0).alias("weight"))
+    allowed = Scratch(edges.sparkSession).keep(actions(edges, width), "actions")
+    acts = allowed.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "relation", "neighbour"))), lambda a: F.struct(a["relation"].alias("relation"), a["neighbour"].alias("neighbour"))).alias("actions"))
+    chosen = allowed.select(F.col("node").alias("source"), F.col("relation").alias("edge_type"), F.col("neighbour").alias("target"), F.lit(1.0).alias("weight"))
     near = k_hop(chosen, seeds, max_depth - 1, directed=True).select("seed", "node")
     information = node_entropy(edges).select("node", "information")
     return near.join(acts, "node", "left").join(information, "node")

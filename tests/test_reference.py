@@ -107,6 +107,8 @@ def test_navigation(spark):
     pairs = spark.createDataFrame([("a", "d"), ("a", "z")], "source string, target string")
     assert [(r.length, r.path) for r in graph.shortest_paths(e, pairs).collect()] == [(3, ["a", "E_XxY", "b", "E_XxY", "c", "E_XxY", "d"])]
     assert graph.shortest_paths(e, pairs, max_depth=2).count() == 0
+    joins = [graph.k_hop(e, spark.createDataFrame([("a",)], "seed string"), n)._jdf.queryExecution().analyzed().toString().count("Join") for n in (1, 3, 5)]
+    assert joins == [0, 0, 0]  # levels are written, so none is worked out again
     assert [r.seed for r in graph.missing_seeds(e, spark.createDataFrame([("a",), ("q",)], "seed string")).collect()] == ["q"]
     assert graph.build(spark.createDataFrame([("a", "r", "b", None), ("a", "r", "c", float("nan")), ("a", "r", "d", 2.0)], TRIPLE), models.confidence(F.col("source"), F.col("target"))).agg(F.sum("weight")).first()[0] > 2
     assert graph.execute(graph.relations(e).where("node = 'b'"), e).count() == 3
