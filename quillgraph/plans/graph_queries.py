@@ -207,7 +207,7 @@ def q_actions_top15(spark, sf_dir):
 
 
 @query(f"""
-WITH {GEO_SQL}, {BOTH_SQL.format('geo')}
+WITH {EDGES_SQL}, {BOTH_SQL.format('edges')}
 SELECT node, string_agg(DISTINCT relation, ',' ORDER BY relation) AS relations, string_agg(neighbour, ',' ORDER BY neighbour) AS entities FROM near GROUP BY node
 """)
 def q_entity_context(spark, sf_dir):
@@ -242,17 +242,18 @@ def q_khop2(spark, sf_dir):
 
 @query(f"""
 WITH RECURSIVE {GEO_SQL}, {BOTH_SQL.format('geo')},
-step AS (SELECT DISTINCT node, neighbour FROM near),
-walk(source, node, length) AS (
-  SELECT 'S' || s_suppkey, 'S' || s_suppkey, 0 FROM supplier
-  UNION SELECT w.source, s.neighbour, w.length + 1 FROM walk w JOIN step s ON s.node = w.node WHERE w.length < 3)
-SELECT source, node AS target, min(length) AS length FROM walk WHERE node LIKE 'N%' GROUP BY source, node
+step AS (SELECT node, neighbour, min(relation) AS relation FROM near GROUP BY node, neighbour),
+walk(source, node, length, path) AS (
+  SELECT 'S' || s_suppkey, 'S' || s_suppkey, 0, 'S' || s_suppkey FROM supplier
+  UNION SELECT w.source, s.neighbour, w.length + 1, w.path || '|' || s.relation || '|' || s.neighbour FROM walk w JOIN step s ON s.node = w.node WHERE w.length < 3),
+best AS (SELECT *, row_number() OVER (PARTITION BY source, node ORDER BY length, path) AS rank FROM walk WHERE node LIKE 'N%')
+SELECT source, node AS target, length, path FROM best WHERE rank = 1
 """)
 def q_shortest_len(spark, sf_dir):
-    """Hops from each supplier to each nation within three."""
+    """Hops and a shortest path from each supplier to each nation within three."""
     s = kg.table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("source"))
     n = kg.table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("target"))
-    return graph.shortest_paths(kg.geography(spark, sf_dir), s.crossJoin(F.broadcast(n)), 3).drop("path")  # 25 nations
+    return graph.shortest_paths(kg.geography(spark, sf_dir), s.crossJoin(F.broadcast(n)), 3).withColumn("path", F.array_join("path", "|"))  # 25 nations
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
