@@ -32,7 +32,7 @@ def q_cosine_topk(spark, sf_dir):
 
 
 @query(f"""
-WITH {_VEC}, s AS (SELECT q.vec_id AS query_id, x.vec_id AS item_id, list_distance(q.e, x.e) AS score FROM v q, v x WHERE q.vec_id % 100 = 0 AND x.vec_id % 100 <> 0),
+WITH {_VEC}, s AS (SELECT q.vec_id AS query_id, x.vec_id AS item_id, list_distance(q.e, x.e) AS score FROM v q, v x WHERE q.vec_id % 100 = 0 AND x.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, item_id) AS rank FROM s)
 SELECT query_id, item_id, round(score, 6) AS score FROM r WHERE rank = 1
 """)
@@ -194,14 +194,18 @@ def q_extract_core(spark, sf_dir):
     return _answers(spark, sf_dir).select("event_id", extract.extract_core(F.col("output")).alias("extracted"))
 
 
-@query()
+# What the rules say of each answer of _answers, by event_id % 6: with capitals only, as for Hindi, "CHOICE IS B" is no known form.
+_SAID = "CASE WHEN event_id % 6 IN (0, 1, 2, 5{}) THEN substr('ABCD', CAST(user_id % 4 + 1 AS INTEGER), 1) END"
+
+
+@query(f"SELECT event_id, {', '.join(f'{_SAID.format(", 3")} AS {x}' for x in ('english', 'chinese', 'french', 'spanish'))}, {_SAID.format('')} AS hindi FROM events")
 def q_extract_full(spark, sf_dir):
-    """All forms, in four languages."""
+    """All forms, in five languages."""
     rows = _answers(spark, sf_dir)
     return rows.select("event_id", *(extract.extract(F.col("output"), "a-dA-D", l).alias(l) for l in ("english", "chinese", "french", "spanish", "hindi")))
 
 
-@query()
+@query("SELECT event_id, list_extract(['A', 'B', 'C', NULL, 'B'], CAST(event_id % 5 + 1 AS INTEGER)) AS extracted FROM events")
 def q_extract_pubmedqa(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     word = F.get(F.array(F.lit("Yes, it does"), F.lit("No"), F.lit("the answer is maybe."), F.lit("notable"), F.lit("Yes/No/Maybe: no")), (F.col("event_id") % 5).cast("int"))
@@ -247,13 +251,20 @@ def q_accuracy_cumulative(spark, sf_dir):
     return evaluate.cumulative_accuracy(_scored(spark, sf_dir), "event_type").withColumn("accuracy", F.round("accuracy", 9))
 
 
-@query()
+# A is right. "The answer is (A)" is read as an option, not as a decision; "Yes, surely" the other way
+# round; the option's text alone is found once options are named and case is lost again, so as no option.
+@query("""
+WITH f AS (SELECT list_extract(['medqa', 'pubmedqa', 'usmle', NULL], CAST(event_id % 4 + 1 AS INTEGER)) AS family, event_id % 3 AS k FROM events),
+r AS (SELECT family, CASE WHEN family IN ('medqa', 'usmle') AND k = 0 OR family = 'pubmedqa' AND k = 1 THEN 1 ELSE 0 END AS ok FROM f)
+SELECT family, count(*) AS total, count(*) FILTER (ok = 0) AS invalid, round(avg(ok), 9) AS accuracy FROM r GROUP BY family
+""")
 def q_evaluate(spark, sf_dir):
     """Prompts, responses and scores in one plan: routing, reading, a second reading with options named."""
     e = table(spark, sf_dir, "events")
     items = e.select(F.col("event_id").alias("item_id"), F.get(F.array(*map(F.lit, ("medqa_test", "pubmedqa", "usmle_1", "other"))), (F.col("event_id") % 4).cast("int")).alias("benchmark"), F.concat(F.lit("Q\nA. "), "event_type", F.lit("\nB. zzz\n")).alias("prompt"), F.lit("A").alias("answer"))
-    responses = e.select(F.col("event_id").alias("item_id"), F.concat(F.lit("surely "), "event_type").alias("output"))
-    return evaluate.accuracy(evaluate.predict(items, responses), "family")
+    said = F.when(F.col("event_id") % 3 == 0, F.lit("The answer is (A).")).when(F.col("event_id") % 3 == 1, F.lit("Yes, surely")).otherwise(F.concat(F.lit("surely "), "event_type"))
+    responses = e.select(F.col("event_id").alias("item_id"), said.alias("output"))
+    return evaluate.accuracy(evaluate.predict(items, responses), "family").withColumn("accuracy", F.round("accuracy", 9))
 
 
 # ---- fine-tuning data
@@ -305,6 +316,22 @@ def q_chat_template(spark, sf_dir):
     return rows.select("conv_id", F.array_join(F.transform("s", lambda x: x["text"]), "").alias("text"))
 
 
+_HEAD = "'<|start_header_id|>' || role || {} || text || '<|eot_id|>'"
+_LLAMA = f"""CASE role WHEN 'user' THEN {_HEAD.format("'|end_header_id|>' || chr(10) || chr(10)")} ELSE {_HEAD.format("'<|end_header_id|>' || chr(10) || chr(10)")} || '<eos>' || chr(10) END"""
+_MISTRAL = "CASE role WHEN 'user' THEN '<s>[INST] ' || text || ' [/INST] ' ELSE text || '</s><eos>' || chr(10) END"
+
+
+@query(f"""
+WITH {_TURNS} SELECT conv_id, 'llama' AS model, string_agg({_LLAMA}, '' ORDER BY turn) AS text FROM t GROUP BY conv_id
+UNION ALL SELECT conv_id, 'baichuan', string_agg({_LLAMA}, '' ORDER BY turn) FROM t GROUP BY conv_id
+UNION ALL SELECT conv_id, 'mistral-7b', string_agg({_MISTRAL}, '' ORDER BY turn) FROM t GROUP BY conv_id
+""")
+def q_chat_template_models(spark, sf_dir):
+    """The sessions in the other families' templates."""
+    texts = F.array(*(F.struct(F.lit(m).alias("model"), F.array_join(F.transform(sft.render(F.col("content"), m), lambda x: x["text"]), "").alias("text")) for m in ("llama", "baichuan", "mistral-7b")))
+    return _sessions(spark, sf_dir).select("conv_id", F.inline(texts))
+
+
 @query("SELECT conv_id, turn, replace(replace(text, '<', ''), '>', '') AS question, 'user' AS role FROM conversations WHERE text IS NOT NULL")
 def q_session_build(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("text is not null")
@@ -398,7 +425,10 @@ def q_preference_rows(spark, sf_dir):
     return sft.preference_rows(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair"), F.col("role").alias("prompt"), F.coalesce("text", F.lit("")).alias("chosen"), F.col("role").alias("rejected")))
 
 
-@query()
+@query("""
+SELECT 'Nation <' || n_name || '> is part of region <R' || n_regionkey || '>' AS prompt,
+       'What follows from Nation ' || n_name || ' is part of region R' || n_regionkey || '?' AS question, 'R' || n_regionkey AS answer FROM nation
+""")
 def q_generate_samples(spark, sf_dir):
     """Evidence to samples with the stand-in generator: each distinct prompt once, parsed, kept if the answer is an entity."""
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("Nation <"), "n_name", F.lit("> is part of region <R"), F.col("n_regionkey").cast("string"), F.lit(">")).alias("prompt"))
