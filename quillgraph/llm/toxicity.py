@@ -216,9 +216,12 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 60) -> np.n
     loss = lambda v: v @ ridge @ v / 2 + cost @ np.maximum(0, 1 - y * (x @ v)) ** 2 / 2
     for _ in range(steps):
         slack = np.maximum(0, 1 - y * (x @ w))
-        a, c = x[slack > 0], cost[slack > 0]
+        on, curve = np.flatnonzero(slack > 0), ridge.copy()
+        for at in range(0, len(on), 2000):  # without a copy of all rows
+            part = x[on[at : at + 2000]]
+            curve += part.T @ (cost[on[at : at + 2000], None] * part)
         slope = ridge @ w - x.T @ (cost * y * slack)
-        step = np.linalg.solve(ridge + a.T @ (c[:, None] * a), slope)
+        step = np.linalg.solve(curve, slope)
         size, now = 1.0, loss(w)
         while loss(w - size * step) > now - 1e-4 * size * (slope @ step) and size > 1e-6:
             size /= 2
