@@ -67,7 +67,7 @@ STAGES = [
     ("sentencepiece", encode_pieces),
 ]
 
-#: Neither the SVM nor SimHash's hash can be said in DuckDB's SQL; tests/llm holds run() to a brute-force version.
+#: Neither the SVM nor SimHash's hash can be said in DuckDB's SQL; tests/llm holds the operators to brute force, and run() to its stages.
 ORACLE_SQL = None
 
 
