@@ -28,6 +28,8 @@ SPACE = "▁"
 #: Added to the lowest score for a character without a piece (a fixed value of the format).
 UNKNOWN_PENALTY = -10.0
 NONE = -np.inf
+#: Cells of a table (position by length by chunk) that is filled at once, and characters of the texts in work at once (a longer text is alone).
+CELLS, CHARACTERS = 4_000_000, 2_000_000
 
 
 @dataclass
@@ -175,8 +177,9 @@ class Segmenter:
                     best[i], gaps[i], lengths[i] = top[0][0], top[0][0] - top[1][0] if len(top) > 1 else np.inf, len(top[0][1])
                     flats.append(np.array(top[0][1], np.int64))
             else:
-                for at in range(0, len(rows), 20_000):
-                    part = rows[at : at + 20_000]
+                step = max(64, CELLS // (size * min(size, self.model.longest)))
+                for at in range(0, len(rows), step):
+                    part = rows[at : at + step]
                     flat, lengths[part], best[part], gaps[part] = self._many([new[i] for i in part.tolist()], size)
                     flats.append(flat)
         starts = np.zeros(len(new), np.int64)
@@ -283,8 +286,7 @@ def encode(docs: DataFrame, model_file: str, *, text_col: str = "text", n: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg, ways = Segmenter(model), {}
         for whole in batches:
-            for at in range(0, len(whole), 1000):
-                batch = whole.slice(at, 1000)
+            for batch in _slices(whole, len(keep)):
                 if len(seg.known) > cache_chunks:
                     seg.forget()
                     ways = {}
@@ -319,6 +321,24 @@ def encode(docs: DataFrame, model_file: str, *, text_col: str = "text", n: int =
     return docs.select(*(F.col(q).alias(s) for q, s in zip(quoted(keep), safe, strict=True)), F.col(text_col).alias("text")).mapInArrow(run, schema).toDF(*keep, "ids", "score", "nbest")
 
 
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most 1000 rows whose values in ``column`` (strings or lists) hold
+    at most CHARACTERS bytes or items together; a larger value is a part of its own."""
+    import pyarrow.compute as pc
+
+    values = batch.column(column)
+    measure = pc.list_value_length if pa.types.is_list(values.type) or pa.types.is_large_list(values.type) else pc.binary_length
+    sizes = pc.fill_null(measure(values), 0).to_numpy(zero_copy_only=False)
+    begin = held = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > begin and (held + size > CHARACTERS or i - begin == 1000):
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += size
+    if len(batch) > begin:
+        yield batch.slice(begin)
+
+
 def _least(gaps: np.ndarray, n: int) -> np.ndarray:
     """Places of the n least values, ties to the earlier."""
     if n <= 0:
@@ -339,8 +359,7 @@ def decode(df: DataFrame, model_file: str, *, ids_col: str = "ids", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell = np.array(words, dtype=object)
         for whole in batches:
-            for at in range(0, len(whole), 500):
-                batch = whole.slice(at, 500)
+            for batch in _slices(whole, place):
                 ids = batch.column(place)
                 out = []
                 for value in ids:
