@@ -352,6 +352,71 @@ def test_encode_decode(spark):
     assert pieces.encode(documents(spark, EMPTY), SP).count() == 0
 
 
+def unigram_file(path, scored):
+    """A unigram model of given pieces and scores, written field by field in the file's format."""
+    import struct
+
+    def field(number, wire, value):
+        body = bytes([number << 3 | wire])
+        if wire == 2:
+            n, size = len(value), b""
+            while n > 127:
+                size, n = size + bytes([n & 127 | 128]), n >> 7
+            return body + size + bytes([n]) + value
+        return body + (struct.pack("<f", value) if wire == 5 else bytes([value]))
+
+    piece = lambda text, score, kind: field(1, 2, field(1, 2, text.encode()) + field(2, 5, score) + field(3, 0, kind))
+    special = piece("<unk>", 0.0, 2) + piece("<s>", 0.0, 3) + piece("</s>", 0.0, 3)
+    plain = b"".join(piece(t, s, 1) for t, s in scored)
+    normaliser = field(1, 2, b"identity") + field(3, 0, 1) + field(4, 0, 0) + field(5, 0, 1)
+    path.write_bytes(special + plain + field(2, 2, field(3, 0, 1)) + field(3, 2, normaliser))
+    return str(path)
+
+
+def test_n_best_of_whole_texts_is_the_librarys(spark, tmp_path, monkeypatch):
+    """A unigram model's own scores: the four best of whole texts, ids and scores, against the library and all paths."""
+    import sentencepiece
+
+    rng = random.Random(11)
+    strings = {"".join(rng.choice("abc") for _ in range(n)) for n in (2, 2, 2, 3, 3, 3, 4) for _ in range(4)} | set("abc▁")
+    strings |= {"▁" + "".join(rng.choice("abc") for _ in range(n)) for n in (1, 1, 2, 2, 3) for _ in range(2)}
+    file = unigram_file(tmp_path / "unigram.model", [(t, -rng.uniform(1, 9)) for t in sorted(strings)])
+    library, model = sentencepiece.SentencePieceProcessor(model_file=file), pieces.load(file, "model")
+    assert model.scores == [library.get_score(i) for i in range(library.get_piece_size())] and pieces.load(file).scores == model.scores
+    texts = ["a", "abc", "ab  ca", "abcab cabx", " c", *(" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 4))) for _ in range(40))]
+    monkeypatch.setattr(pieces, "CHARACTERS", 50)
+    monkeypatch.setattr(pieces, "CELLS", 100)
+    rows = pieces.encode(documents(spark, [(i, t, "x") for i, t in enumerate(texts)]), file, scores="model", keep=("doc_id", "text")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        chunks = model.chunks(pieces.normalise(r.text))
+        own = [pieces.n_best(model, c, 1)[0][1] for c in chunks]
+        assert list(r.ids) == [k for ids in own for k in ids]
+        got = []
+        for b in r.nbest:
+            ids = list(own)
+            for c in b.changes:
+                ids[c.chunk] = list(c.ids)
+            got.append([k for part in ids for k in part])
+        want = library.nbest_encode(r.text, nbest_size=100, out_type=int)  # equal scores come in any order
+        worth = lambda ids: sum(model.lowest if k == model.unknown else model.scores[k] for k in ids)
+        assert len(got) == min(4, len(want)) == len(set(map(tuple, got))) and all(ids in want for ids in got), r.text
+        scores = [b.score for b in r.nbest]
+        assert scores == pytest.approx([worth(ids) for ids in got], rel=1e-5) and scores == pytest.approx([worth(ids) for ids in want[:4]], rel=1e-5)
+        assert scores == pytest.approx(brute_paths(model, pieces.normalise(r.text))[:4], rel=1e-5)
+
+
+def test_slices_lose_no_row():
+    import pyarrow as pa
+
+    sizes = [0, 5, 2_000_000, 1, None, 999_999, 1] + [0] * 2500
+    for make in (lambda n: None if n is None else "x" * n, lambda n: None if n is None else [1] * n):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array([make(n) for n in sizes])], names=["i", "v"])
+        parts = [p.column(0).to_pylist() for p in pieces._slices(batch, 1)]
+        assert sum(parts, []) == list(range(len(sizes))) and max(map(len, parts)) <= 1000 and [2] in parts
+    assert list(pieces._slices(batch.slice(0, 0), 1)) == []
+
+
 # ---- 6 top-k
 
 
