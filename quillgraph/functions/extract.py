@@ -230,24 +230,28 @@ def find_decision(answer: str) -> str | None:
     return decision().find(answer)
 
 
+REMEMBERED = 10_000
 FINDERS: dict[str, Callable[..., str | None]] = {"english": find_option, "chinese": find_chinese, "french": find_french, "spanish": find_spanish, "hindi": find_hindi}
 
 
 def extract(answer: Column, options: str = "a-eA-E", language: str = "english") -> Column:
     """The option's letter, null if none is found or the answer is null."""
     find = FINDERS[language]
+    return _each(answer, lambda a: find(a, options))
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for answers in batches:
-            yield answers.map(lambda a: None if a is None else find(a, options))
 
-    return F.pandas_udf(run, "string")(answer)
+def extract_decision(answer: Column) -> Column:
+    """Yes, no or maybe, null if none is found or the answer is null."""
+    return _each(answer, find_decision)
 
 
-def extract_decision(answer: Column) -> Column:
+def _each(answer: Column, find: Callable[[str], str | None]) -> Column:
+    """``find`` of each answer; a task remembers up to REMEMBERED answers, so what comes often is read once."""
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = lru_cache(REMEMBERED)(find)
         for answers in batches:
-            yield answers.map(lambda a: None if a is None else find_decision(a))
+            yield answers.map(lambda a: None if a is None else known(a))
 
     return F.pandas_udf(run, "string")(answer)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,7 +25,8 @@ def split_text(text: str, size: int = CHUNK, overlap: int = OVERLAP, separators:
     mark = next((s for s in separators if s == "" or s in text), "")
     finer = separators[separators.index(mark) + 1 :]
     out: list[str] = []
-    held: list[str] = []
+    held: deque[str] = deque()
+    width = 0  # of what is held, each piece with a mark behind it
 
     def flush() -> None:
         joined = mark.join(held).strip()
@@ -35,14 +37,15 @@ def split_text(text: str, size: int = CHUNK, overlap: int = OVERLAP, separators:
         if len(piece) > size and finer:
             flush()
             held.clear()
+            width = 0
             out += split_text(piece, size, overlap, finer)
             continue
-        width = lambda parts: sum(map(len, parts)) + len(mark) * max(0, len(parts) - 1)
-        if held and width([*held, piece]) > size:
+        if held and width + len(piece) > size:
             flush()
-            while held and (width(held) > overlap or width([*held, piece]) > size):
-                held.pop(0)
+            while held and (width - len(mark) > overlap or width + len(piece) > size):
+                width -= len(held.popleft()) + len(mark)
         held.append(piece)
+        width += len(piece) + len(mark)
     flush()
     return out
 
