@@ -5,6 +5,10 @@ say nothing about quality."""
 from __future__ import annotations
 
 import hashlib
+import os
+import random
+import time
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -56,6 +60,48 @@ class LengthScorer:
         return [1.0 / (1.0 + len(a) / 16.0) for a in answers]
 
 
+class Patient:
+    """A generator that asks another up to ``tries`` times, with random pauses whose range doubles
+    from ``low`` to ``high`` seconds. Prompts that still fail raise the last error."""
+
+    def __init__(self, inner: Generator, tries: int = 5, low: float = 10.0, high: float = 30.0, sleep: Callable[[float], None] = time.sleep):
+        self.inner, self.tries, self.low, self.high, self.sleep = inner, tries, low, high, sleep
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        for i in range(self.tries - 1):
+            try:
+                return self.inner.generate(prompts)
+            except Exception:  # noqa: BLE001 (whatever a client raises)
+                self.sleep(random.uniform(self.low, max(self.low, min(self.high, 2.0**i))))
+        return self.inner.generate(prompts)
+
+
+class Remembering:
+    """A generator whose answers are kept as files in a folder that all executors share, so that a
+    prompt is asked once for each ``name`` (a model and its settings). A file is
+    written beside its place and moved there, so a lost executor leaves no half answer."""
+
+    def __init__(self, inner: Generator, folder: str, name: str = ""):
+        self.inner, self.folder, self.name = inner, folder, name
+        os.makedirs(folder, exist_ok=True)
+
+    def _file(self, prompt: str) -> str:
+        return os.path.join(self.folder, hashlib.sha256(f"{self.name}\0{prompt}".encode("utf-8", "surrogatepass")).hexdigest())
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        new = [p for p in dict.fromkeys(prompts) if not os.path.exists(self._file(p))]
+        for prompt, answer in zip(new, self.inner.generate(new) if new else [], strict=True):
+            part = f"{self._file(prompt)}.{uuid.uuid4().hex}"
+            with open(part, "w", encoding="utf-8", newline="") as f:
+                f.write(answer)
+            os.replace(part, self._file(prompt))
+        out = []
+        for prompt in prompts:
+            with open(self._file(prompt), encoding="utf-8", newline="") as f:
+                out.append(f.read())
+        return out
+
+
 def _iterated(load: Callable, method: str, returns: str, arity: int):
     """An Arrow iterator UDF that loads its model once for each worker's task."""
     if arity == 1:

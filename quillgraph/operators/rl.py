@@ -94,7 +94,28 @@ def answered(df: DataFrame, ids: str, prompt_length: str, pad: int) -> DataFrame
     return df.where(F.size(F.filter(answer, lambda x: x != pad)) > 1)
 
 
-def flops(batch: Column, length: Column, layers: Column, hidden: Column, vocabulary: Column, checkpointing: bool = True) -> Column:
-    """Floating-point operations of a training step of a decoder."""
-    factor = 4.0 if checkpointing else 3.0
-    return 24.0 * factor * batch * length * layers * hidden * hidden * (1.0 + length / (6.0 * hidden) + vocabulary / (16.0 * layers * hidden))
+def flops(batch: Column, length: Column, layers: Column, hidden: Column, vocabulary: Column, checkpointing: bool = True, lora: int = 0) -> Column:
+    """Floating-point operations of a training step of a decoder; adapters of rank ``lora`` save
+    most of the weights' gradients."""
+    factor = F.lit(4.0 if checkpointing else 3.0)
+    if lora > 0:
+        factor = factor - (1.0 - 2.0 * lora / hidden)
+    return factor * forward_flops(batch, length, layers, hidden, vocabulary)
+
+
+def forward_flops(batch: Column, length: Column, layers: Column, hidden: Column, vocabulary: Column) -> Column:
+    """Floating-point operations of a pass forward."""
+    return 24.0 * batch * length * layers * hidden * hidden * (1.0 + length / (6.0 * hidden) + vocabulary / (16.0 * layers * hidden))
+
+
+def throughput(operations: Column, seconds: Column, batch: Column, gpus: Column) -> Column:
+    """A training step's latency, tflops a device, samples_per_second and seconds_per_sample."""
+    return F.struct(seconds.alias("latency"), (operations / (seconds * gpus * 1e12)).alias("tflops"), (batch / seconds).alias("samples_per_second"), (seconds / batch).alias("seconds_per_sample"))
+
+
+def generation(parameters: Column, value_bytes: Column, seconds: Column, answer_length: Column, operations: Column, gpus: Column) -> Column:
+    """Generation's latency, token_latency, tflops a device and bandwidth, the GB of weights read a second; -1
+    where ``value_bytes``, a weight's size, is below 1."""
+    token = seconds / answer_length
+    bandwidth = F.when(value_bytes > 0, parameters * value_bytes / token / 1e9).otherwise(-1.0)
+    return F.struct(seconds.alias("latency"), token.alias("token_latency"), (operations / (seconds * gpus * 1e12)).alias("tflops"), bandwidth.alias("bandwidth"))

@@ -182,3 +182,15 @@ def trim_output(text: Column) -> Column:
 def instruction_prompt(instruction: Column) -> Column:
     """The prompt under which a fine-tuned model is tried on an instruction."""
     return F.concat(F.lit("<|im_start|>system\nYou are a helpful assistant.<|im_end|>\n<|im_start|>user\n"), instruction, F.lit("<|im_end|>\n<|im_start|>assistant\n"))
+
+
+# Special tokens of a tokenizer that has none of its own.
+SPECIAL_TOKENS = {"pad_token": "[PAD]", "eos_token": "</s>", "bos_token": "<s>", "unk_token": "<unk>", "mask_token": "[MASK]"}
+
+
+def special_tokens(df: DataFrame) -> DataFrame:
+    """Rows of tokenizers' metadata with defaults for special tokens that are null, empty or no
+    column, and added, the names of those that were."""
+    own = {k: F.nullif(F.col(k), F.lit("")) if k in df.columns else F.lit(None).cast("string") for k in SPECIAL_TOKENS}
+    added = F.array_compact(F.array(*(F.when(c.isNull(), F.lit(k)) for k, c in own.items())))
+    return df.withColumns({"added": added, **{k: F.coalesce(c, F.lit(SPECIAL_TOKENS[k])) for k, c in own.items()}})

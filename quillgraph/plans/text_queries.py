@@ -530,6 +530,51 @@ def q_flops(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", (rl.flops(F.col("p_size").cast("double"), c(128), c(12), c(768), c(50257)) / 1e12).alias("tflops"))
 
 
+_FORWARD = "24.0 * p_size * 128 * 12 * 768 * 768 * (1 + 128 / (6.0 * 768) + 50257 / (16.0 * 12 * 768))"
+
+
+@query(f"""
+SELECT p_partkey, p_retailprice AS latency, {_FORWARD} * (3 - (1 - 2 * 8 / 768.0)) / (p_retailprice * 8 * 1e12) AS tflops,
+       p_size / p_retailprice AS samples_per_second, p_retailprice / p_size AS seconds_per_sample
+FROM part
+""")
+def q_throughput(spark, sf_dir):
+    """Training steps with adapters of rank 8 on 8 devices, the parts' sizes as batches, prices as seconds."""
+    c = lambda x: F.lit(float(x))
+    batch, seconds = F.col("p_size").cast("double"), F.col("p_retailprice").cast("double")
+    operations = rl.flops(batch, c(128), c(12), c(768), c(50257), checkpointing=False, lora=8)
+    return table(spark, sf_dir, "part").select("p_partkey", rl.throughput(operations, seconds, batch, c(8)).alias("t")).select("p_partkey", "t.*")
+
+
+@query(f"""
+SELECT p_partkey, p_retailprice AS latency, p_retailprice / 128 AS token_latency, {_FORWARD} / (p_retailprice * 8 * 1e12) AS tflops,
+       CASE WHEN p_size % 2 = 0 THEN 1.5e9 * 2 / (p_retailprice / 128) / 1e9 ELSE -1 END AS bandwidth
+FROM part
+""")
+def q_generation_throughput(spark, sf_dir):
+    """Generation of 128 tokens; weights of even sizes have 2 bytes, others an unknown number."""
+    c = lambda x: F.lit(float(x))
+    operations = rl.forward_flops(F.col("p_size").cast("double"), c(128), c(12), c(768), c(50257))
+    value_bytes = F.when(F.col("p_size") % 2 == 0, 2).otherwise(-1)
+    out = rl.generation(c(1.5e9), value_bytes, F.col("p_retailprice").cast("double"), c(128), operations, c(8))
+    return table(spark, sf_dir, "part").select("p_partkey", out.alias("g")).select("p_partkey", "g.*")
+
+
+@query("""
+WITH t AS (
+  SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 THEN '' WHEN c_custkey % 3 = 2 THEN c_mktsegment END AS pad, nullif(c_mktsegment, 'BUILDING') AS unk FROM customer)
+SELECT c_custkey, coalesce(nullif(pad, ''), '[PAD]') AS pad_token, '</s>' AS eos_token, '<s>' AS bos_token, coalesce(nullif(unk, ''), '<unk>') AS unk_token, '[MASK]' AS mask_token,
+       concat_ws(',', CASE WHEN coalesce(pad, '') = '' THEN 'pad_token' END, 'eos_token', 'bos_token', CASE WHEN coalesce(unk, '') = '' THEN 'unk_token' END, 'mask_token') AS added
+FROM t
+""")
+def q_special_tokens(spark, sf_dir):
+    """Defaults for special tokens that are null, empty or absent, market segments being the tokens there are."""
+    third = F.col("c_custkey") % 3
+    pad = F.when(third == 1, "").when(third == 2, F.col("c_mktsegment"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", pad.alias("pad_token"), F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")).alias("unk_token"))
+    return sft.special_tokens(rows).withColumn("added", F.array_join("added", ","))
+
+
 @query(f"WITH {_SEQ} SELECT user_id, n AS length FROM s WHERE t = 0 AND n > 4")
 def q_answered(spark, sf_dir):
     """Sequences whose answer, after a prompt of 3, has more than one token."""

@@ -51,11 +51,13 @@ def json_object(spark: SparkSession, path: str, value: str = "STRUCT<QUESTION: S
     return entry.select("id", "record.*")
 
 
-def json_lines_head(spark: SparkSession, path: str, schema: str, n: int | None = None) -> DataFrame:
-    """The first ``n`` lines' records; blank lines count as lines but give no record."""
+def json_lines_head(spark: SparkSession, path: str, schema: str, n: int | None = None, one_more: bool = False) -> DataFrame:
+    """The first ``n`` lines' records, files in order of their names; blank lines count as lines but give
+    no record. ``one_more`` takes n + 1, as the reader of MedQA does, which stops behind line n counted from 0."""
     lines = spark.read.text(path)
     if n is not None:
-        lines = lines.limit(n)
+        place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+        lines = lines.select("value", F.struct(*(c.alias(f"k{i}") for i, c in enumerate(place))).alias("place")).orderBy("place").limit(n + one_more)
     return lines.where(F.trim("value") != "").select(F.from_json("value", schema).alias("r")).select("r.*")
 
 

@@ -1,6 +1,7 @@
 """Golden values and properties of the reference's operators."""
 
 import math
+import os
 import random
 
 
@@ -331,16 +332,72 @@ def test_graph_source(spark, tmp_path):
     assert graph_api.patient(flaky, "x", 0.0) == "ok"
 
 
+def test_graph_service(spark, tmp_path):
+    """Types, then neighbourhoods: excluded types and records beyond the cutoffs stay out."""
+    import json
+
+    item = lambda kind, i, **p: {"data": {"neo4j_type": kind, "id": i, "source": 1, "target": 2, "properties": p}}
+    around = [
+        item("Disease", 1, name="flu"), item("Version", 2, name="v"), item("Compound", 3, name="low", max_phase=2), item("Compound", 4, name="high", max_phase=3),
+        item("Protein", 5, description="kept", source=["TrEMBL", "SwissProt"]), item("Protein", 6, description="gone", source="TrEMBL"), item("Gene", 7, name="unknown kind"),
+        item("INTERACTS_PiP", 8, confidence=0.7), item("INTERACTS_PiP", 9, confidence=0.69), item("EXPRESSES_ACTeG", 10, level="None"), item("EXPRESSES_ACTeG", 11),
+    ]
+    where = tmp_path / "api" / "v1"
+    (where / "neighborhood" / "Disease" / "name").mkdir(parents=True)
+    (where / "types.json").write_text(json.dumps({"nodes": dict.fromkeys(["Disease", "Version", "Compound", "Protein"], {}), "edges": dict.fromkeys(["INTERACTS_PiP", "EXPRESSES_ACTeG"], {})}))
+    (where / "neighborhood" / "Disease" / "name" / "a%2Fb flu.json").write_text(json.dumps(around))
+    spark.dataSource.register(graph_api.GraphSource)
+    df = spark.read.format("graph").option("path", str(tmp_path)).option("values", "a/b flu\nnone\n\na/b flu").load()
+    assert sorted(int(r.id) for r in df.collect()) == [1, 4, 5, 8, 11] and df.rdd.getNumPartitions() == 2
+    assert one(df.where("neo4j_type = 'Compound'")).properties.name == "high"
+
+
+def test_model_clients(tmp_path):
+    asked, pauses = [], []
+
+    class Flaky:
+        def generate(self, prompts):
+            asked.append(list(prompts))
+            if len(asked) < 3:
+                raise RuntimeError
+            return [p.upper() + "\r\n" for p in prompts]
+
+    client = models.Remembering(models.Patient(Flaky(), sleep=pauses.append), str(tmp_path / "answers"), "m")
+    assert client.generate(["a", "b", "a"]) == ["A\r\n", "B\r\n", "A\r\n"] and asked == [["a", "b"]] * 3 and pauses == [10, 10]
+    assert client.generate(["b", "c"]) == ["B\r\n", "C\r\n"] and asked[3:] == [["c"]]
+    asked.clear()
+    with pytest.raises(RuntimeError):
+        models.Patient(Flaky(), tries=2, sleep=pauses.append).generate(["x"])
+
+
+def test_special_tokens_and_heads(spark, tmp_path):
+    row = one(sft.special_tokens(spark.createDataFrame([(None, "", "<B>")], "pad_token string, eos_token string, bos_token string")))
+    assert (row.pad_token, row.eos_token, row.bos_token, row.unk_token, row.mask_token) == ("[PAD]", "</s>", "<B>", "<unk>", "[MASK]") and row.added == ["pad_token", "eos_token", "unk_token", "mask_token"]
+    (tmp_path / "a.jsonl").write_text("".join(f'{{"i": {i}}}\n' for i in range(5)))
+    (tmp_path / "b.jsonl").write_text('\n{"i": 9}\n')
+    head = lambda **k: sorted(r.i for r in files.json_lines_head(spark, str(tmp_path), "i int", **k).collect())
+    assert head(n=3) == [0, 1, 2] and head(n=3, one_more=True) == [0, 1, 2, 3] and head(n=6) == [0, 1, 2, 3, 4] and head() == [0, 1, 2, 3, 4, 9]
+
+
 def test_streams(spark, tmp_path):
     rng = random.Random(1)
     rows = [(f"n{rng.randint(0, 5)}", "r", f"n{rng.randint(0, 5)}", float(rng.randint(1, 4))) for _ in range(30)]
     for i in range(3):
         spark.createDataFrame(rows[10 * i : 10 * i + 10], TRIPLE).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    state = entropy_stream.EntropyState(str(tmp_path / "state"))
+    state = entropy_stream.EntropyState(str(tmp_path / "state"), compact=2, buckets=4)
     stream = spark.readStream.schema(TRIPLE).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     entropy_stream.maintain(stream, state, str(tmp_path / "ck")).awaitTermination(60)
     last = state.history(spark).orderBy(F.desc("batch")).first()
     assert last.entropy == pytest.approx(h1([(a, b, w) for a, _, b, w in rows]), abs=1e-9)
+    more = [[("n0", "r", "new", 2.0)], [], [("new", "r", "new", 1.0), ("n1", "r", "n2", 3.0)], [("z", "r", "n0", 1.0)]]
+    for k, extra in enumerate(more):  # over two compactions, each batch tried twice
+        for _ in range(2):
+            state.update(spark.createDataFrame(extra, TRIPLE), 3 + k)
+        rows += extra
+        now = state.history(spark).where(F.col("batch") == 3 + k).first()
+        known = {r.node: r.degree for r in state.degrees(spark, 3 + k).collect()}
+        assert now.entropy == pytest.approx(h1([(a, b, w) for a, _, b, w in rows]), abs=1e-9) and now.volume == sum(known.values()) and now.nodes == len(known)
+    assert sorted(os.listdir(tmp_path / "state" / "added")) == [f"batch={i}" for i in range(4, 7)]
     spark.createDataFrame([("q <a>", "b.", "e", 1.0), ("q", "x, y", "e", 1.0)], schema.SAMPLES).write.json(str(tmp_path / "samples"))
     sample_stream.append(spark, str(tmp_path / "samples"), str(tmp_path / "sessions"), str(tmp_path / "ck2")).awaitTermination(60)
     got = spark.read.json(str(tmp_path / "sessions")).collect()
