@@ -1,5 +1,5 @@
 """What the corpus operators share: scratch tables, joins that withstand hot
-keys, and connected components."""
+keys; connected components are the library's."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph import tables
+from quillgraph.operators.graph import components as components
 
 #: ASCII white space as the contracts define it: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
@@ -72,44 +73,3 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total
         on[0] = on[0] & c
     out = out.join(cold, on[0], "left")
     return out.select(*rows.columns, *(F.coalesce(f"hot_{c}", f"cold_{c}").alias(c) for c in values))
-
-
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Connected components of an undirected graph as (node, component), component
-    being the least node reachable; only nodes with an edge appear.
-
-    Each round points every node at its least neighbour, follows the pointers to
-    their roots by doubling and contracts the edges to roots. All state is in
-    written tables; the driver sees only whether rows are left. ``edges`` has a
-    and b, of one orderable type.
-    """
-    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    left = scratch.keep(edges.where("a <> b").select(*pair("a", "b")).distinct(), "edges")
-    found = None
-    while not left.isEmpty():
-        both = left.select("a", "b").unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("p")).select("node", F.least("node", "p").alias("parent"))
-        up = scratch.keep(up, "pointers")
-        while True:
-            above = up.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-            new = scratch.keep(up.join(above, "parent").select("node", F.col("grand").alias("parent"), (F.col("grand") < F.col("parent")).alias("moved")), "pointers")
-            scratch.drop(up)
-            up, moved = new.select("node", "parent"), not new.where("moved").isEmpty()
-            up._scratch_path = new._scratch_path
-            if not moved:
-                break
-        if found is None:
-            found = up
-        else:
-            old = found
-            found = scratch.keep(old.join(up.select(F.col("node").alias("parent"), F.col("parent").alias("top")), "parent", "left").select("node", F.coalesce("top", "parent").alias("parent")), "found")
-            scratch.drop(old)
-        to_a, to_b = (up.select(F.col("node").alias(c), F.col("parent").alias(f"r{c}")) for c in "ab")
-        new = scratch.keep(left.join(to_a, "a").join(to_b, "b").where("ra <> rb").select(*pair("ra", "rb")).distinct(), "edges")
-        scratch.drop(left)
-        left = new
-    scratch.drop(left)
-    if found is None:
-        kind = edges.schema["a"].dataType
-        return edges.sparkSession.createDataFrame([], f"node {kind.simpleString()}, component {kind.simpleString()}")
-    return found.select("node", F.col("parent").alias("component"))
