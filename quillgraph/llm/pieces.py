@@ -99,13 +99,21 @@ def edges(model: Model, chunk: str) -> list[list[tuple[int, int, float]]]:
 
 
 def n_best(model: Model, chunk: str, n: int) -> list[tuple[float, list[int]]]:
-    """The ``n`` best segmentations of a chunk, best first (all, if fewer); equal
-    scores by the pieces' order from the end."""
+    """The ``n`` best segmentations of a chunk, best first (all, if fewer). Of
+    equally good ones Viterbi's is the first, which from the end on takes the shortest
+    piece; it is that of Segmenter, however many chunks that looks at."""
     into = edges(model, chunk)
-    forward = [0.0] + [NONE] * len(chunk)
+    forward, back = [0.0] + [NONE] * len(chunk), [(0, 0)] * (len(chunk) + 1)
     for end in range(1, len(chunk) + 1):
-        forward[end] = max(forward[a] + s for a, _, s in into[end])
-    found: list[tuple[float, list[int]]] = []
+        for a, k, s in reversed(into[end]):
+            if forward[a] + s > forward[end]:
+                forward[end], back[end] = forward[a] + s, (a, k)
+    at, parts = len(chunk), []
+    while at:
+        a, k = back[at]
+        parts.append(spelled(model, chunk[a:at]) if k < 0 else [k])
+        at = a
+    found = [(forward[-1], list(chain.from_iterable(reversed(parts))))]
     # (-(forward score here + score from here to the end), order, position, score to the end, path)
     heap, order = [(-forward[-1], 0, len(chunk), 0.0, None)], 0
     while heap and len(found) < n:
@@ -115,7 +123,8 @@ def n_best(model: Model, chunk: str, n: int) -> list[tuple[float, list[int]]]:
             while path is not None:
                 k, c, path = path
                 ids += spelled(model, c) if k < 0 else [k]
-            found.append((gone, ids))
+            if ids != found[0][1]:
+                found.append((min(gone, forward[-1]), ids))
             continue
         for start, k, score in into[at]:
             order += 1
@@ -174,7 +183,7 @@ class Segmenter:
             if size > 48 or size * len(rows) < 64:
                 for i in rows.tolist():
                     top = n_best(self.model, new[i], 2)
-                    best[i], gaps[i], lengths[i] = top[0][0], top[0][0] - top[1][0] if len(top) > 1 else np.inf, len(top[0][1])
+                    best[i], gaps[i], lengths[i] = top[0][0], _gap(top[0][0], top[1][0]) if len(top) > 1 else np.inf, len(top[0][1])
                     flats.append(np.array(top[0][1], np.int64))
             else:
                 step = max(64, CELLS // (size * min(size, self.model.longest)))
@@ -241,7 +250,12 @@ class Segmenter:
                 parts[j] = np.array([i for k in parts[j].tolist() for i in ([k] if k >= 0 else spelled(self.model, chunks[j][-3 - k]))])
                 lengths[j] = len(parts[j])
             flat = np.concatenate(parts)
-        return flat, lengths, forward[length], np.maximum(forward[length] - second, 0.0)
+        return flat, lengths, forward[length], _gap(forward[length], second)
+
+
+def _gap(best, second):
+    """How far the second best is behind, without the last digits, which depend on the order of a sum."""
+    return np.maximum(np.round(best - second, 9), 0.0)
 
 
 def combine(options: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:

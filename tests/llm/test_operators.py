@@ -329,6 +329,11 @@ def test_n_best_is_brute_force():
         assert [s for s, _ in got] == pytest.approx(best[:4])
         assert seg.best[k] == pytest.approx(best[0])
         assert seg.gaps[k] == pytest.approx(best[0] - best[1] if len(best) > 1 else np.inf)
+    for c, k in seg.known.items():  # alone or among many, ties included
+        alone = pieces.Segmenter(model)
+        alone.learn([c])
+        ids = seg.flat[seg.starts[k] : seg.starts[k] + seg.lengths[k]].tolist()
+        assert ids == alone.flat.tolist() == pieces.n_best(model, c, 1)[0][1] and seg.gaps[k] == pytest.approx(alone.gaps[0], rel=1e-6, abs=1e-8)
     for t in texts:
         assert "".join(model.chunks(pieces.normalise(t))) == pieces.normalise(t)
 
