@@ -45,12 +45,13 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     gone = lookup(lines, shared, ["h1", "h2"], "n", lines.count(), F.xxhash64("id", "h2")).where(F.col("id") > F.col("keeper"))
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("_n_lines", "_n_dropped")])
     own, hashes, split, kept = fresh(docs, "_id", "_gone", "_split", "_kept")
-    gone = gone.groupBy(F.col("id").alias(own)).agg(F.collect_set("h1").alias(hashes))
+    gone = gone.groupBy(F.col("id").alias(own)).agg(F.collect_set(F.struct("h1", "h2")).alias(hashes))
     out = docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col(own), "left")
 
     def stays(line: Column) -> Column:
         k = line_key(line)
-        return (F.length(k) < min_chars) | ~F.array_contains(F.col(hashes), F.xxhash64(k))
+        h1, h2 = hash128(k)
+        return (F.length(k) < min_chars) | ~F.array_contains(F.col(hashes), F.struct(h1.alias("h1"), h2.alias("h2")))
 
     out = out.withColumn(split, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).withColumn("_n_lines", F.size(split).cast("long"))
     out = out.withColumn(kept, F.when(F.col(hashes).isNotNull(), F.filter(split, stays)))
