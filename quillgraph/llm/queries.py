@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import covertree, lines, mixing, pieces, simhash, suffixes, tokens, topk, toxicity, warc
+from quillgraph.llm import bpe, covertree, lexical, lines, mixing, pieces, simhash, spelling, suffixes, tokens, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,6 +84,24 @@ def op10_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the commoner words they are one edit away from."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents for each benchmark item."""
+    out = lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids and of the text that they decode to."""
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), file), file)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_sha256("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 OP2_SQL = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
@@ -175,10 +193,60 @@ SELECT e.vec_id, coalesce(c.n, 0) AS n_links, least(e.vec_id, coalesce(l.b, e.ve
 FROM embeddings e LEFT JOIN least l ON l.a = e.vec_id LEFT JOIN counts c ON c.a = e.vec_id
 """
 
+OP11_SQL = """
+WITH RECURSIVE checksums AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
+found AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS name, run, count(*) AS n FROM found GROUP BY ALL),
+summed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(name)), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+                                 lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM (SELECT run, n, name, hex(encode(name)) AS x FROM runs), checksums),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM summed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cuts AS (
+  SELECT word, n, length(word) AS l, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT DISTINCT a.word AS a, b.word AS b FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.l = b.l AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cuts c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, c.word FROM cuts c JOIN words w ON c.rest = w.word),
+near AS (
+  SELECT a AS word, b AS other, w.n AS other_n, row_number() OVER (PARTITION BY a ORDER BY w.n DESC, b) AS k, count(*) OVER (PARTITION BY a) AS n_near FROM pairs JOIN words w ON w.word = b),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN near ON near.word = w.word AND k = 1),
+walk(word, top) AS (
+  SELECT word, word FROM forms UNION ALL SELECT walk.word, f.form FROM walk JOIN forms f ON f.word = walk.top WHERE f.form IS NOT NULL),
+roots AS (SELECT walk.word, top AS root FROM walk JOIN forms f ON f.word = walk.top WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, len(t) AS n, t FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents)
+  WHERE len(t) > 0),
+total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_words FROM d),
+tfs AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM d) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, total GROUP BY term, n_docs),
+asked AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_words)))) AS BIGINT) AS score
+  FROM asked JOIN tfs USING (term) JOIN weights USING (term), total GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_token_counts, op4_toxicity, op5_sentencepiece, op6_topk, op7_simhash, op8_suffixes, op9_lines, op10_covertree)}
+    return {f.__name__: f for f in (op1_mixing, op2_warc, op3_token_counts, op4_toxicity, op5_sentencepiece, op6_topk, op7_simhash, op8_suffixes, op9_lines, op10_covertree, op11_spelling, op12_lexical, op13_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op6_topk": OP6_SQL, "op8_suffixes": OP8_SQL, "op9_lines": OP9_SQL, "op10_covertree": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op6_topk": OP6_SQL, "op8_suffixes": OP8_SQL, "op9_lines": OP9_SQL, "op10_covertree": OP10_SQL, "op11_spelling": OP11_SQL, "op12_lexical": OP12_SQL}
