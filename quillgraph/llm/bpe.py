@@ -12,10 +12,9 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +22,7 @@ from quillgraph.llm.common import fresh, quoted
 from quillgraph.llm.tokens import BYTE_LEVEL, SETTLED, PreTokenizer, added_tokens
 
 #: Bytes of text that a task takes at a time, and of codes that it remembers.
-TAKEN, REMEMBERED = 8_000_000, 64_000_000
+TAKEN, REMEMBERED = 4_000_000, 48_000_000
 
 
 def settled_pattern() -> str:
@@ -182,7 +181,7 @@ def frequent_pieces(docs: DataFrame, spec: str, added: list[str], id_col: str, t
     return top.repartition(8).mapInArrow(encoded, "piece string, codes binary")
 
 
-def encode(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None, ids_col: str = "ids", sample_docs: int = 20_000, hot_pieces: int = 65_536, hot_chars: int = 32) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None, ids_col: str = "ids", sample_docs: int = 4_000, hot_pieces: int = 65_536, hot_chars: int = 32) -> DataFrame:
     """The columns ``keep`` (``id_col`` by default) and ids, an array of ints: each whole text as the tokenizers
     library encodes it without added begin and end tokens.
 
@@ -194,21 +193,34 @@ def encode(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", text
 
     Null and empty texts have no ids. Null ids and repeated rows are documents like others.
     """
-    spark = docs.sparkSession
+    keep = (id_col,) if keep is None else keep
+    codes = _coder(docs, tokenizer_file, id_col, text_col, sample_docs, hot_pieces, hot_chars)
+    [work] = fresh(docs.select(*quoted(list(keep))), "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data in codes(batches, len(keep)):
+            offsets = np.concatenate(([0], np.cumsum([len(d) // 4 for d in data]))).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(data), "<i4")))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], ids], names=[*keep, ids_col])
+
+    schema = T.StructType([docs.schema[c] for c in keep]).add(ids_col, T.ArrayType(T.IntegerType(), False))
+    return docs.select(*quoted(list(keep)), F.coalesce(F.col(quoted([text_col])[0]), F.lit("")).alias(work)).mapInArrow(run, schema)
+
+
+def _coder(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: str, sample_docs: int, hot_pieces: int, hot_chars: int) -> Callable[[Iterator[pa.RecordBatch], int], Iterator[tuple[pa.RecordBatch, list[bytes]]]]:
+    """A function for tasks: batches in parts, with the codes of each text in a column."""
     spec = open(tokenizer_file, encoding="utf-8").read()
     added = added_tokens(spec)
     special = {a["content"]: int(a["id"]).to_bytes(4, "little") for a in json.loads(spec)["added_tokens"]}
     hot = frequent_pieces(docs, spec, added, id_col, text_col, sample_docs, hot_pieces, hot_chars)
-    known = spark.sparkContext.broadcast({r["piece"]: bytes(r["codes"]) for r in hot.toLocalIterator()})
-    keep = (id_col,) if keep is None else keep
-    [work] = fresh(docs.select(*quoted(list(keep))), "_text")
+    known = docs.sparkSession.sparkContext.broadcast({r["piece"]: bytes(r["codes"]) for r in hot.toLocalIterator()})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
         split, merges, codes, own = Splitter(spec, added), Merges(spec), dict(known.value), 0
         between = split.cut and split.cut.findall
-        for batch in _taken(batches, len(keep), TAKEN):
+        for batch in _taken(batches, column, TAKEN):
             texts, missing = [], set()
-            for text in batch.column(len(keep)).to_pylist():
+            for text in batch.column(column).to_pylist():
                 if between and any(a in text for a in added):
                     marks = [*between(text), None]
                     parts = [(split(s)[0], mark) for s, mark in zip(split.cut.split(text), marks, strict=True)]
@@ -223,26 +235,27 @@ def encode(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", text
                 codes.update(zip(words, found, strict=True))
                 own += sum(map(len, words)) + sum(map(len, found)) + 150 * len(words)
             code = codes.__getitem__
-            data = [b"".join(b"".join(map(code, words)) + (special[mark] if mark else b"") for words, mark in parts) for parts in texts]
-            offsets = np.concatenate(([0], np.cumsum([len(d) // 4 for d in data]))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(data), "<i4")))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], ids], names=[*keep, ids_col])
+            yield batch, [b"".join(b"".join(map(code, words)) + (special[mark] if mark else b"") for words, mark in parts) for parts in texts]
             if own > REMEMBERED:
                 codes, own = dict(known.value), 0
 
-    schema = T.StructType([docs.schema[c] for c in keep]).add(ids_col, T.ArrayType(T.IntegerType(), False))
-    return docs.select(*quoted(list(keep)), F.coalesce(F.col(quoted([text_col])[0]), F.lit("")).alias(work)).mapInArrow(run, schema)
+    return run
 
 
-def decode(encoded: DataFrame, tokenizer_file: str, *, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
-    """Adds the text of an array of ids, special tokens as their strings, as the library does: bytes that are no
-    UTF-8 become U+FFFD, ids that the vocabulary lacks and a null array give nothing."""
+def piece_bytes(tokenizer_file: str) -> list[bytes]:
+    """The bytes of each id, special tokens as their strings, and nothing for ids that the vocabulary lacks and at the end."""
     spec = json.loads(open(tokenizer_file, encoding="utf-8").read())
     number = {c: b for b, c in enumerate(byte_letters())}
     pieces: dict[int, bytes] = {}
     for text, i in [*spec["model"]["vocab"].items(), *((a["content"], a["id"]) for a in spec["added_tokens"])]:
         pieces[i] = bytes(number[c] for c in text) if all(c in number for c in text) else text.encode()
-    table = encoded.sparkSession.sparkContext.broadcast([pieces.get(i, b"") for i in range(max(pieces, default=-1) + 1)] + [b""])
+    return [pieces.get(i, b"") for i in range(max(pieces, default=-1) + 1)] + [b""]
+
+
+def decode(encoded: DataFrame, tokenizer_file: str, *, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """Adds the text of an array of ids, special tokens as their strings, as the library does: bytes that are no
+    UTF-8 become U+FFFD, ids that the vocabulary lacks and a null array give nothing."""
+    table = encoded.sparkSession.sparkContext.broadcast(piece_bytes(tokenizer_file))
     columns = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,16 +265,29 @@ def decode(encoded: DataFrame, tokenizer_file: str, *, ids_col: str = "ids", dec
             ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)).tolist()
             flat = pc.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False)
             flat = np.where((flat < 0) | (flat > none), none, flat).tolist()
-            texts = [b"".join(map(piece, flat[a:b])).decode("utf-8", "replace") for a, b in zip([0, *ends], ends)]  # noqa: B905
+            texts = [_text(piece, flat[a:b]) for a, b in zip([0, *ends], ends)]  # noqa: B905
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*columns, decoded_col])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(decoded_col, T.StringType())]))
 
 
-def ids_sha256(ids: str) -> Column:
-    """Hexadecimal SHA-256 of an array of ids as little-endian unsigned 32-bit integers."""
+def _text(piece: Callable[[int], bytes], ids: list[int]) -> str:
+    return b"".join(map(piece, ids)).decode("utf-8", "replace")
+
 
-    def digest(arrays: pd.Series) -> pd.Series:
-        return arrays.map(lambda a: hashlib.sha256(np.asarray(a, "<i4").tobytes()).hexdigest())
+def digests(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 4_000, hot_pieces: int = 65_536, hot_chars: int = 32) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256): each whole text encoded and decoded in one pass, as ``encode``
+    and ``decode`` do, without its ids and text leaving the task: hexadecimal SHA-256 of the ids as
+    little-endian unsigned 32-bit integers, and of the decoded text in UTF-8."""
+    codes = _coder(docs, tokenizer_file, id_col, text_col, sample_docs, hot_pieces, hot_chars)
+    table = docs.sparkSession.sparkContext.broadcast(piece_bytes(tokenizer_file))
 
-    return F.pandas_udf(digest, "string")(F.col(ids))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, sha = table.value.__getitem__, hashlib.sha256
+        for batch, data in codes(batches, 1):
+            decoded = [sha(_text(piece, np.frombuffer(d, "<u4").tolist()).encode()).hexdigest() for d in data]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(d) // 4 for d in data], pa.int64()), pa.array([sha(d).hexdigest() for d in data]), pa.array(decoded)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(quoted([id_col])[0]).alias("id"), F.coalesce(F.col(quoted([text_col])[0]), F.lit("")).alias("text"))
+    return texts.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -97,9 +97,8 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each document's ids and of the text that they decode to."""
-    file = public_tokenizers.path("byte_bpe_50k.json")
-    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), file), file)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_sha256("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.withColumnRenamed("id", "doc_id")
 
 
 OP2_SQL = """
