@@ -1,8 +1,8 @@
 """The chosen option in a model's free answer.
 
 Patterns are tried in order and the first that is found anywhere decides. They are
-spelled from their parts: a phrase that announces an answer, a gap, the option
-in one of several brackets, and what must follow. Arrow UDFs hold them
+tables of templates. One scan of a text for the literals that templates cannot do
+without says which patterns can match at all; the others are passed over. Arrow UDFs hold them
 compiled once for each task.
 """
 
@@ -25,80 +25,87 @@ GAP, WORDLESS = f"[^{LETTERS}]", f"[^{LETTERS}0-9]"  # not a letter; neither let
 BRACKETS = (r"\({}\)", r"\[{}\]", r"\{{{}\}}")
 
 
+# The patterns in their order. {x} is an option, {v} an option but A, {g} no letter, {w} neither letter nor digit;
+# {p} is a phrase, {V} a verb, {n} a noun of a list above, each of which takes its turn.
+START = (r"^{x}\.",)
+AFTER = (
+    r"{p}{g}*\({x}\){g}", r"{p}{g}*\[{x}\]{g}", r"{p}{g}*\{{{x}\}}{g}", r"{p}{g}*{x}\){g}", r"{p}{g}*{x}{w}",
+    r"{p}{g}*\({x}\)", r"{p}{g}*\[{x}\]", r"{p}{g}*\{{{x}\}}", r"{p}{g}*{x}\)", r"{p}{g}*{x}$",
+)
+AFTER_OPTION = (
+    r"{p}{g}*\({x}\){g}IS CORRECT", r"{p}{g}*\[{x}\]{g}IS CORRECT", r"{p}{g}*\{{{x}\}}{g}IS CORRECT", r"{p}{g}*{x}\){g}IS CORRECT", r"{p}{g}*{x}{w}IS CORRECT",
+    r"{p}{g}*\({x}\)IS CORRECT", r"{p}{g}*\[{x}\]IS CORRECT", r"{p}{g}*\{{{x}\}}IS CORRECT", r"{p}{g}*{x}\)IS CORRECT",
+)
+ANNOUNCED = (
+    r"is{g}*:+{g}*\n+{g}*{x}\)", r"is{g}*\n+{g}*{x}\)",
+    r"would be{g}*\({x}\){g}", r"would be{g}*\[{x}\]{g}", r"would be{g}*\{{{x}\}}{g}", r"would be{w}*{x}\){g}", r"would be{w}*{v}{w}",
+    r"would be{g}*\({x}\)", r"would be{g}*\[{x}\]", r"would be{g}*\{{{x}\}}", r"would be{g}*{x}\)", r"would be{g}*{x}$",
+    r"is{g}*:+{g}*\n+{g}*\({x}\)", r"is{g}*\n+{g}*\({x}\)", r"is{g}*:+{g}*\n+{g}*\[{x}\]", r"is{g}*\n+{g}*\[{x}\]",
+    r"is{g}*:+{g}*\n+{g}*\{{{x}\}}", r"is{g}*\n+{g}*\{{{x}\}}", r"is{g}*:+{g}*\n+{g}*{x}\)", r"is{g}*\n+{g}*{x}\)",
+)
+WORD = (r"is{w}+{x}\)", r"be{w}+{x}\)")
+BEFORE_VERB = (r"{w}+{x}\){g}*{V}",)
+COLON_OR_END = (r":+{w}*{x}\){g}", r":+{w}*{x}\)$", r":+{w}*{x}\)", r"{w}+{x}\)$", r"{w}+{x}\){g}")
+UNBALANCED_START = (r"^{w}*{x}\){g}*{V}",)
+UNBALANCED_LINE = (r"^{g}*{w}{x}\)", r"^{w}*{x}\)", r":+{g}*\n+{g}*{x}\)")
+UNBALANCED_VERB = (r"\n+{g}*{x}\){g}*{V}",)
+UNBALANCED_END = (r"\n+{g}*{x}\){g}", r"\n+{g}*{x}\)$", r"\n+{g}*{x}\)")
+ALONE = (r"^{w}*{x}{w}*$",)
+VERB_AFTER = (r"\({x}\){g}*{V}", r"\[{x}\]{g}*{V}", r"\{{{x}\}}{g}*{V}", r"{w}{x}\){g}*{V}", r"{w}{x}{w}{g}*{V}", r"^{x}\){g}*{V}", r"^{x}{w}{g}*{V}")
+NOUN = (
+    r"{n}{g}*\({x}\)", r"{n}{g}*\[{x}\]", r"{n}{g}*\{{{x}\}}",
+    r"{n}{w}*{x}\){w}", r"{n}{w}*{x}\)$", r"{n}{g}*{w}{x}\){w}", r"{n}{g}*{w}{x}\)$",
+    r"{n}{w}*{x}{w}", r"{n}{w}*{x}$", r"{n}{g}*{w}{x}{w}", r"{n}{g}*{w}{x}$",
+)
+IS = (
+    r" is{g}+\({x}\){g}", r" is{g}+\[{x}\]{g}", r" is{g}+\{{{x}\}}{g}", r" is{g}*{w}{x}\){g}",
+    r" is{g}+\({x}\)$", r" is{g}+\[{x}\]$", r" is{g}+\{{{x}\}}$", r" is{g}*{w}{x}\)$", r" is{x}\){g}", r" is{x}\)$",
+    r" is{g}*{w}{v}{w}", r" is{g}*{w}{x}$", r" is{v}{w}", r" is{x}$",
+    r" is{g}+\({x}\)", r" is{g}+\[{x}\]", r" is{g}+\{{{x}\}}", r" is{g}*{w}{x}\)", r" is{w}*{x}\)",
+)
+SEVERAL = "[aA]{g}*[bB]{g}*[cC]{g}*[dD]"
+CLOSE = (r"\({x}\)", r"\[{x}\]", r"\{{{x}\}}", r"{w}{v}{w}")
+#: What a pattern cannot do without if its template has it: one look for each of these in a text spares most patterns.
+LITERALS = ("orrect answer is", "orrect option is", "orrect choice is", "nswer is", "ption is", "hoice is", "OPTION", "IS CORRECT", "would", "could", "will", " is", "is", "be", "nswer", "ption", "hoice", ")", "]", "}", ":", "\n")
+
+
+def needed(template: str) -> int:
+    """Bits of the literals in a template. Templates hold no alternatives and no part that may be missing but classes, which stand in braces or brackets."""
+    plain = template.replace(r"\n", "\n").replace(r"\{{", "").replace(r"\}}", "\1")
+    for part in (r"\{\w\}[*+]?", r"(?<!\\)\[[^\]]*\]"):
+        plain = re.sub(part, "\0", plain)
+    plain = plain.replace("\\", "").replace("\1", "}")
+    return sum(1 << i for i, literal in enumerate(LITERALS) if literal in plain)
+
+
 class Patterns:
     """The ordered patterns for a range of options such as "a-dA-D"."""
 
     def __init__(self, options: str):
-        self.one = f"([{options}])"
         high = options[-1].lower()
-        self.not_a = "([bA-B])" if high == "b" else f"([b-{high}A-{high.upper()}])"
-        self.boxed = [b.format(self.one) for b in BRACKETS]
-        compiled = lambda patterns: [re.compile(p) for p in patterns]
-        self.announced = compiled(self._announced())
-        self.unbalanced = compiled(self._unbalanced())
-        self.further = compiled(self._further())
-        self.several = re.compile(f"[aA]{GAP}*[bB]{GAP}*[cC]{GAP}*[dD]")
-        self.close = compiled([*self.boxed, f"{WORDLESS}{self.not_a}{WORDLESS}"])
-
-    def _after(self, phrase: str, ending: str = "") -> list[str]:
-        """A phrase, a gap, an option in any bracket; first with something after it, then without."""
-        closed = [*self.boxed, rf"{self.one}\)"]
-        loose = [f"{self.one}{WORDLESS}"]
-        return [*(f"{phrase}{GAP}*{c}{GAP}{ending}" for c in closed), *(f"{phrase}{GAP}*{c}{ending}" for c in loose), *(f"{phrase}{GAP}*{c}{ending}" for c in closed), f"{phrase}{GAP}*{self.one}${' ' if ending else ''}{ending}"]
-
-    def _before_verbs(self) -> list[str]:
-        return [rf"{WORDLESS}+{self.one}\){GAP}*{verb}" for verb in VERBS]
-
-    def _colon_and_end(self) -> list[str]:
-        one = self.one
-        return [rf":+{WORDLESS}*{one}\){GAP}", rf":+{WORDLESS}*{one}\)$", rf":+{WORDLESS}*{one}\)", rf"{WORDLESS}+{one}\)$", rf"{WORDLESS}+{one}\){GAP}"]
-
-    def _announced(self) -> list[str]:
-        one, out = self.one, [rf"^{self.one}\."]
-        for phrase in PHRASES:
-            out += self._after(phrase, "IS CORRECT" if phrase == "OPTION" else "")
-        lines = [rf"is{GAP}*:+{GAP}*\n+{GAP}*", rf"is{GAP}*\n+{GAP}*"]
-        out += [rf"{line}{one}\)" for line in lines]
-        out += [f"would be{GAP}*{c}{GAP}" for c in self.boxed] + [rf"would be{WORDLESS}*{one}\){GAP}", f"would be{WORDLESS}*{self.not_a}{WORDLESS}"]
-        out += [f"would be{GAP}*{c}" for c in (*self.boxed, rf"{one}\)", f"{one}$")]
-        out += [line + c for c in (*self.boxed, rf"{one}\)") for line in lines]
-        out += [rf"{word}{WORDLESS}+{one}\)" for word in ("is", "be")]
-        return out + self._before_verbs() + self._colon_and_end()
-
-    def _unbalanced(self) -> list[str]:
-        """For answers with more closing than opening brackets."""
-        one = self.one
-        out = [rf"^{WORDLESS}*{one}\){GAP}*{verb}" for verb in VERBS] + [rf"^{GAP}*{WORDLESS}{one}\)", rf"^{WORDLESS}*{one}\)", rf":+{GAP}*\n+{GAP}*{one}\)"]
-        out += [rf"\n+{GAP}*{one}\){GAP}*{verb}" for verb in VERBS] + [rf"\n+{GAP}*{one}\){GAP}", rf"\n+{GAP}*{one}\)$", rf"\n+{GAP}*{one}\)"]
-        return out + [rf"{word}{WORDLESS}+{one}\)" for word in ("is", "be")] + self._before_verbs() + self._colon_and_end()
-
-    def _noun(self, noun: str) -> list[str]:
-        one, out = self.one, [f"{noun}{GAP}*{c}" for c in self.boxed]
-        for closing in (r"\)", ""):
-            for lead in (f"{WORDLESS}*", f"{GAP}*{WORDLESS}"):
-                out += [f"{noun}{lead}{one}{closing}{WORDLESS}", f"{noun}{lead}{one}{closing}$"]
-        return out
-
-    def _further(self) -> list[str]:
-        one, out = self.one, [f"^{WORDLESS}*{self.one}{WORDLESS}*$"]
-        for verb in VERBS:
-            out += [f"{c}{GAP}*{verb}" for c in (*self.boxed, rf"{WORDLESS}{one}\)", f"{WORDLESS}{one}{WORDLESS}", rf"^{one}\)", f"^{one}{WORDLESS}")]
-        for noun in COLON_NOUNS:
-            out += self._noun(noun)
-        loose = f" is{GAP}*{WORDLESS}"
-        out += [f" is{GAP}+{c}{GAP}" for c in self.boxed] + [rf"{loose}{one}\){GAP}"]
-        out += [f" is{GAP}+{c}$" for c in self.boxed] + [rf"{loose}{one}\)$", rf" is{one}\){GAP}", rf" is{one}\)$"]
-        out += [f"{loose}{self.not_a}{WORDLESS}", f"{loose}{one}$", f" is{self.not_a}{WORDLESS}", f" is{one}$"]
-        out += [f" is{GAP}+{c}" for c in self.boxed] + [rf"{loose}{one}\)", rf" is{WORDLESS}*{one}\)"]
-        for noun in BARE_NOUNS:
-            out += self._noun(noun)
-        return out
+        self.values = {"x": f"([{options}])", "v": "([bA-B])" if high == "b" else f"([b-{high}A-{high.upper()}])", "g": GAP, "w": WORDLESS}
+        each = lambda name, words, templates: [(t, {name: w}) for w in words for t in templates]
+        plain = lambda templates: [(t, {}) for t in templates]
+        said = [row for p in PHRASES for row in each("p", (p,), AFTER_OPTION if p == "OPTION" else AFTER)]
+        self.announced = self._compiled([*plain(START), *said, *plain(ANNOUNCED + WORD), *each("V", VERBS, BEFORE_VERB), *plain(COLON_OR_END)])
+        self.unbalanced = self._compiled([
+            *each("V", VERBS, UNBALANCED_START), *plain(UNBALANCED_LINE), *each("V", VERBS, UNBALANCED_VERB), *plain(UNBALANCED_END + WORD), *each("V", VERBS, BEFORE_VERB), *plain(COLON_OR_END),
+        ])
+        self.further = self._compiled([*plain(ALONE), *each("V", VERBS, VERB_AFTER), *each("n", COLON_NOUNS, NOUN), *plain(IS), *each("n", BARE_NOUNS, NOUN)])
+        self.several = re.compile(SEVERAL.format(**self.values))
+        self.close = [re.compile(c.format(**self.values)) for c in CLOSE]
+
+    def _compiled(self, rows: list[tuple[str, dict[str, str]]]) -> list[tuple[int, re.Pattern]]:
+        """(literals needed, pattern) of each row; a word that takes its turn is part of what is needed."""
+        spelled = [(t.replace("{p}", v.get("p", "")).replace("{V}", v.get("V", "")).replace("{n}", v.get("n", "")), t.format(**self.values, **v)) for t, v in rows]
+        return [(needed(t), re.compile(p)) for t, p in spelled]
 
     def find(self, answer: str) -> str | None:
         answer = answer.replace("*", "\n")
+        has = sum(1 << i for i, literal in enumerate(LITERALS) if literal in answer)
         stages = [self.announced, self.unbalanced if answer.count(")") > answer.count("(") else [], self.further]
-        for pattern in (p for stage in stages for p in stage):
-            if hit := pattern.search(answer):
+        for needs, pattern in (row for stage in stages for row in stage):
+            if needs & has == needs and (hit := pattern.search(answer)):
                 return hit.group(1).upper()
         if self.several.search(answer):
             return None
@@ -175,37 +182,44 @@ def find_hindi(answer: str, options: str = "a-eA-E") -> str | None:
     return find_option(re.sub(r"(?<!\w)([अबसद])(?!\w)", lambda m: HINDI[m.group(0)], text, count=1), options)
 
 
+# The patterns of yes, no and maybe in their order. {y}, {n} and {m} are the words, {g} no letter, {f} neither letter nor space; {N} is a noun.
+DECISION_WORDS = {"y": "([yY][eE][sS])", "n": "([nN][oO])", "m": "([mM][aA][yY][bB][eE])"}
+DECISION_LETTERS = {"YES": "A", "NO": "B", "MAYBE": "C"}
+DECISION_NOUNS = ("[aA]nswer", "[oO]ption", "[cC]hoice")
+ECHOES = ("^{y}/{n}/{m}", "^{y}/{n}")
+AFTER_ECHO = ("^{g}*{y}", "^{g}*{n}", "^{g}*{m}")
+DECISION_START = ("^{g}*{y}{g}", "^{g}*{n}{f}", "^{g}*{m}{f}")
+DECISION_NOUN = (
+    "{N} is{g}*{y}{f}", "{N} is{g}*{n}{f}", "{N} is{g}*{m}{f}", "{N}{g}*{y}{g}", "{N}{g}*{n}{f}", "{N}{g}*{m}{f}",
+    "{N} is{g}*{y}{g}", "{N} is{g}*{n}{g}", "{N} is{g}*{m}{g}", "{N}{g}*{n}{g}", "{N}{g}*{m}{g}",
+)
+DECISION_WHOLE = ("^{g}*{y}$", "^{g}*{n}$", "^{g}*{m}$", "^{g}*{n}{g}", "^{g}*{m}{g}")
+DECISION_ANYWHERE = (
+    " is{g}*:+{g}*{y}{f}", " is{g}*:+{g}*{n}{f}", " is{g}*:+{g}*{m}{f}",
+    r" is{g}*:+\s+{g}*{y}{g}", r" is{g}*:+\s+{g}*{n}{g}", r" is{g}*:+\s+{g}*{m}{g}",
+    " is{g}*{y}{f}",
+    ":+{g}*{y}{f}", ":+{g}*{n}{f}", ":+{g}*{m}{f}",
+    r":+\s+{g}*{y}{g}", r":+\s+{g}*{n}{g}", r":+\s+[^a-zA-E]*{m}{g}",
+    r" is{g}*\s+{g}*{y}{g}", " is{g}*{n}{f}", " is{g}*{m}{f}", r" is{g}*\s+{g}*{n}{g}", r" is{g}*\s+{g}*{m}{g}",
+    "{g}{y}{f}", "{g}{m}{f}", "{g}{n}{f}", "{g}{y}$", "{g}{m}$", "{g}{n}$", "{g}{y}{g}", "{g}{m}{g}", "{g}{n}{g}",
+    "{g}{y}{g}*", "{g}{m}{g}*", "{g}*{y}{g}*", "{g}*{m}{g}*",
+)
+DECISION_INSIDE = ("{n}[a-zA-Z]+", "[a-zA-Z]+{n}")
+DECISION_LEFT = "{g}*{n}{g}*"
+
+
 class Decision:
     """Yes, no or maybe as A, B or C, by ordered patterns."""
 
-    WORDS = {"yes": "([yY][eE][sS])", "no": "([nN][oO])", "maybe": "([mM][aA][yY][bB][eE])"}
-    LETTER = {"YES": "A", "NO": "B", "MAYBE": "C"}
-    N, NS = "[^a-zA-Z]", r"[^a-zA-Z\s]"  # not a letter; neither letter nor space
-
     def __init__(self) -> None:
-        y, n, m = self.WORDS.values()
-        gap, firm = self.N, self.NS
-        three = lambda lead, ends: [f"{lead}{w}{e}" for w, e in zip((y, n, m), ends, strict=True)]
-        compiled = lambda *parts: [re.compile(p) for p in parts]
-        self.echoes = compiled(f"^{y}/{n}/{m}", f"^{y}/{n}")
-        self.after_echo = compiled(*three(f"^{gap}*", ("", "", "")))
-        self.start = compiled(*three(f"^{gap}*", (gap, firm, firm)))
-        phrases = []
-        for noun in ("[aA]nswer", "[oO]ption", "[cC]hoice"):
-            said, bare = f"{noun} is{gap}*", f"{noun}{gap}*"
-            phrases += [*three(said, (firm, firm, firm)), *three(bare, (gap, firm, firm)), *three(said, (gap, gap, gap)), *three(bare, (gap, gap, gap))[1:]]
-        self.phrases = compiled(*phrases)
-        self.whole = compiled(*three(f"^{gap}*", ("$", "$", "$")), f"^{gap}*{n}{gap}", f"^{gap}*{m}{gap}")
-        wide = [f" is{gap}*:+{gap}*", rf" is{gap}*:+\s+{gap}*", f":+{gap}*", rf":+\s+{gap}*"]
-        spaced = rf" is{gap}*\s+{gap}*"
-        self.anywhere = compiled(
-            *three(wide[0], (firm, firm, firm)), *three(wide[1], (gap, gap, gap)), f" is{gap}*{y}{firm}",
-            *three(wide[2], (firm, firm, firm)), *three(wide[3], (gap, gap, gap))[:2], rf":+\s+[^a-zA-E]*{m}{gap}",
-            f"{spaced}{y}{gap}", f" is{gap}*{n}{firm}", f" is{gap}*{m}{firm}", f"{spaced}{n}{gap}", f"{spaced}{m}{gap}",
-            *(f"{gap}{w}{e}" for e in (firm, "$", gap) for w in (y, m, n)), *(f"{gap}{w}{gap}*" for w in (y, m)), *(f"{gap}*{w}{gap}*" for w in (y, m)),
-        )
-        self.inside = compiled(f"{n}[a-zA-Z]+", f"[a-zA-Z]+{n}")
-        self.left = re.compile(f"{gap}*{n}{gap}*")
+        values = {**DECISION_WORDS, "g": "[^a-zA-Z]", "f": r"[^a-zA-Z\s]"}
+        row = lambda t, noun="": ("{" + next(w for w in "ynm" if f"{{{w}}}" in t) + "}", re.compile(t.format(**values, N=noun)))
+        rows = lambda templates: [row(t) for t in templates]
+        self.echoes = [re.compile(t.format(**values)) for t in ECHOES]
+        self.after_echo, self.start, self.whole, self.anywhere = rows(AFTER_ECHO), rows(DECISION_START), rows(DECISION_WHOLE), rows(DECISION_ANYWHERE)
+        self.phrases = [row(t, noun) for noun in DECISION_NOUNS for t in DECISION_NOUN]
+        self.inside = [re.compile(t.format(**values)) for t in DECISION_INSIDE]
+        self.left = re.compile(DECISION_LEFT.format(**values))
 
     def find(self, answer: str) -> str | None:
         stages = [self.start, self.phrases, self.whole, self.anywhere]
@@ -213,9 +227,11 @@ class Decision:
             answer, stages = answer[len("yes/no/maybe") :], [self.after_echo, *stages]
         elif self.echoes[1].search(answer):
             answer = answer[len("yes/no") :]
-        for pattern in (p for stage in stages for p in stage):
-            if hit := pattern.search(answer):
-                return self.LETTER[hit.group(1).upper()]
+        low = answer.lower()
+        has = {"{y}": "yes" in low, "{n}": "no" in low, "{m}": "maybe" in low}
+        for word, pattern in (r for stage in stages for r in stage):
+            if has[word] and (hit := pattern.search(answer)):
+                return DECISION_LETTERS[hit.group(1).upper()]
         if any(p.search(answer) for p in self.inside):
             return None
         return "B" if self.left.search(answer) else None

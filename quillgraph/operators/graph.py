@@ -95,21 +95,56 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 5, direc
     """(source, target, length, path) for each pair of at most ``max_depth`` hops apart.
 
     path alternates nodes and relations; per hop the least relation, overall the
-    least path. A frontier row is the best path to its node so far; frontiers are written
-    tables, as in ``k_hop``.
+    least path. Frontiers go out from both ends, half the depth each, and meet in the middle: for each length the least
+    path through a node that both have reached. A frontier row is the best path to its node so far; frontiers are written
+    tables, as in ``k_hop``. Pairs that are found search no further.
     """
     scratch = Scratch(edges.sparkSession)
     near = scratch.keep(both_ways(edges, directed).groupBy("node", "neighbour").agg(F.min("relation").alias("relation")), "near")
     wanted = scratch.keep(pairs.select("source", "target").distinct(), "wanted")
-    frontier = wanted.select("source", F.col("source").alias("node"), F.array("source").alias("path")).distinct()
-    seen = frontier.select("source", "node")
-    found = frontier.withColumn("length", F.lit(0))
-    for hop in range(1, max_depth + 1):
-        step = frontier.join(near, "node").select("source", F.col("neighbour").alias("node"), F.concat("path", F.array("relation", "neighbour")).alias("path"))
-        frontier = scratch.keep(step.groupBy("source", "node").agg(F.min("path").alias("path")).join(seen, ["source", "node"], "left_anti"), "frontier")
-        seen = seen.unionAll(frontier.select("source", "node"))
-        found = found.unionAll(frontier.withColumn("length", F.lit(hop)))
-    return wanted.join(found.withColumnRenamed("node", "target"), ["source", "target"]).select("source", "target", "length", "path")
+    ahead = _frontiers(near, wanted.select("source").distinct(), "source", -(-max_depth // 2), scratch)
+    back = near.select(F.col("neighbour").alias("node"), F.col("node").alias("neighbour"), "relation")
+    behind = _frontiers(back, wanted.select("target").distinct(), "target", max_depth // 2, scratch)
+    found, left = None, wanted
+    for length in range(max_depth + 1):
+        steps = min(length, len(ahead) - 1)
+        here = ahead[steps].select("source", "node", F.col("path").alias("head"))
+        if length == steps:
+            met = left.join(here.withColumnRenamed("node", "target"), ["source", "target"]).withColumnRenamed("head", "path")
+        else:
+            there = behind[length - steps].select("target", "node", F.col("path").alias("rest"))
+            met = _meetings(left, here, there).withColumn("path", F.concat("head", "rest"))
+        met = scratch.keep(met.groupBy("source", "target").agg(F.min("path").alias("path")).withColumn("length", F.lit(length)), "found")
+        found = met if found is None else found.unionAll(met)
+        if length < max_depth:
+            left = scratch.keep(left.join(met, ["source", "target"], "left_anti"), "left")
+            if left.isEmpty():
+                break
+    return found.select("source", "target", "length", "path")
+
+
+def _frontiers(near: DataFrame, seeds: DataFrame, seed: str, depth: int, scratch: Scratch) -> list[DataFrame]:
+    """For each distance up to ``depth`` (seed, node, path): the least path between them; from a source it begins
+    with it, to a target it leaves out the node itself."""
+    start = F.array(seed) if seed == "source" else F.array().cast("array<string>")
+    level = scratch.keep(seeds.select(seed, F.col(seed).alias("node"), start.alias("path")), "frontier")
+    out, seen = [level], level.select(seed, "node")
+    for _ in range(depth):
+        path = F.concat("path", F.array("relation", "neighbour")) if seed == "source" else F.concat(F.array("relation", "node"), "path")
+        step = level.join(near, "node").select(seed, F.col("neighbour").alias("node"), path.alias("path"))
+        level = scratch.keep(step.groupBy(seed, "node").agg(F.min("path").alias("path")).join(seen, [seed, "node"], "left_anti"), "frontier")
+        seen = seen.unionAll(level.select(seed, "node"))
+        out.append(level)
+    return out
+
+
+def _meetings(left: DataFrame, here: DataFrame, there: DataFrame) -> DataFrame:
+    """Rows of both frontiers at the same node for the pairs that are left: by way of the targets' nodes if that makes
+    fewer rows, else by way of the nodes, as counts tell beforehand."""
+    rows = lambda a, b, on: a.groupBy(on).agg(F.count("*").alias("n")).join(b.groupBy(on).agg(F.count("*").alias("m")), on).agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    if rows(left, there, "target") <= rows(here, there, "node"):
+        return left.join(there, "target").join(here, ["source", "node"])
+    return here.join(there, "node").join(left, ["source", "target"], "left_semi")
 
 
 def missing_seeds(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -163,3 +198,17 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         kind = edges.schema["a"].dataType
         return edges.sparkSession.createDataFrame([], f"node {kind.simpleString()}, component {kind.simpleString()}")
     return found.select("node", F.col("parent").alias("component"))
+
+
+def roots(parents: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root): where following (node, parent) pointers ends. The pointers form no cycle and leave each node once; each
+    round doubles what a pointer spans."""
+    up = scratch.keep(parents.select("node", F.col("parent").alias("root")), "roots")
+    while True:
+        above = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        new = scratch.keep(up.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")), "roots")
+        scratch.drop(up)
+        if new.where("moved").isEmpty():
+            return new.select("node", "root")
+        up, path = new.select("node", "root"), new._scratch_path
+        up._scratch_path = path

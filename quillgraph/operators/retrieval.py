@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.functions.arrays import cosine, l2
+from quillgraph.functions.arrays import cosine
+from quillgraph.operators import balls, quantiles
+from quillgraph.tables import meet
 
 # The retrieval budget and the chunks of the vector store.
 CONTEXT_VOLUME, PERCENTILE, MIN_SIMILARITY = 150, 75, 0.5
@@ -72,36 +74,28 @@ def sentences(df: DataFrame, text: str) -> DataFrame:
     return df.select("*", F.posexplode(F.split(text, r"\. ")).alias("sentence_no", "sentence"))
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int, measure: str = "cosine", max_queries: int = 10_000, itself: bool = True) -> DataFrame:
+def nearest(queries: DataFrame, items: DataFrame, k: int, measure: str = "cosine", itself: bool = True) -> DataFrame:
     """The ``k`` items nearest each query: (query_id, item_id, score, rank), ties to the smaller id.
 
-    Both have id and embedding. Without ``itself`` items with the query's own id are left out. Queries are counted and go to the items by
-    broadcast when there are at most ``max_queries`` (some MB); more are
-    dealt into blocks that meet the items block by block. Only k of an items
-    partition's scores for a query leave it (window group limit).
+    Both have id and embedding. Without ``itself`` items with the query's own id are left out. The items are
+    indexed by balls (``balls.build``); for several searches of the same items keep the index.
     """
-    q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
-    x = items.select(F.col("id").alias("item_id"), F.col("embedding").alias("x"))
-    n = queries.count()
-    if n <= max_queries:
-        pairs = x.join(F.broadcast(q))
-    else:
-        blocks = -(-n // max_queries)
-        q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        pairs = x.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(q, "block")
-    if not itself:
-        pairs = pairs.where(~F.col("query_id").eqNullSafe(F.col("item_id")))
-    score = cosine(F.col("q"), F.col("x")) if measure == "cosine" else l2(F.col("q"), F.col("x"))
-    order = [F.desc("score") if measure == "cosine" else F.asc("score"), F.asc("item_id")]
-    ranked = pairs.select("query_id", "item_id", score.alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    return ranked.where(F.col("rank") <= k)
+    index = balls.build(items.select("id", "embedding"), k + (not itself), measure)
+    return _searched(index, queries, items, k, itself)
+
+
+def _searched(index: balls.Balls | None, queries: DataFrame, items: DataFrame, k: int, itself: bool = True) -> DataFrame:
+    if index is not None:
+        return balls.search(index, queries, k, itself)
+    kinds = [df.schema["id"].dataType.simpleString() for df in (queries, items)]
+    return queries.sparkSession.createDataFrame([], f"query_id {kinds[0]}, item_id {kinds[1]}, score double, rank int")
 
 
 def prune(scored: DataFrame, key: str, similarity: str = "similarity", position: str = "position", percentile: float = PERCENTILE, minimum: float = MIN_SIMILARITY, cap: int = CONTEXT_VOLUME) -> DataFrame:
     """Rows of each key above its ``percentile`` (linear between ranks) and above ``minimum``, the
     most similar first, ties to the later position, at most ``cap``; adds rank."""
-    bar = scored.groupBy(key).agg(F.percentile(similarity, F.lit(percentile / 100.0)).alias("bar"))
-    kept = scored.join(bar, key).where((F.col(similarity) > F.col("bar")) & (F.col(similarity) > minimum)).drop("bar")
+    bar = quantiles.percentile(scored, key, similarity, percentile / 100.0)
+    kept = meet(scored, bar, [key]).where((F.col(similarity) > F.col("bar")) & (F.col(similarity) > minimum)).select(scored.columns)
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(similarity), F.desc(position)))
     return kept.withColumn("rank", rank).where(F.col("rank") <= cap)
 
@@ -125,13 +119,14 @@ def retrieve(questions: DataFrame, entities: DataFrame, store: DataFrame, contex
     asked = questions.select("question_id", "question").withColumn("q", embed(F.col("question")))
     by_entity = entities.where(F.col("entity").isNotNull()).select("question_id", "entity").distinct()
     seeds = by_entity.select(F.col("entity").alias("id")).distinct().withColumn("embedding", embed(F.col("id")))
-    hits = nearest(seeds, store, 1).select(F.col("query_id").alias("entity"), F.col("item_id").alias("node_name"))
+    index = balls.build(store.select("id", "embedding"), max(1, fallback_k))
+    hits = _searched(index, seeds, store, 1).select(F.col("query_id").alias("entity"), F.col("item_id").alias("node_name"))
     named = by_entity.join(hits, "entity").select("question_id", "node_name")
     rest = asked.join(by_entity, "question_id", "left_anti").select(F.col("question_id").alias("id"), F.col("q").alias("embedding"))
-    other = nearest(rest, store, fallback_k).select(F.col("query_id").alias("question_id"), F.col("item_id").alias("node_name"))
+    other = _searched(index, rest, store, fallback_k).select(F.col("query_id").alias("question_id"), F.col("item_id").alias("node_name"))
     nodes = named.unionAll(other).distinct()
     share = nodes.groupBy("question_id").agg(F.floor(F.lit(volume) / F.count("*")).alias("share"))
-    one = contexts.groupBy("node_name").agg(F.first("node_context").alias("node_context"))
+    one = contexts.groupBy("node_name").agg(F.min("node_context").alias("node_context"))
     parts = sentences(nodes.join(one, "node_name"), "node_context").withColumn("s", embed(F.col("sentence"))).join(asked, "question_id")
     scored = parts.select(F.concat_ws("\x1f", "question_id", "node_name").alias("key"), "question_id", "node_name", "sentence", F.col("sentence_no").alias("position"), cosine(F.col("q"), F.col("s")).alias("similarity"))
     kept = prune(scored, "key").join(share, "question_id").where(F.col("rank") <= F.col("share"))

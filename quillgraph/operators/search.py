@@ -74,28 +74,30 @@ def tree(edges: DataFrame, seeds: DataFrame, simulations: int = 100, max_depth:
     return neighbourhoods(edges, seeds, max_depth, width).groupBy("seed").applyInPandas(grow, TREE)
 
 
+_PATHS = """
+WITH RECURSIVE walk(seed, id, total, steps) AS (
+  SELECT seed, id, CAST(0 AS DOUBLE), CAST(array() AS array<{step}>) FROM {{tree}} WHERE depth = 0
+  UNION ALL
+  SELECT t.seed, t.id, w.total + greatest(t.value, CAST(0 AS DOUBLE)),
+         concat(w.steps, CAST(array(named_struct('subject', t.subject, 'relation', t.relation, 'object', t.state, 'value', t.value, 'visits', t.visits)) AS array<{step}>))
+  FROM walk w JOIN {{tree}} t ON t.seed = w.seed AND t.parent = w.id)
+SELECT w.seed, w.id AS leaf, w.total, w.steps
+FROM walk w LEFT ANTI JOIN {{tree}} c ON c.seed = w.seed AND c.parent = w.id
+WHERE size(w.steps) > 0 AND w.total > {threshold}
+"""
+
+
 def paths(nodes: DataFrame, threshold: float = 2500.0) -> DataFrame:
     """(seed, leaf, total, steps): paths from root to leaf whose values, the root's left out
     and none below 0, sum to more than ``threshold``; steps are (subject, relation,
-    object, value, visits) in order. A seed's tree is one task's work, as it was grown."""
+    object, value, visits) in order.
 
-    def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        by_id = {r.id: r for r in rows.itertuples()}
-        inner = {int(p) for p in rows["parent"].dropna()}
-        out = []
-        for leaf in rows.itertuples():
-            if leaf.id in inner or leaf.depth == 0:
-                continue
-            at, steps = leaf, []
-            while at.depth > 0:
-                steps.append({"subject": at.subject, "relation": at.relation, "object": at.state, "value": at.value, "visits": at.visits})
-                at = by_id[int(at.parent)]
-            total = sum(max(s["value"], 0.0) for s in steps)
-            if total > threshold:
-                out.append((key[0], leaf.id, total, steps[::-1]))
-        return pd.DataFrame(out, columns=["seed", "leaf", "total", "steps"])
-
-    return nodes.groupBy("seed").applyInPandas(walk, f"seed string, leaf int, total double, steps array<{STEP}>")
+    All trees are walked at once, a level a step, by a recursive query over the written trees: a step joins
+    the paths so far to their last nodes' children, so a tree may be of any size. (Sessions limit the rows of a
+    recursive query by spark.sql.cteRecursionRowLimit, an error beyond it; ``session`` lifts that.)
+    """
+    tree = Scratch(nodes.sparkSession).keep(nodes, "trees")
+    return nodes.sparkSession.sql(_PATHS.format(step=STEP, threshold=float(threshold)), tree=tree)
 
 
 def best_path(nodes: DataFrame) -> DataFrame:

@@ -161,11 +161,19 @@ def blend(sources: dict[str, DataFrame], seed: int = 42) -> DataFrame:
 
 def pack(df: DataFrame, key: str, tokens: str, block: int) -> DataFrame:
     """(block_no, tokens): all tokens, in order of ``key``, cut into blocks; a last part of a block is
-    dropped unless it is all there is."""
+    dropped unless it is all there is.
+
+    A row's place among all tokens says which blocks it reaches into; its array is cut at their bounds,
+    so pieces are shuffled, at most one for each row and block bound, not tokens.
+    """
     total = df.agg(F.coalesce(F.sum(F.size(tokens).cast("long")), F.lit(0)).alias("total"))
-    placed = places(df.select(key, tokens), [F.col(key)], "start", F.size(tokens)).select("start", F.posexplode(tokens).alias("i", "token"))
-    at = F.col("start") + F.col("i")
-    blocks = placed.select(F.floor(at / block).alias("block_no"), F.struct(at.alias("at"), "token").alias("t")).groupBy("block_no").agg(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["token"]).alias("tokens"))
+    n = F.size(tokens)
+    placed = places(df.select(key, tokens).where(n > 0), [F.col(key)], "start", n)
+    cut = placed.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + n - 1) / block))))
+    begin, end = F.greatest("start", F.col("block_no") * block), F.least(F.col("start") + n, (F.col("block_no") + 1) * block)
+    piece = F.slice(tokens, (begin - F.col("start") + 1).cast("int"), (end - begin).cast("int"))
+    pieces = cut.select("block_no", F.struct(begin.alias("at"), piece.alias("piece")).alias("p"))
+    blocks = pieces.groupBy("block_no").agg(F.flatten(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["piece"])).alias("tokens"))
     return blocks.crossJoin(F.broadcast(total)).where((F.size("tokens") == block) | (F.col("total") < block)).drop("total")  # one row
 
 

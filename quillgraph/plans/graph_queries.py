@@ -179,10 +179,8 @@ def q_pair_merge_delta(spark, sf_dir):
 
 @query()
 def q_se_2d_greedy(spark, sf_dir):
-    """Communities by greedy merging, over all of the geography; its parts are the regions."""
-    e = kg.geography(spark, sf_dir)
-    parts = kg.regions(spark, sf_dir).select("node", F.col("comm").alias("part"), F.xxhash64("node").alias("rank"))
-    return entropy.minimise_2d(e, parts)
+    """Communities of the whole graph by rounds of mutual choices."""
+    return entropy.merge_rounds(kg.edges(spark, sf_dir))
 
 
 @query(f"WITH {EDGES_SQL}, {BOTH_SQL.format('edges')} SELECT DISTINCT node, relation FROM near")

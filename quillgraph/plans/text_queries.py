@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -194,22 +196,55 @@ def q_extract_core(spark, sf_dir):
     return _answers(spark, sf_dir).select("event_id", extract.extract_core(F.col("output")).alias("extracted"))
 
 
-# What the rules say of each answer of _answers, by event_id % 6: with capitals only, as for Hindi, "CHOICE IS B" is no known form.
-_SAID = "CASE WHEN event_id % 6 IN (0, 1, 2, 5{}) THEN substr('ABCD', CAST(user_id % 4 + 1 AS INTEGER), 1) END"
+# Answers with @ for an option, and what the rules say of them: "@" that option, "" none, else a letter. At least one for each table of patterns.
+_READ = {
+    "english": [
+        ("@. because it fits", "@"), ("I believe the correct answer is (@).", "@"), ("The correct option is [@] here", "@"), ("correct choice is @) as said", "@"),
+        ("Answer is: @, I think", "@"), ("The option is {@}", "@"), ("OPTION (@) IS CORRECT", "@"), ("my choice is @", "@"), ("it is:\n@) this one", "@"),
+        ("That would be [@]", "@"), ("It would be @.", "@"), ("my pick, @) would fit", "@"), ("see below: @) cells", "@"), ("I take (@) here", "@"),
+        ("@) first of all", "@"), (" @ ", "@"), ("[@] could be it", "@"), ("option: [@]", "@"), ("Choice: @, sure", "@"), ("what we see is [@] now", "@"),
+        ("my answer [@] stands", "@"), ("a, b, c, d", ""), ("maybe [@] maybe", "@"), ("I say: @ and no more", "@"), ("*@*", "@"),
+        ("none of these", ""), ("It is a good question", ""), ("", ""),
+    ],
+    "chinese": [("@", "@"), ("答案是@。", "@"), ("正确选项是（@）", "@"), ("应该是@", "@"), ("证属@ 型", "@"), ("没有答案", "")],
+    "french": [("La réponse est (@).", "@"), ("réponse correcte : @, voilà", "@"), ("ce serait @", "@"), ("le choix est [@]", "@"), ("aucune idée", "")],
+    "spanish": [("La respuesta es @.", "@"), ("opción: (@)", "@"), ("elección correcta: @", "@"), ("podría ser [@]", "@"), ("ninguna", "")],
+    "hindi": [("ब", "B"), ("सही उत्तर (द) है", "D"), ("the answer is @.", "@"), ("my choice is @", ""), ("उत्तर: @", "")],
+}
+_DECIDED = [
+    ("Yes, it does", "A"), ("No", "B"), ("the answer is maybe.", "C"), ("notable", ""), ("Yes/No/Maybe: no", "B"), ("yes/no: Maybe.", "C"), ("answer: yes", "A"), ("I think the option is no.", "B"),
+    ("It is:\nmaybe so", "C"), ("no one knows", "B"), ("the result is yes", "A"), ("unknown", ""), ("perhaps", ""), ("", ""), ("MAYBE!", "C"),
+]
+
+
+def _values(rows: list[tuple]) -> str:
+    """The rows with their numbers, as SQL."""
+    said = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join([str(i), *map(said, r)]) + ")" for i, r in enumerate(rows))
+
+
+_SPOKEN = [(language, text, want) for language, texts in _READ.items() for text, want in texts]
 
 
-@query(f"SELECT event_id, {', '.join(f'{_SAID.format(", 3")} AS {x}' for x in ('english', 'chinese', 'french', 'spanish'))}, {_SAID.format('')} AS hindi FROM events")
+@query(f"""
+WITH r(k, language, said, want) AS (VALUES {_values(_SPOKEN)})
+SELECT event_id, language, CASE want WHEN '@' THEN substr('ABCD', CAST(user_id % 4 + 1 AS INTEGER), 1) WHEN '' THEN NULL ELSE want END AS extracted
+FROM events JOIN r ON k = event_id % {len(_SPOKEN)}
+""")
 def q_extract_full(spark, sf_dir):
-    """All forms, in five languages."""
-    rows = _answers(spark, sf_dir)
-    return rows.select("event_id", *(extract.extract(F.col("output"), "a-dA-D", l).alias(l) for l in ("english", "chinese", "french", "spanish", "hindi")))
+    """All forms, in five languages, of answers whose letters are read off the rules."""
+    rows = spark.createDataFrame([(i, language, text) for i, (language, text, _) in enumerate(_SPOKEN)], "k long, language string, said string")
+    letter = F.substring(F.lit("ABCD"), (F.col("user_id") % 4 + 1).cast("int"), F.lit(1))
+    said = table(spark, sf_dir, "events").withColumn("k", F.col("event_id") % len(_SPOKEN)).join(F.broadcast(rows), "k")  # some 50 rows
+    said = said.select("event_id", "language", F.replace("said", F.lit("@"), letter).alias("said"))
+    parts = [said.where(F.col("language") == l).select("event_id", "language", extract.extract(F.col("said"), "a-dA-D", l).alias("extracted")) for l in _READ]
+    return reduce(DataFrame.unionAll, parts)
 
 
-@query("SELECT event_id, list_extract(['A', 'B', 'C', NULL, 'B'], CAST(event_id % 5 + 1 AS INTEGER)) AS extracted FROM events")
+@query(f"WITH r(k, said, want) AS (VALUES {_values(_DECIDED)}) SELECT event_id, nullif(want, '') AS extracted FROM events JOIN r ON k = event_id % {len(_DECIDED)}")
 def q_extract_pubmedqa(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    word = F.get(F.array(F.lit("Yes, it does"), F.lit("No"), F.lit("the answer is maybe."), F.lit("notable"), F.lit("Yes/No/Maybe: no")), (F.col("event_id") % 5).cast("int"))
-    return e.select("event_id", extract.extract_decision(word).alias("extracted"))
+    word = F.get(F.array(*(F.lit(text) for text, _ in _DECIDED)), (F.col("event_id") % len(_DECIDED)).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", extract.extract_decision(word).alias("extracted"))
 
 
 @query("SELECT event_id, lower(replace(lower('It is ' || event_type), event_type, 'A. ' || event_type)) AS named FROM events")

@@ -9,6 +9,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.python.filterPushdown.enabled": "true",  # filters reach the graph data source
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.cteRecursionRowLimit": "-1",  # paths of any number of trees
     "spark.sql.session.timeZone": "UTC",
 }
 

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Into so many parts a key's rows are dealt when they meet the key's few rows in a table.
+SALTS = 16
+
 
 class Scratch:
     """Tables written to the shared folder that ``spark.checkpoint.dir`` names.
@@ -72,3 +75,11 @@ def places(df: DataFrame, order: list[Column], place: str = "place", size: Colum
     known = F.broadcast(spark.createDataFrame(offsets, "_p long, _o long"))
     before = F.coalesce(F.sum("_size").over(Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("_b", before).join(known, "_p").withColumn(place, F.col("_o") + F.col("_b")).drop("_p", "_o", "_b", "_m", "_size")
+
+
+def meet(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of rows with a table of few rows a key, each key's rows in SALTS parts, so that no
+    task gets all rows of a key. A small table goes by broadcast, which Spark decides by its size."""
+    salt = F.pmod(F.xxhash64(*(c for c in rows.columns if c not in keys)), F.lit(SALTS))
+    dealt = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("_salt", salt).join(dealt, [*keys, "_salt"]).drop("_salt")
