@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from quillgraph.llm import suffixes
 from quillgraph.llm.common import Scratch, components, lookup
 
 BITS = 64
-TABLE_BITS = 40  # of each of the SimHashes that near copies are found by
 
 
 def fingerprint(data: bytes, width: int = 3, seed: int = 42) -> int:
@@ -90,74 +93,152 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return lookup(fps, by_fp, ["fp"], "n", fps.count(), F.xxhash64("id")).select("id", "fp", "component")
 
 
-def sketch(data: bytes, width: int = 3, tables: int = 8) -> list[int]:
-    """``tables`` SimHashes of TABLE_BITS bits, of independent hashes of word shingles; all 0 without words."""
+def table_bits(n: int) -> int:
+    """Bits of a table's SimHashes for ``n`` texts: so many that chance meetings of a text stay few, however many texts there are."""
+    return min(56, max(32, 8 * math.ceil((10 + math.log2(max(n, 1))) / 8)))
+
+
+def table_count(bits: int, apart: float = 0.12, missed: float = 0.065) -> int:
+    """Tables after which a pair whose bits differ with probability ``apart`` has met in two bits or fewer but for a share ``missed``."""
+    meets = sum(math.comb(bits, k) * apart**k * (1 - apart) ** (bits - k) for k in range(3))
+    return math.ceil(math.log(missed) / math.log(1 - meets))
+
+
+def sketch(data: bytes, width: int = 2, tables: int = 10, bits: int = 32) -> list[int]:
+    """``tables`` SimHashes of ``bits`` bits, of independent hashes of word shingles; all 0 without words."""
     from xxhash import xxh3_128_digest
 
     words = data.lower().split()
     if not words:
         return [0] * tables
     joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    size = min(width, len(words))
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - size + 1].tolist()
-    parts = [joined[a:b] for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)]
-    octets = tables * TABLE_BITS // 8
-    count = np.zeros(tables * TABLE_BITS, np.int64)
-    for at in range(0, len(parts), 4096):  # bounded, however long the text
-        digests = b"".join(xxh3_128_digest(p, s) for p in parts[at : at + 4096] for s in range(-(-octets // 16)))
+    octets = tables * bits // 8
+    count = np.zeros(tables * bits, np.int64)
+    spans = _spans(words, width)
+    for at in range(0, len(spans), 4096):  # bounded, however long the text
+        digests = b"".join(xxh3_128_digest(joined[a:b], s) for a, b in spans[at : at + 4096] for s in range(-(-octets // 16)))
         rows = np.frombuffer(digests, np.uint8).reshape(-1, -(-octets // 16) * 16)[:, :octets]
         count += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
-    packed = np.packbits(2 * count > len(parts)).tobytes()
-    return [int.from_bytes(packed[i : i + TABLE_BITS // 8], "big") for i in range(0, octets, TABLE_BITS // 8)]
+    packed = np.packbits(2 * count > len(spans)).tobytes()
+    return [int.from_bytes(packed[i : i + bits // 8], "big") for i in range(0, octets, bits // 8)]
+
 
+def _spans(words: list[bytes], width: int) -> list[tuple[int, int]]:
+    """Where the shingles of ``width`` words begin and end in the words joined by spaces; all of them if they are fewer."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    size = min(width, len(words))
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - size + 1]
+    return list(zip(starts.tolist(), ends[size - 1 :].tolist(), strict=True))
 
-def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, tables: int = 8) -> DataFrame:
-    """(id, sketch): the SimHashes of each row's whole text, an array of longs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [sketch((t or "").encode("utf-8", "replace"), width, tables) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "sketch"])
+def name(data: bytes) -> tuple[int, int]:
+    """Two signed 64-bit hashes of a text's words."""
+    from xxhash import xxh3_128_digest
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, sketch array<long>")
-
-
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, tables: int = 8, most: int = 56) -> DataFrame:
-    """(id, component): the smallest id reachable over links between near copies.
-
-    Copies of which four fifths of the five-word shingles agree differ in about a
-    tenth of the bits of a SimHash over ``width`` words, too many for two bits
-    of 64. So there are ``tables`` SimHashes of TABLE_BITS bits each, and texts link that
-    differ in at most two bits of one of them (met in the middle, as in ``links``).
-    With eight tables that finds about nine in ten pairs of a similarity of 0.8 and nearly all
-    above; few below 0.6 are found. All that meet at a value are within two bits of each other,
-    so each is linked to the least one there; a table's equal hashes are one
-    text in the search, linked to their least text. Links of texts that
-    differ in more than ``most`` bits of all, a sixth, are dropped: chance
-    meetings, and similarities under about 0.6. (Two texts whose only meetings are all with a least
-    one that is dropped so do not link.) Rows are told apart by sketch, so equal texts are one class whatever their
-    number. Nulls, empties and repeated rows as for ``near_duplicates``.
+    return struct.unpack("<qq", xxh3_128_digest(b" ".join(data.lower().split()), 5))
+
+
+def shingles(data: bytes, words: int = 5) -> list[int]:
+    """Hashes of a text's distinct word shingles, signed; of all its words if they are fewer, none without words."""
+    from xxhash import xxh64_intdigest
+
+    parts = data.lower().split()
+    if not parts:
+        return []
+    joined = b" ".join(parts)
+    return np.unique(np.array([xxh64_intdigest(joined[a:b], 11) for a, b in _spans(parts, words)], np.uint64).view(np.int64)).tolist()
+
+
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: tuple[int, int] = (4, 5), width: int = 2, bits: int | None = None) -> DataFrame:
+    """(id, component): the smallest id reachable over links between texts whose sets of ``words``-word
+    shingles have a Jaccard similarity of at least ``least`` (a fraction).
+
+    Such texts differ in up to a seventh of the bits of a SimHash, too many for two bits
+    of 64. So each has several SimHashes of fewer bits (``table_bits``, ``table_count``), and texts that
+    differ in at most two bits of one of them meet (in the middle, as in ``links``; a value is never that of more than
+    bits + 1 hashes, so all pairs there are few). Pairs that meet are compared by all their sketches' bits, of which a quarter may differ, and
+    what is left by their shingles, exactly; only then they link. Texts with one and the same hash in a table,
+    of which there may be any number, are compared with the least of them, and those that it
+    does not link with all the others. So no text below the similarity links, and of those above
+    it nearly all do: see README for measurements.
+
+    Rows with the same words are one text whatever their number, by 128 bits of hash; null, empty and blank texts
+    are one text. Null ids, shared ids and repeated rows as for ``near_duplicates``.
     """
-    scratch = Scratch(docs.sparkSession)
-    rows = scratch.keep(sketches(docs, id_col=id_col, text_col=text_col, width=width, tables=tables).withColumn("own", F.xxhash64("sketch")), "sketches")
-    classes = scratch.keep(rows.groupBy("own").agg(F.first("sketch").alias("sketch"), F.min("id").alias("first"), F.count("*").alias("n")), "classes")
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    bits = bits or table_bits(docs.count())
+    tables = table_count(bits)
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [t.encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
+            names = np.array([name(d) for d in data], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([sketch(d, width, tables, bits) for d in data], pa.list_(pa.int64()))], names=["id", "h1", "h2", "sketch"])
+
+    rows = scratch.keep(texts.mapInArrow(sketched, f"id {kind}, h1 long, h2 long, sketch array<long>"), "sketches")
+    classes = rows.groupBy("h1", "h2").agg(F.first("sketch").alias("sketch"), F.min("id").alias("first"), F.count("*").alias("n"))
+    classes = scratch.keep(classes.withColumn("own", F.monotonically_increasing_id()), "classes")
     n = classes.count()
-    parts = classes.select("own", F.posexplode("sketch").alias("table", "fp")).withColumn("fp", F.col("fp").bitwiseOR(F.shiftleft(F.col("table").cast("long"), TABLE_BITS))).drop("table")
+    parts = classes.select("own", F.posexplode("sketch").alias("table", "fp")).select("own", F.col("fp").bitwiseOR(F.shiftleft(F.col("table").cast("long"), bits)).alias("fp"))
     parts = scratch.keep(parts, "parts")
     values = scratch.keep(parts.groupBy("fp").agg(F.min("own").alias("least"), F.count("*").alias("size")), "values")
-    same = lookup(parts, values.where("size > 1"), ["fp"], "size", n * tables, F.xxhash64("own")).where("least < own").select(F.col("least").alias("a"), F.col("own").alias("b"))
+    same = lookup(parts, values.where("size > 1"), ["fp"], "size", n * tables, F.xxhash64("own")).where("least < own")
+    same = scratch.keep(same.select("fp", F.col("least").alias("a"), F.col("own").alias("b")), "same")
     one = F.lit(1).cast("long")
-    flips = F.array(F.lit(0).cast("long"), *(one if i == 0 else F.shiftleft(one, i) for i in range(TABLE_BITS)))
+    flips = F.array(F.lit(0).cast("long"), *(one if i == 0 else F.shiftleft(one, i) for i in range(bits)))
     met = values.select("least", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
-    near = met.withColumn("a", F.expr("min(least) over (partition by value)")).where("a < least").select("a", F.col("least").alias("b"))
-    pairs = scratch.keep(same.unionAll(near).distinct(), "pairs")
+    before = F.collect_list("least").over(Window.partitionBy("value").orderBy("least").rowsBetween(-bits, -1))
+    near = met.withColumn("before", before).where(F.size("before") > 0).select(F.explode("before").alias("a"), F.col("least").alias("b"))
     of = lambda side: classes.select(F.col("own").alias(side), F.col("sketch").alias(f"of_{side}"))
     apart = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    linked = pairs.join(of("a"), "a").join(of("b"), "b").where(apart <= most).select("a", "b")
+    alike = lambda pairs: pairs.join(of("a"), "a").join(of("b"), "b").where(4 * apart <= bits * tables).select("a", "b")
+    close = scratch.keep(alike(same.select("a", "b").unionAll(near).distinct()), "pairs")
+    ends = lambda df: df.select(F.col("a").alias("own")).unionAll(df.select("b"))
+    wanted = scratch.keep(ends(close).unionAll(ends(same)).distinct().join(classes.select("own", "h1", "h2"), "own"), "wanted")
+    sets = scratch.keep(_sets(texts, wanted, words), "shingles")
+    judged = lambda pairs: _similar(pairs, sets, least)
+    linked = scratch.keep(judged(close), "links")
+    outliers = scratch.keep(same.join(linked, ["a", "b"], "left_anti").select("fp", F.col("a").alias("hub"), "b"), "outliers")
+    if not outliers.isEmpty():
+        others = outliers.join(parts.select("fp", F.col("own").alias("other")), "fp").where("other <> b and other <> hub")
+        pairs = others.select(F.least("b", "other").alias("a"), F.greatest("b", "other").alias("b")).distinct()
+        linked = linked.unionAll(judged(alike(pairs)))
     found = components(linked, scratch)
-    group = scratch.keep(classes.join(found, classes.own == found.node, "left").select("own", "first", "n", F.coalesce("component", "own").alias("root")), "groups")
-    least = group.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("size"))
-    by_own = lookup(group, least, ["root"], "size", n, F.xxhash64("own")).select("own", "n", "component")
-    return lookup(rows.select("id", "own"), by_own, ["own"], "n", rows.count(), F.xxhash64("id")).select("id", "component")
+    group = scratch.keep(classes.join(found, classes.own == found.node, "left").select("h1", "h2", "own", "first", "n", F.coalesce("component", "own").alias("root")), "groups")
+    best = group.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("size"))
+    by_name = lookup(group, best, ["root"], "size", n, F.xxhash64("own")).select("h1", "h2", "n", "component")
+    return lookup(rows.select("id", "h1", "h2"), by_name, ["h1", "h2"], "n", rows.count(), F.xxhash64("id")).select("id", "component")
+
+
+def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(own, shingles) of the texts that are wanted (own, h1, h2). A bitmap of fixed size says in the task
+    which texts may be, so that no others are hashed or shuffled."""
+    blocks = suffixes._bitmap(wanted.select(F.col("h1").alias("row"))).toArrow()  # at most 128 rows of 64 KB
+    bitmap = np.zeros((1 << (suffixes.BITS - 19), 1 << 13), np.int64)
+    for block, held in zip(blocks.column("block").to_pylist(), blocks.column("bits"), strict=True):
+        bitmap[block] = held.values.to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap.reshape(-1))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, mask = shared.value, (1 << suffixes.BITS) - 1
+        for batch in batches:
+            out = {}
+            for text in batch.column(0).to_pylist():
+                data = text.encode("utf-8", "replace")
+                key = name(data)
+                if key not in out and bitmap[(key[0] & mask) >> 6] >> (key[0] & 63) & 1:
+                    out[key] = shingles(data, words)
+            names = np.array(list(out), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(list(out.values()), pa.list_(pa.int64()))], names=["h1", "h2", "shingles"])
+
+    found = texts.select("text").mapInArrow(hashed, "h1 long, h2 long, shingles array<long>")
+    return found.join(wanted.hint("shuffle_hash"), ["h1", "h2"]).groupBy("own").agg(F.first("shingles").alias("shingles"))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """The pairs whose shingles have at least that similarity."""
+    of = lambda side: sets.select(F.col("own").alias(side), F.col("shingles").alias(f"s_{side}"))
+    both, all_ = F.size(F.array_intersect("s_a", "s_b")), F.size("s_a") + F.size("s_b")
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(both * least[1] >= (all_ - both) * least[0]).select("a", "b")

@@ -8,9 +8,9 @@ import corpus_pipeline
 import public_tokenizers
 import xxhash
 from pyspark.sql import functions as F
-from test_operators import brute_seats, brute_shares
+from test_operators import brute_near, brute_seats, brute_shares
 
-from quillgraph.llm import mixing, pieces, simhash, toxicity
+from quillgraph.llm import mixing, pieces, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,19 +83,8 @@ def plain_lines(docs):
 
 def plain_near(docs):
     """All pairs; the least id of a group stays, null last."""
-    marks = [simhash.sketch(d[1].encode()) for d in docs]
-    group = list(range(len(docs)))
-
-    def root(i):
-        while group[i] != i:
-            i = group[i]
-        return i
-
-    for i, a in enumerate(marks):
-        for j, b in enumerate(marks[:i]):
-            apart = [(x ^ y).bit_count() for x, y in zip(a, b)]
-            if min(apart) <= 2 and sum(apart) <= 56:
-                group[root(i)] = root(j)
+    group = brute_near([d[1] for d in docs])
+    root = lambda i: group[i]
     best = {}
     for i, d in enumerate(docs):
         best.setdefault(root(i), []).append(d)
