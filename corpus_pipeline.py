@@ -35,8 +35,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (SimHashes of their words, for a similarity of
-    about 0.8 of five-word shingles): the one with the smallest id, null last. Rows
+    """One document of each group of near copies (met by SimHashes, then held to a similarity of 0.8
+    of their five-word shingles): the one with the smallest id, null last. Rows
     are told apart by a number that they are written with, so null ids and shared
     ids join no groups."""
     row, key, own = fresh(docs, "_row", "_key", "_own")
