@@ -94,6 +94,13 @@ def headqa(question: Column, answers: Column) -> Column:
     return trailed(question, lettered(*(F.get(answers, F.lit(i))["atext"] for i in range(4))), "spanish")
 
 
+def led(generation: Column, family: Column, model: Column) -> Column:
+    """A generation behind the lead that its prompt ended in, which models do not repeat: for GPQA only
+    those of the path search were prompted so. A null generation is empty."""
+    lead = F.when((family != "gpqa") | F.contains(model, F.lit("mcts")), F.lit(f"{LEAD} ")).otherwise(F.lit(""))
+    return F.concat(lead, F.coalesce(generation, F.lit("")))
+
+
 def letter_of(number: Column) -> Column:
     """1 to 4 as A to D, else null."""
     return F.get(F.array(*map(F.lit, "ABCD")), number - 1)

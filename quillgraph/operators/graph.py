@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.tables import Scratch
+from quillgraph.tables import Scratch, paged
 
 
 def build(triples: DataFrame, confidence: Column | None = None) -> DataFrame:
@@ -66,6 +66,13 @@ def context(edges: DataFrame, directed: bool = False) -> DataFrame:
     return near.groupBy("node").agg(F.sort_array(F.collect_set("relation")).alias("relations"), F.sort_array(F.collect_list("neighbour")).alias("entities"))
 
 
+def context_pages(edges: DataFrame, size: int = 1000, directed: bool = False) -> DataFrame:
+    """(node, page, relations, entities): what surrounds each node as ``context`` has it, in pages of at most ``size``
+    neighbours, so that no row is longer however many a hub has. A page's relations are those of its neighbours."""
+    near = paged(both_ways(edges, directed).select("node", "relation", "neighbour"), "node", ["neighbour", "relation"], size)
+    return near.groupBy("node", "page").agg(F.sort_array(F.collect_set("relation")).alias("relations"), F.sort_array(F.collect_list("neighbour")).alias("entities"))
+
+
 def has_neighbour(edges: DataFrame, asked: DataFrame, directed: bool = False) -> DataFrame:
     """Adds found to (node, relation, answer) rows: whether the relation leads there."""
     known = neighbours(edges, directed).distinct().select("node", "relation", F.col("neighbour").alias("answer"), F.lit(True).alias("found"))

@@ -115,6 +115,21 @@ def edges(records: DataFrame) -> DataFrame:
     return records.where(is_edge(F.col("neo4j_type"))).select("source", F.col("neo4j_type").alias("edge_type"), "target", provenance(p).alias("provenance"), F.to_json(p).alias("evidence"))
 
 
+def as_variant(edge_table: DataFrame, evidence: str = "evidence") -> DataFrame:
+    """Evidence, the whole bag of properties, as a VARIANT: read once, whatever fields it has. Text that is no JSON is null."""
+    return edge_table.withColumn(evidence, F.try_parse_json(evidence))
+
+
+def evidence_value(evidence: Column, path: str, kind: str = "string") -> Column:
+    """What a VARIANT holds at a path such as "$.sources[0]", null if it is not there or of another kind."""
+    return F.try_variant_get(evidence, path, kind)
+
+
+def evidence_fields(edge_table: DataFrame, evidence: str = "evidence") -> DataFrame:
+    """(edge_type, fields): the schema that the evidence of each type of edge has over all its rows."""
+    return edge_table.groupBy("edge_type").agg(F.schema_of_variant_agg(evidence).alias("fields"))
+
+
 def name_ends(edge_table: DataFrame, node_table: DataFrame) -> DataFrame:
     """Edges with names in place of node ids; edges with an unknown end go."""
     for end in ("source", "target"):

@@ -111,7 +111,7 @@ def retrieve(questions: DataFrame, entities: DataFrame, store: DataFrame, contex
 
     questions: question_id, question; entities: question_id, entity; store: id,
     embedding (id is a node's name); contexts: node_name, node_context; ``embed``
-    turns a text column into vectors. Each entity finds its nearest node, a question
+    turns a text column into vectors. Contexts may come in pages (a column page): then a node has a row a page. Each entity finds its nearest node, a question
     without entities its ``fallback_k`` nearest; the nodes' sentences that are
     similar enough to the question, an equal share of ``volume`` for each
     node, make its context.
@@ -126,8 +126,10 @@ def retrieve(questions: DataFrame, entities: DataFrame, store: DataFrame, contex
     other = _searched(index, rest, store, fallback_k).select(F.col("query_id").alias("question_id"), F.col("item_id").alias("node_name"))
     nodes = named.unionAll(other).distinct()
     share = nodes.groupBy("question_id").agg(F.floor(F.lit(volume) / F.count("*")).alias("share"))
-    one = contexts.groupBy("node_name").agg(F.min("node_context").alias("node_context"))
-    parts = sentences(nodes.join(one, "node_name"), "node_context").withColumn("s", embed(F.col("sentence"))).join(asked, "question_id")
+    page = F.col("page").cast("long") if "page" in contexts.columns else F.lit(0).cast("long")
+    one = contexts.select("node_name", page.alias("page"), "node_context").groupBy("node_name", "page").agg(F.min("node_context").alias("node_context"))
+    parts = sentences(nodes.join(one, "node_name"), "node_context").withColumn("sentence_no", F.shiftleft("page", 32) + F.col("sentence_no"))
+    parts = parts.withColumn("s", embed(F.col("sentence"))).join(asked, "question_id")
     scored = parts.select(F.concat_ws("\x1f", "question_id", "node_name").alias("key"), "question_id", "node_name", "sentence", F.col("sentence_no").alias("position"), cosine(F.col("q"), F.col("s")).alias("similarity"))
     kept = prune(scored, "key").join(share, "question_id").where(F.col("rank") <= F.col("share"))
     order = F.transform(F.sort_array(F.collect_list(F.struct("node_name", "rank", "sentence"))), lambda p: p["sentence"])

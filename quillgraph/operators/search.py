@@ -25,13 +25,16 @@ STEP = "struct<subject: string, relation: string, object: string, value: double,
 
 
 def neighbourhoods(edges: DataFrame, seeds: DataFrame, max_depth: int = 5, width: int = 15) -> DataFrame:
-    """(seed, node, information, actions): what the search from each seed can meet."""
-    allowed = Scratch(edges.sparkSession).keep(actions(edges, width), "actions")
-    acts = allowed.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "relation", "neighbour"))), lambda a: F.struct(a["relation"].alias("relation"), a["neighbour"].alias("neighbour"))).alias("actions"))
+    """(seed, node, actions): what the search from each seed can open, and where each action leads with what
+    is gained there. Nodes at the last level but one are the last that are opened, so those at the last are
+    no rows of their own."""
+    scratch = Scratch(edges.sparkSession)
+    edges = scratch.keep(edges, "edges")
+    gain = node_entropy(edges).select(F.col("node").alias("neighbour"), "information")
+    allowed = scratch.keep(actions(edges, width).join(gain, "neighbour").select("node", "rank", "relation", "neighbour", "information"), "actions")
+    acts = allowed.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "relation", "neighbour", "information"))), lambda a: F.struct(a["relation"].alias("relation"), a["neighbour"].alias("neighbour"), a["information"].alias("information"))).alias("actions"))
     chosen = allowed.select(F.col("node").alias("source"), F.col("relation").alias("edge_type"), F.col("neighbour").alias("target"), F.lit(1.0).alias("weight"))
-    near = k_hop(chosen, seeds, max_depth - 1, directed=True).select("seed", "node")
-    information = node_entropy(edges).select("node", "information")
-    return near.join(acts, "node", "left").join(information, "node")
+    return k_hop(chosen, seeds, max_depth - 2, directed=True).select("seed", "node").join(acts, "node")
 
 
 def tree(edges: DataFrame, seeds: DataFrame, simulations: int = 100, max_depth: int = 5, width: int = 15, c_puct: float = 2.5, seed: int = 42) -> DataFrame:
@@ -47,8 +50,8 @@ def tree(edges: DataFrame, seeds: DataFrame, simulations: int = 100, max_depth:
 
     def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         name = key[0]
-        near = {n: [(a["relation"], a["neighbour"]) for a in (acts if acts is not None else [])] for n, acts in zip(rows["node"], rows["actions"], strict=True)}
-        worth = dict(zip(rows["node"], rows["information"].fillna(0.0), strict=True))
+        near = {n: [(a["relation"], a["neighbour"]) for a in acts] for n, acts in zip(rows["node"], rows["actions"], strict=True)}
+        worth = {a["neighbour"]: a["information"] or 0.0 for acts in rows["actions"] for a in acts}
         choose = random.Random(int.from_bytes(hashlib.sha256(f"{seed}:{name}".encode()).digest()[:8], "big"))
         state, relation, parent, depth, visits, value, children = [name], [None], [-1], [0], [0], [0.0], [[]]
         for _ in range(simulations):

@@ -100,6 +100,40 @@ def q_provenance_chain(spark, sf_dir):
     return ingest.edges(_records(spark, sf_dir)).select("source", "target", "provenance")
 
 
+_BAG = """SELECT event_id, CAST(event_id AS VARCHAR) AS source, json_merge_patch(json_object('identifier', 'i' || event_id),
+    CASE WHEN event_id % 3 <> 0 THEN json_object('name', event_type) ELSE '{}' END, CASE WHEN event_id % 4 = 1 THEN json_object('source', 'DOID') ELSE '{}' END,
+    CASE WHEN event_id % 4 = 0 THEN json_object('sources', json_array('a', event_type)) ELSE '{}' END) AS bag FROM events"""
+
+
+@query(f"""
+SELECT source, (bag->>'$.name') AS name, (bag->>'$.identifier') AS identifier, coalesce((bag->>'$.sources[1]'), (bag->>'$.source')) AS first_source,
+  CAST(CASE WHEN (bag->'$.sources') IS NOT NULL THEN json_array_length(bag->'$.sources') END AS BIGINT) AS n_sources
+FROM ({_BAG})
+""")
+def q_evidence(spark, sf_dir):
+    """What the evidence of edges holds, read from VARIANTs."""
+    e = ingest.as_variant(ingest.edges(_records(spark, sf_dir)))
+    value = lambda path, kind="string": ingest.evidence_value(F.col("evidence"), path, kind)
+    sources = value("$.sources", "array<string>")
+    return e.select("source", value("$.name").alias("name"), value("$.identifier").alias("identifier"), F.coalesce(value("$.sources[1]"), value("$.source")).alias("first_source"), F.when(sources.isNotNull(), F.size(sources)).cast("long").alias("n_sources"))
+
+
+@query(r"""
+SELECT CAST(event_id AS VARCHAR) AS source, CAST(event_id AS VARCHAR) || ' resembles ' || CAST(user_id AS VARCHAR) || ' and Provenance of this association is ' ||
+  CASE event_id % 4 WHEN 0 THEN 'a, ' || event_type WHEN 1 THEN 'DOID' WHEN 2 THEN 'p' || user_id ELSE 'SPOKE-KG' END
+  || ' and attributes associated with this association is in the following JSON format:' || chr(10) || ' {' ||
+  CASE WHEN event_id % 3 <> 0 THEN '"name":"' || event_type || '",' ELSE '' END || CASE WHEN event_id % 5 <> 0 THEN '"description":"d' || user_id || '",' ELSE '' END || '"identifier":"i' || event_id || '"' ||
+  CASE event_id % 4 WHEN 1 THEN ',"source":"DOID"' WHEN 0 THEN ',"sources":["a","' || event_type || '"]' WHEN 2 THEN ',"preprint_list":"[' || chr(39) || 'p' || user_id || chr(39) || ']"' ELSE '' END || '}' || chr(10) || chr(10) AS sentence,
+  CAST(event_id AS VARCHAR) || ' has a DOID identifier of i' || event_id || ' and Provenance of this is from DOID.' AS tail
+FROM events
+""")
+def q_edge_evidence(spark, sf_dir):
+    """Edges in sentences that carry their evidence, and the sentence that says where a node's identifier is from."""
+    e = ingest.edges(_records(spark, sf_dir))
+    tail = ingest.tail_sentence(F.col("source"), F.lit("DOID"), F.concat(F.lit("i"), F.col("source")))
+    return e.select("source", ingest.sentence(with_evidence=True).alias("sentence"), tail.alias("tail"))
+
+
 @query(f"WITH {EDGES_SQL}, {DEGREES_SQL.format('edges')} SELECT node, d AS degree, v AS volume FROM degrees, total")
 def q_degree_volume(spark, sf_dir):
     return entropy.node_entropy(kg.edges(spark, sf_dir)).select("node", "degree", "volume")
@@ -209,11 +243,32 @@ WITH {EDGES_SQL}, {BOTH_SQL.format('edges')}
 SELECT node, string_agg(DISTINCT relation, ',' ORDER BY relation) AS relations, string_agg(neighbour, ',' ORDER BY neighbour) AS entities FROM near GROUP BY node
 """)
 def q_entity_context(spark, sf_dir):
-    """Each node's relations and neighbours in the whole graph; the SQL reads the geography only."""
+    """Each node's relations and neighbours in the whole graph."""
     out = graph.context(kg.edges(spark, sf_dir))
     return out.select("node", F.array_join("relations", ",").alias("relations"), F.array_join("entities", ",").alias("entities"))
 
 
+@query(f"""
+WITH {EDGES_SQL}, {BOTH_SQL.format('edges')},
+p AS (SELECT *, CAST((row_number() OVER (PARTITION BY node ORDER BY neighbour, relation) - 1) // 100 AS INTEGER) AS page FROM near)
+SELECT node, page, string_agg(DISTINCT relation, ',' ORDER BY relation) AS relations, string_agg(neighbour, ',' ORDER BY neighbour) AS entities FROM p GROUP BY node, page
+""")
+def q_entity_context_pages(spark, sf_dir):
+    """The same in pages of 100 neighbours: no row is longer, whatever a hub has."""
+    out = graph.context_pages(kg.edges(spark, sf_dir), 100)
+    return out.select("node", "page", F.array_join("relations", ",").alias("relations"), F.array_join("entities", ",").alias("entities"))
+
+
+@query(f"""
+WITH {EDGES_SQL}, {BOTH_SQL.format('edges')}, seeds AS (SELECT 'N' || n_nationkey AS seed FROM nation UNION ALL SELECT 'unknown')
+SELECT DISTINCT seed, relation, neighbour FROM seeds JOIN near ON node = seed
+""")
+def q_induced(spark, sf_dir):
+    """The edges at each nation, all in one join; an unknown seed gives none."""
+    seeds = kg.table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("seed")).unionAll(spark.createDataFrame([("unknown",)], "seed string"))
+    return graph.induced(kg.edges(spark, sf_dir), seeds).select("seed", "relation", "neighbour").distinct()
+
+
 @query(f"""
 WITH {GEO_SQL}, asked AS (SELECT 'S' || s_suppkey AS node, 'LOCATEDIN_SlN' AS relation, 'N' || (s_suppkey % 25) AS answer FROM supplier)
 SELECT a.*, EXISTS (SELECT 1 FROM geo WHERE source = node AND edge_type = relation AND target = answer) AS found FROM asked a

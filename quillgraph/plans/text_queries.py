@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from quillgraph import models
 from quillgraph.functions import arrays, extract, formats
-from quillgraph.operators import evaluate, retrieval, rl, sft
+from quillgraph.operators import evaluate, ingest, retrieval, rl, sft
 from quillgraph.plans.kg import table
 from quillgraph.plans.registry import query
+from quillgraph.tables import paged
 
 # ---- retrieval
 
@@ -96,7 +97,8 @@ def q_retrieve(spark, sf_dir):
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("key"))
     customer = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("key"))
     located = supplier.unionAll(customer).join(F.broadcast(nation), F.col("key") == F.col("n_nationkey"))
-    contexts = located.groupBy(F.col("n_name").alias("node_name")).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", "name", F.lit("is in"), "n_name"))), ". ").alias("node_context"))
+    facts = paged(located.select(F.col("n_name").alias("node_name"), F.concat_ws(" ", "name", F.lit("is in"), "n_name").alias("fact")), "node_name", ["fact"], 1000)
+    contexts = facts.groupBy("node_name", "page").agg(F.array_join(F.sort_array(F.collect_list("fact")), ". ").alias("node_context"))
     store = nation.select(F.col("n_name").alias("id"), models.embed(F.col("n_name")).alias("embedding"))
     asked = nation.select(F.col("n_nationkey").alias("question_id"), F.concat_ws(" ", F.lit("who is in"), "n_name").alias("question"))
     named = nation.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("question_id"), F.col("n_name").alias("entity"))
@@ -254,6 +256,18 @@ def q_with_options(spark, sf_dir):
     return e.select("event_id", extract.with_options(prompt, F.concat(F.lit("It is "), "event_type")).alias("named"))
 
 
+@query("""
+SELECT event_id, CASE WHEN event_id % 3 = 0 OR event_id % 2 = 0 AND event_id % 5 = 0 THEN 'Correct option is ' ELSE '' END || coalesce(event_type, '') AS led
+FROM events
+""")
+def q_answer_lead(spark, sf_dir):
+    """Generations with the lead that their prompt ended in: always for a benchmark of the medical kind, for GPQA only of some models."""
+    e = table(spark, sf_dir, "events")
+    family = F.when(F.col("event_id") % 3 == 0, "medqa").when(F.col("event_id") % 2 == 0, "gpqa").otherwise("gpqa")
+    model = F.when((F.col("event_id") % 2 == 0) & (F.col("event_id") % 5 == 0), "x-mcts-7b").otherwise("plain-7b")
+    return e.select("event_id", formats.led(F.col("event_type"), family, model).alias("led"))
+
+
 @query("SELECT doc_id, CASE quality WHEN 1 THEN 'A' WHEN 0 THEN 'B' ELSE 'C' END AS decision, substr('ABCD', CAST(doc_id % 4 + 1 AS INTEGER), 1) AS letter FROM labels")
 def q_label_recode(spark, sf_dir):
     rows = table(spark, sf_dir, "labels")
@@ -333,6 +347,20 @@ def q_synth_parse(spark, sf_dir):
     return c.select("conv_id", "turn", q.alias("question"), a.alias("answer"), sft.clean_answer(a).alias("cleaned"))
 
 
+@query(r"""
+SELECT conv_id, turn, '[INST]<<SYS>>' || chr(10) || role || chr(10) || '<</SYS>>' || chr(10) || chr(10) || coalesce(text, '') || '[/INST]' AS wrapped,
+  '<|im_start|>system' || chr(10) || 'You are a helpful assistant.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS asked,
+  coalesce(text, '') AS trimmed
+FROM conversations
+""")
+def q_instructions(spark, sf_dir):
+    """Turns as instructions of two families, and a generation without its end markers."""
+    c = table(spark, sf_dir, "conversations")
+    text = F.coalesce("text", F.lit(""))
+    ended = F.concat(text, F.lit("<|im_end|>\n<|endoftext|>"))
+    return c.select("conv_id", "turn", ingest.instruction(F.col("role"), text).alias("wrapped"), sft.instruction_prompt(text).alias("asked"), sft.trim_output(ended).alias("trimmed"))
+
+
 _TURNS = "t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE role IN ('user', 'assistant'))"
 
 

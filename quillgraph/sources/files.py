@@ -61,6 +61,12 @@ def json_lines_head(spark: SparkSession, path: str, schema: str, n: int | None =
     return lines.where(F.trim("value") != "").select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
+def gpqa(spark: SparkSession, path: str, subdomain: str | None = None) -> DataFrame:
+    """Questions with their correct and incorrect answers, those of one subdomain if it is named."""
+    questions = csv(spark, path, S.GPQA)
+    return questions if subdomain is None else questions.where(F.col("Subdomain") == subdomain)
+
+
 def parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

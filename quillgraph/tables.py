@@ -83,3 +83,18 @@ def meet(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     salt = F.pmod(F.xxhash64(*(c for c in rows.columns if c not in keys)), F.lit(SALTS))
     dealt = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return rows.withColumn("_salt", salt).join(dealt, [*keys, "_salt"]).drop("_salt")
+
+
+def paged(df: DataFrame, key: str, order: list[str], size: int, page: str = "page") -> DataFrame:
+    """Adds each row's page: its place in ``order`` among the rows of its key, ``size`` to a page, from 0.
+
+    Rows are sorted over all keys at once (``places``), so a key with many rows is spread over the
+    sort's partitions by what follows it in the order; a key's first place is subtracted by
+    ``meet``. Null keys are a key.
+    """
+    named = df.withColumn("_nokey", F.col(key).isNull())
+    placed = places(named, [F.col("_nokey"), F.col(key), *map(F.col, order)], "_place")
+    text = placed.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit("")))
+    first = text.groupBy("_nokey", "_key").agg(F.min("_place").alias("_first"))
+    out = meet(text, first, ["_nokey", "_key"])
+    return out.withColumn(page, F.floor((F.col("_place") - F.col("_first")) / size).cast("int")).select(*df.columns, page)

@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import balls, quantiles, retrieval, sft
-from quillgraph.tables import meet
+from quillgraph import models
+from quillgraph.operators import balls, graph, ingest, quantiles, retrieval, sft
+from quillgraph.sources import files
+from quillgraph.tables import meet, paged
 
 
 def clustered(seed, clusters, each, dims=8):
@@ -121,3 +123,47 @@ def test_pack(spark, block):
     cut = [every[i : i + block] for i in range(0, len(every), block)]
     want = {i: c for i, c in enumerate(cut) if len(c) == block or len(every) < block}
     assert {r.block_no: r.tokens for r in sft.pack(df.repartition(5), "k", "t", block).collect()} == want
+
+
+def test_pages_of_hubs(spark):
+    """No page is longer than its size, and the pages of a node put together are its context; null keys are a key."""
+    rng = random.Random(5)
+    rows = [("hub", rng.choice(["r", "q"]), f"n{rng.randint(0, 400)}", 1.0) for _ in range(700)] + [("a", "r", "b", 1.0), ("b", "q", "b", 1.0)]
+    edges = spark.createDataFrame(rows, "source string, edge_type string, target string, weight double")
+    pages, whole = graph.context_pages(edges, 50).collect(), {r.node: (r.relations, r.entities) for r in graph.context(edges).collect()}
+    assert max(len(r.entities) for r in pages) == 50 and sum(r.node == "hub" for r in pages) == 14
+    for node, (relations, entities) in whole.items():
+        own = sorted((r for r in pages if r.node == node), key=lambda r: r.page)
+        assert [r.page for r in own] == list(range(len(own)))
+        assert [e for r in own for e in r.entities] == entities and sorted({x for r in own for x in r.relations}) == relations
+    some = paged(spark.createDataFrame([(None, 3), (None, 1), ("", 2), ("k", 1), (None, 2)], "k string, v int"), "k", ["v"], 2)
+    assert sorted(((r.k is None, r.k or "", r.v, r.page) for r in some.collect())) == [(False, "", 2, 0), (False, "k", 1, 0), (True, "", 1, 0), (True, "", 2, 0), (True, "", 3, 1)]
+
+
+def test_contexts_in_pages(spark):
+    """A node's context in one row or in pages of it gives the same answer; the steps can be looked at."""
+    facts = [f"fact {i} about asthma and lungs number {i % 7}" for i in range(40)]
+    whole = spark.createDataFrame([("asthma", ". ".join(facts))], "node_name string, node_context string")
+    parts = spark.createDataFrame([("asthma", i // 8, ". ".join(facts[i : i + 8])) for i in range(0, 40, 8)], "node_name string, page int, node_context string")
+    questions = spark.createDataFrame([(1, "what is asthma and lungs"), (2, "asthma fact")], "question_id int, question string")
+    entities = spark.createDataFrame([(1, "asthma")], "question_id int, entity string")
+    store = spark.createDataFrame([("asthma",), ("gout",)], "id string").withColumn("embedding", models.embed(F.col("id")))
+    one, many = (sorted(map(tuple, retrieval.retrieve(questions, entities, store, c, models.embed).collect())) for c in (whole, parts))
+    assert one == many and one
+    steps = retrieval.explain(questions, entities, store, whole, models.embed)
+    assert [r.item_id for r in steps["hits"].collect()] == ["asthma"] and steps["contexts"].count() == 1 and sorted(map(tuple, steps["result"].collect())) == one
+
+
+def test_evidence_as_variant(spark):
+    rows = spark.createDataFrame([("a", "R_AB", '{"x": 1, "s": ["p", "q"]}'), ("b", "R_AB", '{"x": "one"}'), ("c", "Q_AB", "no json"), ("d", "Q_AB", None)], "source string, edge_type string, evidence string")
+    e = ingest.as_variant(rows)
+    assert e.schema["evidence"].dataType.simpleString() == "variant"
+    got = e.select("source", ingest.evidence_value(F.col("evidence"), "$.x", "int").alias("x"), ingest.evidence_value(F.col("evidence"), "$.s[1]").alias("s")).collect()
+    assert sorted(map(tuple, got), key=str) == [("a", 1, "q"), ("b", None, None), ("c", None, None), ("d", None, None)]
+    fields = {r.edge_type: r.fields for r in ingest.evidence_fields(e).collect()}
+    assert "x: VARIANT" in fields["R_AB"] and "s: ARRAY<STRING>" in fields["R_AB"]
+
+
+def test_questions_of_a_subdomain(spark, tmp_path):
+    (tmp_path / "q.csv").write_text("Question,Correct Answer,Incorrect Answer 1,Incorrect Answer 2,Incorrect Answer 3,Subdomain\nq1,a,b,c,d,Genetics\nq2,a,b,c,d,Optics\n")
+    assert [r.Question for r in files.gpqa(spark, str(tmp_path / "q.csv"), "Genetics").collect()] == ["q1"] and files.gpqa(spark, str(tmp_path / "q.csv")).count() == 2
