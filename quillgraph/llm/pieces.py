@@ -55,14 +55,13 @@ class Model:
         self.lowest = min((s for s in self.scores if s > -1e8), default=0.0) + UNKNOWN_PENALTY
 
 
-def load(path: str, scores: str = "auto") -> Model:
+def load(path: str, scores: str = "model") -> Model:
     """Reads a model file.
 
     ``scores="model"`` takes its scores as log-probabilities, which those of a
     unigram model are. Those of a BPE model are negated merge ranks, whose sums
     mean nothing; ``"rank"`` turns rank r into log(1 / (r + 1)) up to a constant, as
-    Zipf's law has it for pieces in order of frequency. ``"auto"`` takes "rank"
-    where all scores are whole numbers that fall one by one.
+    Zipf's law has it for pieces in order of frequency.
     """
     import sentencepiece
 
@@ -72,8 +71,9 @@ def load(path: str, scores: str = "auto") -> Model:
     octets = {int(pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
     silent = {i for i in range(n) if sp.is_control(i)}
     plain = [s for i, s in enumerate(stored) if s > -1e8 and not sp.is_byte(i) and i not in silent and i != sp.unk_id()]
-    ranked = all(float(s).is_integer() for s in plain) and len(set(plain)) == len(plain)
-    if scores == "rank" or (scores == "auto" and ranked):
+    if scores not in ("model", "rank"):
+        raise ValueError('scores are "model" or "rank"')
+    if scores == "rank":
         norm = float(np.log(np.sum(1.0 / (1.0 - np.array(plain)))))
         stored = [s if s <= -1e8 else -float(np.log(1.0 - s)) - norm for s in stored]
     return Model(pieces, stored, octets, silent, sp.unk_id())
@@ -275,7 +275,7 @@ def combine(options: list[list[float]], n: int) -> list[tuple[float, tuple[int,
     return out
 
 
-def encode(docs: DataFrame, model_file: str, *, text_col: str = "text", n: int = 4, scores: str = "auto", keep: tuple[str, ...] = ("doc_id",), cache_chunks: int = 400_000) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, *, text_col: str = "text", n: int = 4, scores: str = "model", keep: tuple[str, ...] = ("doc_id",), cache_chunks: int = 400_000) -> DataFrame:
     """``keep`` columns with the ``n`` best segmentations of each whole text.
 
     Adds ids (array<int>, of the best), score (its sum) and nbest, best first: an

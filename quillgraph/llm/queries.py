@@ -48,7 +48,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoding gives the text back (U+2581 in a text comes back as a space)."""
     file = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pieces.decode(pieces.encode(docs, file, keep=("doc_id", "text")), file)
+    out = pieces.decode(pieces.encode(docs, file, scores="rank", keep=("doc_id", "text")), file)
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.col("nbest.score").alias("nbest_scores"), same.alias("round_trip"))
 

@@ -318,7 +318,7 @@ def brute_paths(model, chunk):
 
 
 def test_n_best_is_brute_force():
-    model, rng = pieces.load(SP), random.Random(5)
+    model, rng = pieces.load(SP, "rank"), random.Random(5)
     texts = ["".join(rng.choice("thernoi é梦\U0001f600\n") for _ in range(rng.randint(1, 12))) for _ in range(200)]
     seg = pieces.Segmenter(model)
     chunks = [c for t in texts for c in model.chunks(pieces.normalise(t)) if "▁▁" not in c] * 3
@@ -342,9 +342,9 @@ def test_encode_decode(spark):
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=SP)
-    model = pieces.load(SP)
+    model = pieces.load(SP, "rank")
     rows = [*odd_rows(), (10, "the  two   spaces ", "x"), (11, "q" * 500, "x"), (12, "a ▁ b", "x"), (13, "hello there", "x")]
-    got = pieces.decode(pieces.encode(documents(spark, rows), SP, keep=("doc_id", "text", "a.b")), SP).collect()
+    got = pieces.decode(pieces.encode(documents(spark, rows), SP, scores="rank", keep=("doc_id", "text", "a.b")), SP).collect()
     assert len(got) == len(rows)
     for r in got:
         assert r.decoded == (r.text or "").replace("▁", " ") == library.decode(list(r.ids)) if r.text else (r.ids == [] and r.decoded == "")

@@ -125,7 +125,7 @@ def plain_mix(docs):
 
 
 def plain_encode(docs):
-    model = pieces.load(public_tokenizers.path(corpus_pipeline.MODEL))
+    model = pieces.load(public_tokenizers.path(corpus_pipeline.MODEL), "rank")
     return [(i, lang, source, [k for c in model.chunks(pieces.normalise(t)) for k in pieces.n_best(model, c, 1)[0][1]]) for i, t, lang, source in docs]
 
 
