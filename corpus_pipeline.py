@@ -55,7 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang and source with the ids of the best segmentation, its score and what
     differs in the next three."""
-    out = pieces.encode(docs, public_tokenizers.path(MODEL), keep=("doc_id", "lang", "source"))
+    out = pieces.encode(docs, public_tokenizers.path(MODEL), scores="rank", keep=("doc_id", "lang", "source"))
     return out.withColumn("n_pieces", F.size("ids").cast("long"))
 
 
