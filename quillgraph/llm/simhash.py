@@ -155,12 +155,12 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Such texts differ in up to a seventh of the bits of a SimHash, too many for two bits
     of 64. So each has several SimHashes of fewer bits (``table_bits``, ``table_count``), and texts that
-    differ in at most two bits of one of them meet (in the middle, as in ``links``; a value is never that of more than
-    bits + 1 hashes, so all pairs there are few). Pairs that meet are compared by all their sketches' bits, of which a quarter may differ, and
-    what is left by their shingles, exactly; only then they link. Texts with one and the same hash in a table,
-    of which there may be any number, are compared with the least of them, and those that it
-    does not link with all the others. So no text below the similarity links, and of those above
-    it nearly all do: see README for measurements.
+    differ in at most two bits of one of them meet (in the middle, as in ``links``). All that meet at a value or have one hash are first
+    compared with the least there: by all their sketches' bits, of which a quarter may differ, and
+    what is left by their shingles, exactly; only then they link. What does not link with the least one is
+    compared with all that it meets and that is not in one component with it by then (``_others``), so a group of near copies makes
+    no more pairs than it has members, and no link between texts that meet is lost. No text below the similarity links, and of those above
+    it nearly all meet: see README for measurements.
 
     Rows with the same words are one text whatever their number, by 128 bits of hash; null, empty and blank texts
     are one text. Null ids, shared ids and repeated rows as for ``near_duplicates``.
@@ -188,23 +188,21 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     same = scratch.keep(same.select("fp", F.col("least").alias("a"), F.col("own").alias("b")), "same")
     one = F.lit(1).cast("long")
     flips = F.array(F.lit(0).cast("long"), *(one if i == 0 else F.shiftleft(one, i) for i in range(bits)))
-    met = values.select("least", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
-    before = F.collect_list("least").over(Window.partitionBy("value").orderBy("least").rowsBetween(-bits, -1))
-    near = met.withColumn("before", before).where(F.size("before") > 0).select(F.explode("before").alias("a"), F.col("least").alias("b"))
+    met = values.select("fp", "least", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
+    own = Window.partitionBy("value")
+    met = met.withColumns({"a": F.min("least").over(own), "most": F.max("least").over(own)}).where("a < most")
+    met = scratch.keep(met.select("value", "fp", "least", "a"), "met")
+    near = met.where("a < least").select("a", F.col("least").alias("b"))
     of = lambda side: classes.select(F.col("own").alias(side), F.col("sketch").alias(f"of_{side}"))
     apart = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     alike = lambda pairs: pairs.join(of("a"), "a").join(of("b"), "b").where(4 * apart <= bits * tables).select("a", "b")
+    judged = lambda pairs: _similar(pairs, _sets(texts, _ends(pairs).distinct().join(classes.select("own", "h1", "h2"), "own"), words, scratch), least)
     close = scratch.keep(alike(same.select("a", "b").unionAll(near).distinct()), "pairs")
-    ends = lambda df: df.select(F.col("a").alias("own")).unionAll(df.select("b"))
-    wanted = scratch.keep(ends(close).unionAll(ends(same)).distinct().join(classes.select("own", "h1", "h2"), "own"), "wanted")
-    sets = scratch.keep(_sets(texts, wanted, words), "shingles")
-    judged = lambda pairs: _similar(pairs, sets, least)
     linked = scratch.keep(judged(close), "links")
-    outliers = scratch.keep(same.join(linked, ["a", "b"], "left_anti").select("fp", F.col("a").alias("hub"), "b"), "outliers")
-    if not outliers.isEmpty():
-        others = outliers.join(parts.select("fp", F.col("own").alias("other")), "fp").where("other <> b and other <> hub")
-        pairs = others.select(F.least("b", "other").alias("a"), F.greatest("b", "other").alias("b")).distinct()
-        linked = linked.unionAll(judged(alike(pairs)))
+    more = _others(same, met, parts, classes, linked, scratch)
+    if more is not None:
+        more = scratch.keep(alike(more), "pairs")
+        linked = linked.unionAll(judged(more))
     found = components(linked, scratch)
     group = scratch.keep(classes.join(found, classes.own == found.node, "left").select("h1", "h2", "own", "first", "n", F.coalesce("component", "own").alias("root")), "groups")
     best = group.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("size"))
@@ -212,9 +210,38 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return lookup(rows.select("id", "h1", "h2"), by_name, ["h1", "h2"], "n", rows.count(), F.xxhash64("id")).select("id", "component")
 
 
-def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(own, shingles) of the texts that are wanted (own, h1, h2). A bitmap of fixed size says in the task
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("own")).unionAll(pairs.select("b"))
+
+
+def _others(same: DataFrame, met: DataFrame, parts: DataFrame, classes: DataFrame, linked: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """The pairs (a, b) that links to the least ones leave open: a text that does not link with the least of its hash,
+    and all texts of a hash whose least does not link with the least at a value, with all that meet
+    them there and are not in one component with them already. None if there are no such texts."""
+    own = ["a", "b"]
+    lone = same.join(linked, own, "left_anti").select("fp", F.col("b").alias("x"))
+    apart = met.where("a < least").withColumnRenamed("least", "b").join(linked, own, "left_anti").select("value", "fp")
+    lone, apart = scratch.keep(lone, "outliers"), scratch.keep(apart, "outliers")
+    if lone.isEmpty() and apart.isEmpty():
+        return None
+    found = components(linked, scratch)
+    part = classes.select("own").join(found, F.col("own") == F.col("node"), "left").select("own", F.coalesce("component", "own").alias("root"))
+    members = scratch.keep(parts.join(part, "own"), "members")
+    asked = apart.join(members, "fp").select("value", F.col("own").alias("x"), F.col("root").alias("rx"))
+    alone = lone.join(part.withColumnRenamed("own", "x"), "x").withColumnRenamed("root", "rx")
+    asked = asked.unionAll(alone.join(met.select("value", "fp"), "fp").select("value", "x", "rx")).distinct()
+    at = met.select("value", "fp").join(asked.select("value").distinct(), "value", "left_semi").join(members, "fp").select("value", F.col("own").alias("y"), F.col("root").alias("ry"))
+    differ = (F.col("rx") != F.col("ry")) & (F.col("x") != F.col("y"))
+    pairs = asked.alias("p").join(at.alias("q"), (F.col("p.value") == F.col("q.value")) & differ).select("x", "y")
+    hash_ = members.select(F.col("fp").alias("f"), F.col("own").alias("y"), F.col("root").alias("ry"))
+    pairs = pairs.unionAll(alone.join(hash_, (F.col("fp") == F.col("f")) & differ).select("x", "y"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _sets(texts: DataFrame, wanted: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """(own, shingles) of the texts that are wanted (own, h1, h2), written. A bitmap of fixed size says in the task
     which texts may be, so that no others are hashed or shuffled."""
+    wanted = scratch.keep(wanted, "wanted")
     blocks = suffixes._bitmap(wanted.select(F.col("h1").alias("row"))).toArrow()  # at most 128 rows of 64 KB
     bitmap = np.zeros((1 << (suffixes.BITS - 19), 1 << 13), np.int64)
     for block, held in zip(blocks.column("block").to_pylist(), blocks.column("bits"), strict=True):
@@ -234,7 +261,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(list(out.values()), pa.list_(pa.int64()))], names=["h1", "h2", "shingles"])
 
     found = texts.select("text").mapInArrow(hashed, "h1 long, h2 long, shingles array<long>")
-    return found.join(wanted.hint("shuffle_hash"), ["h1", "h2"]).groupBy("own").agg(F.first("shingles").alias("shingles"))
+    return scratch.keep(found.join(wanted.hint("shuffle_hash"), ["h1", "h2"]).groupBy("own").agg(F.first("shingles").alias("shingles")), "shingles")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
