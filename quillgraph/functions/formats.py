@@ -41,7 +41,7 @@ def from_map(choices: Column, upper: bool = False) -> Column:
     return F.transform(F.map_entries(choices), lambda e: F.struct((F.upper(e["key"]) if upper else e["key"]).alias("letter"), e["value"].alias("text")))
 
 
-def led(question: Column, entries: Column) -> Column:
+def asked(question: Column, entries: Column) -> Column:
     """The English prompt, the question and its options, and the start of the answer."""
     return F.concat(F.lit(PROMPTS["english"] + "\n"), question, F.lit("\n"), options(entries), F.lit(LEAD))
 
@@ -52,12 +52,12 @@ def trailed(question: Column, entries: Column, language: str) -> Column:
 
 
 def medqa(question: Column, choices: Column) -> Column:
-    return led(question, from_map(choices))
+    return asked(question, from_map(choices))
 
 
 def mcq(question: Column, *texts: Column) -> Column:
     """GPQA, MMLU and MedMCQA: options by position."""
-    return led(question, lettered(*texts))
+    return asked(question, lettered(*texts))
 
 
 def pubmedqa(question: Column, contexts: Column) -> Column:

@@ -194,6 +194,9 @@ def test_formats(spark):
     assert get(formats.usmle(F.lit("Q "), F.lit("(A) x (B) y"))) == "Q \nA. x \nB. y\nDirectly answer the best option:"
     options = F.create_map(F.lit("1"), F.lit("a"), F.lit("2"), F.lit("None"), F.lit("3"), F.lit("c"))
     assert get(formats.medexpqa(F.lit("Q"), options)) == "Q\nA. a\nC. c\nDirectly answer the best option:"
+    choices = F.create_map(*map(F.lit, ("B", "y", "A", "x")))
+    assert get(formats.medqa(F.lit("Q"), choices)) == "Directly answer the best option:\nQ\nB. y\nA. x\nCorrect option is"
+    assert get(formats.led(F.lit("B"), F.lit("medqa"), F.lit("m"))) == "Correct option is B"
     choices, letter = formats.shuffled_choices(F.lit("i"), F.lit("right"), [F.lit(x) for x in ("w1", "w2", "w3")])
     assert get(choices)["ABCD".index(get(letter))] == "right"
 
