@@ -177,9 +177,11 @@ def pack(df: DataFrame, key: str, tokens: str, block: int) -> DataFrame:
     return blocks.crossJoin(F.broadcast(total)).where((F.size("tokens") == block) | (F.col("total") < block)).drop("total")  # one row
 
 
-def mini_batches(df: DataFrame, order: str, buffer: int, size: int) -> DataFrame:
-    """Adds buffer_no and batch_no: rows in order fill buffers, which are cut into small batches."""
-    return places(df, [F.col(order)], "_n").withColumns({"buffer_no": F.floor(F.col("_n") / buffer), "batch_no": F.floor((F.col("_n") % buffer) / size)}).drop("_n")
+def mini_batches(df: DataFrame, order: str, buffer: int, size: int, place: Column | None = None) -> DataFrame:
+    """Adds buffer_no and batch_no: rows in order fill buffers, which are cut into small batches. With ``place`` rows
+    say themselves where they stand (from 0), so ids that leave gaps or begin anew need no sort."""
+    placed = places(df, [F.col(order)], "_n") if place is None else df.withColumn("_n", place)
+    return placed.withColumns({"buffer_no": F.floor(F.col("_n") / buffer), "batch_no": F.floor((F.col("_n") % buffer) / size)}).drop("_n")
 
 
 def trim_output(text: Column) -> Column:

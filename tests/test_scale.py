@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph import models
+from quillgraph import models, tables
 from quillgraph.operators import balls, graph, ingest, quantiles, retrieval, sft
 from quillgraph.sources import files
 from quillgraph.tables import meet, paged
@@ -167,3 +167,10 @@ def test_evidence_as_variant(spark):
 def test_questions_of_a_subdomain(spark, tmp_path):
     (tmp_path / "q.csv").write_text("Question,Correct Answer,Incorrect Answer 1,Incorrect Answer 2,Incorrect Answer 3,Subdomain\nq1,a,b,c,d,Genetics\nq2,a,b,c,d,Optics\n")
     assert [r.Question for r in files.gpqa(spark, str(tmp_path / "q.csv"), "Genetics").collect()] == ["q1"] and files.gpqa(spark, str(tmp_path / "q.csv")).count() == 2
+
+
+def test_mini_batches_by_their_own_places(spark):
+    """Ids that begin anew at each million, and one that is missing: what counts is the id."""
+    rows = spark.createDataFrame([(i,) for i in (0, 7, 8, 64, 999_999, 1_000_000, 1_000_065, 3_000_010)], "id long")
+    got = sft.mini_batches(rows, "id", 64, 8, F.col("id") % 1_000_000)
+    assert sorted(tuple(r) for r in got.collect()) == [(i, i % 1_000_000 // 64, i % 64 // 8) for i in (0, 7, 8, 64, 999_999, 1_000_000, 1_000_065, 3_000_010)]
