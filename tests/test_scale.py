@@ -174,3 +174,49 @@ def test_mini_batches_by_their_own_places(spark):
     rows = spark.createDataFrame([(i,) for i in (0, 7, 8, 64, 999_999, 1_000_000, 1_000_065, 3_000_010)], "id long")
     got = sft.mini_batches(rows, "id", 64, 8, F.col("id") % 1_000_000)
     assert sorted(tuple(r) for r in got.collect()) == [(i, i % 1_000_000 // 64, i % 64 // 8) for i in (0, 7, 8, 64, 999_999, 1_000_000, 1_000_065, 3_000_010)]
+
+
+def hubs(spark):
+    """Two hubs of 60 leaves with a node above both, leaves at both, and a chain; who is how far from whom, by plain search."""
+    links = [(f"a{i}", "A") for i in range(60)] + [(f"b{i}", "B") for i in range(60)] + [("A", "T"), ("B", "T"), ("a0", "B"), ("a1", "a2"), ("a3", "x"), ("x", "y"), ("T", "T")]
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    away = {}
+    for s in near:
+        away[s], ring = {s: 0}, [s]
+        while ring:
+            ring = [t for u in ring for t in near[u] if t not in away[s] and not away[s].update({t: away[s][u] + 1})]
+    return spark.createDataFrame([(a, "E", b, 1.0) for a, b in links], "source string, edge_type string, target string, weight double"), away
+
+
+def counting(monkeypatch):
+    """The rows of all tables written from here on."""
+    seen, keep = [], tables.Scratch.keep
+    monkeypatch.setattr(tables.Scratch, "keep", lambda self, df, name="table": [out := keep(self, df, name), seen.append(out.count())][0])
+    return seen
+
+
+@pytest.mark.parametrize("hops, listed", [(2, 100), (2, 5), (3, 0), (4, 100)])
+def test_hops_around_a_hub(spark, monkeypatch, hops, listed):
+    edges, away = hubs(spark)
+    monkeypatch.setattr(graph, "LISTED", listed)
+    seeds = [s for s in away if s[0] in "abx"]
+    written = counting(monkeypatch)
+    got = graph.k_hop(edges, spark.createDataFrame([(s,) for s in seeds], "seed string"), hops, keep_last=False)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((s, t, d) for s in seeds for t, d in away[s].items() if d <= hops)
+    if hops == 2:
+        assert max(written) < 600  # of 7,000 rows of the result
+
+
+def test_paths_across_a_hub(spark, monkeypatch):
+    """Every leaf to both hubs: their leaves are looked at from the hubs, not from every leaf."""
+    edges, away = hubs(spark)
+    pairs = [(s, t) for s in away if s[0] in "abxy" for t in ("A", "B", "y")]
+    written = counting(monkeypatch)
+    got = {(r.source, r.target): (r.length, r.path) for r in graph.shortest_paths(edges, spark.createDataFrame(pairs, "source string, target string"), 3).collect()}
+    assert {k: v[0] for k, v in got.items()} == {(s, t): away[s][t] for s, t in pairs if away[s].get(t, 9) <= 3}
+    assert all(len(p) == 2 * n + 1 and p[0] == s and p[-1] == t and all(away[a][b] == 1 for a, b in zip(p[::2], p[2::2])) for (s, t), (n, p) in got.items())
+    assert got["a1", "A"][1] == ["a1", "E", "A"] and got["a7", "B"][1] == ["a7", "E", "A", "E", "T", "E", "B"] or got["a7", "B"][1] == ["a7", "E", "A", "E", "a0", "E", "B"]
+    assert max(written) < 600
