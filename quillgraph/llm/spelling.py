@@ -75,7 +75,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     An edit flips at most two bits of the parities, so one of the three bands is equal; lengths differ by one at most; and
     of both words either the first or the last half of the shorter's length agrees. Words meet by
     (shorter length, band, half), which keeps those apart that share letters only. A pair
-    is taken where it first meets, so none comes twice, and verified by edit distance in code points.
+    is taken where it first meets, so none comes twice, and verified by edit distance in code points. Spark takes the words
+    and their dozen spots for one size and would broadcast them, so the join says how it is to be done.
     """
     w = words.withColumn("mask", parities(F.col("word"))).withColumn("len", F.length("word"))
     short = w.withColumn("short", F.explode(F.array(F.col("len"), F.col("len") - 1))).withColumn("half", F.floor(F.col("short") / 2).cast("int"))
@@ -88,7 +89,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     flipped = F.col("x.mask").bitwiseXOR(F.col("y.mask"))
     first_band = F.when(band(flipped, 0) == 0, 0).when(band(flipped, 1) == 0, 1).otherwise(2)
     first = F.col("x.spot") == first_band + F.when(F.col("x.head") == F.col("y.head"), 0).otherwise(BANDS)
-    pairs = x.join(y, on).where((F.col("x.word") < F.col("y.word")) & lengths & (F.bit_count(flipped) <= 2) & first)
+    pairs = x.join(y.hint("merge"), on).where((F.col("x.word") < F.col("y.word")) & lengths & (F.bit_count(flipped) <= 2) & first)
     pairs = pairs.where(F.levenshtein("x.word", "y.word", 1) == 1).select(F.col("x.word").alias("word"), F.col("x.n").alias("n"), F.col("y.word").alias("other"), F.col("y.n").alias("other_n"))
     return pairs.unionAll(pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
 
@@ -110,16 +111,16 @@ def variants(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     words = scratch.keep(word_counts(docs, id_col=id_col, text_col=text_col, least_length=least_length, least_n=least_n, divisor=divisor), "words")
     best = F.min(F.struct((-F.col("other_n")).alias("minus"), F.col("other").alias("form")))
     near = near_pairs(words).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
-    rows = words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(-F.col("best.minus") >= F.col("n") * ratio, F.col("best")).alias("best"))
+    rows = words.join(near.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(-F.col("best.minus") >= F.col("n") * ratio, F.col("best")).alias("best"))
     rows = scratch.keep(rows.select("word", "n", "n_near", F.col("best.form").alias("form"), (-F.col("best.minus")).alias("form_n")), "forms")
     up = scratch.keep(rows.where("form is not null").select("word", F.col("form").alias("root")), "roots")
     while True:
         above = up.select(F.col("word").alias("root"), F.col("root").alias("top"))
-        new = scratch.keep(up.join(above, "root", "left").select("word", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")), "roots")
+        new = scratch.keep(up.join(above.hint("merge"), "root", "left").select("word", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")), "roots")
         scratch.drop(up)
         moved = not new.where("moved").isEmpty()
         up, path = new.select("word", "root"), new._scratch_path
         up._scratch_path = path
         if not moved:
             break
-    return rows.join(up, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return rows.join(up.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -89,6 +89,15 @@ def test_variants_of_odd_rows(spark):
     assert spelling.variants(documents(spark, EMPTY)).count() == 0
 
 
+def test_spelling_pairs_are_not_broadcast(spark):
+    """Words in a small file have a dozen spots each: Spark's estimate, by the file, is no ground to send them to the driver."""
+    words = spark.createDataFrame([("lettre", 5), ("letter", 9)], "word string, n long")
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    plan = spelling.near_pairs(words)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+
 def test_first_meeting_is_the_only_one(spark):
     """Words that meet in all bands and both halves are one pair, however many."""
     words = spark.createDataFrame([(w, 1) for w in ("abcdefgh", "abcdefgi", "abcdefg", "bbcdefgh", "abcdeffgh", "zzzzzzzz")], "word string, n long")
