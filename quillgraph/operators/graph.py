@@ -53,11 +53,12 @@ def execute(frontier: DataFrame, edges: DataFrame, directed: bool = False) -> Da
 
 def actions(edges: DataFrame, limit: int = 15, key: Column | None = None, directed: bool = False) -> DataFrame:
     """At most ``limit`` distinct (relation, neighbour) actions of each node, in the order of
-    ``key``, by default a hash, so that a choice among many is the same in every run."""
-    out = neighbours(edges, directed).distinct()
+    ``key``, by default a hash, so that a choice among many is the same in every run. Equal actions
+    have one dense rank, so what is beyond the limit goes before anything is compared or shuffled."""
+    out = neighbours(edges, directed)
     order = key if key is not None else F.xxhash64("node", "relation", "neighbour")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(order, "relation", "neighbour"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= limit)
+    rank = F.dense_rank().over(Window.partitionBy("node").orderBy(order, "relation", "neighbour"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= limit).distinct()
 
 
 def context(edges: DataFrame, directed: bool = False) -> DataFrame:

@@ -144,9 +144,11 @@ def label(edge_table: DataFrame, relations: DataFrame) -> DataFrame:
     return edge_table.join(F.broadcast(relations), "edge_type", "left")
 
 
-def clean_triples(edge_table: DataFrame) -> DataFrame:
-    """Distinct triples with a template: what the knowledge graph is built from."""
-    return edge_table.where(F.col("template").isNotNull()).dropDuplicates()
+def clean_triples(edge_table: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Distinct triples with a template: what the knowledge graph is built from. ``columns``, if not all, are
+    chosen before rows are compared, so that templates need not be held beside each triple."""
+    known = edge_table.where(F.col("template").isNotNull())
+    return (known.select(*columns) if columns else known).dropDuplicates()
 
 
 def fact(template: Column, source: Column) -> Column:

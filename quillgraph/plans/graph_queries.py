@@ -46,9 +46,9 @@ def q_edge_verbalize(spark, sf_dir):
 @query(f"WITH {EDGES_SQL} SELECT DISTINCT source, edge_type, target FROM (SELECT * FROM edges UNION ALL SELECT * FROM edges) WHERE edge_type <> 'LOCATEDIN_ClN'")
 def q_edge_dedup(spark, sf_dir):
     """Concatenated tables of triples, each triple with a template once."""
-    e = kg.edges(spark, sf_dir)
+    e = kg.links(spark, sf_dir)
     rows = ingest.label(e.unionByName(e), ingest.relation_table(spark, kg.TEMPLATES))
-    return ingest.clean_triples(rows.select("source", "edge_type", "target", "template")).drop("template")
+    return ingest.clean_triples(rows.select("source", "edge_type", "target", "template"), ["source", "edge_type", "target"])
 
 
 @query("SELECT DISTINCT c_mktsegment AS seed FROM customer WHERE c_mktsegment IS NOT NULL")
@@ -219,7 +219,7 @@ def q_se_2d_greedy(spark, sf_dir):
 
 @query(f"WITH {EDGES_SQL}, {BOTH_SQL.format('edges')} SELECT DISTINCT node, relation FROM near")
 def q_relations(spark, sf_dir):
-    return graph.relations(kg.edges(spark, sf_dir))
+    return graph.relations(kg.links(spark, sf_dir))
 
 
 @query(f"WITH {EDGES_SQL}, {BOTH_SQL.format('edges')} SELECT * FROM near")
@@ -235,7 +235,7 @@ SELECT node, relation, neighbour, CAST(rank AS INTEGER) AS rank FROM r WHERE ran
 def q_actions_top15(spark, sf_dir):
     """At most 15 actions for each node, chosen by an arithmetic key."""
     key = (F.substring("neighbour", 2, 100).cast("long") * 7919) % 10007
-    return graph.actions(kg.edges(spark, sf_dir), 15, key)
+    return graph.actions(kg.links(spark, sf_dir), 15, key)
 
 
 @query(f"""

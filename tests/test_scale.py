@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import models, tables
 from quillgraph.operators import balls, graph, ingest, quantiles, retrieval, sft
+from quillgraph.plans import catalogue
 from quillgraph.sources import files
 from quillgraph.tables import meet, paged
 
@@ -220,3 +221,13 @@ def test_paths_across_a_hub(spark, monkeypatch):
     assert all(len(p) == 2 * n + 1 and p[0] == s and p[-1] == t and all(away[a][b] == 1 for a, b in zip(p[::2], p[2::2])) for (s, t), (n, p) in got.items())
     assert got["a1", "A"][1] == ["a1", "E", "A"] and got["a7", "B"][1] == ["a7", "E", "A", "E", "T", "E", "B"] or got["a7", "B"][1] == ["a7", "E", "A", "E", "a0", "E", "B"]
     assert max(written) < 600
+
+
+def test_triples_taken_once_make_no_sums(spark):
+    """Queries of distinct triples neither sum weights nor compare templates, and few actions of a node are shuffled."""
+    plan = lambda name: catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not any("sum(" in plan(q) for q in ("q_relations", "q_edge_dedup", "q_actions_top15"))
+    assert "template" not in plan("q_edge_dedup").split("HashAggregate(keys=")[1].split("]")[0]
+    assert "WindowGroupLimit" in plan("q_actions_top15").split("Exchange")[-1]
+    edges = spark.createDataFrame([("a", "r", t, 1.0) for t in "bbbcd"], "source string, edge_type string, target string, weight double")
+    assert sorted((r.neighbour, r["rank"]) for r in graph.actions(edges, 2, F.col("neighbour")).where("node = 'a'").collect()) == [("b", 1), ("c", 2)]
