@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.functions.extract import extract, extract_decision, with_options
+from quillgraph.functions.extract import extract_by, with_options
 
 # The options of each benchmark family, tried in this order on a benchmark's name.
 ROUTES = (("pubmedqa", None), ("mmlu", "a-dA-D"), ("medmcqa", "a-dA-D"), ("medqa", "a-dA-D"), ("medexpqa", "a-eA-E"), ("usmle", "a-jA-J"))
@@ -24,14 +24,10 @@ def predict(items: DataFrame, responses: DataFrame) -> DataFrame:
     """Joins (item_id, benchmark, prompt, answer) and (item_id, output) and adds extracted:
     the option found in the output, or else in the output with options' texts named."""
     rows = items.join(responses, "item_id", "left").withColumn("family", route(F.col("benchmark")))
-    first, again = F.lit(None).cast("string"), F.lit(None).cast("string")
     named = with_options(F.col("prompt"), F.col("output"))
-    for name, options in reversed(ROUTES):
-        read = (lambda c: extract_decision(c)) if options is None else (lambda c, o=options: extract(c, o))
-        first = F.when(F.col("family") == name, read(F.when(F.col("family") == name, F.col("output")))).otherwise(first)
-        if options is not None:
-            again = F.when(F.col("family") == name, read(F.when(F.col("family") == name, F.col("_named")))).otherwise(again)
-    rows = rows.withColumn("_first", first).withColumn("_named", F.when(F.col("_first").isNull(), named))
+    rows = rows.withColumn("_first", extract_by(F.col("output"), F.col("family"), dict(ROUTES)))
+    rows = rows.withColumn("_named", F.when(F.col("_first").isNull(), named))
+    again = extract_by(F.col("_named"), F.col("family"), {name: options for name, options in ROUTES if options is not None})
     return rows.withColumn("extracted", F.coalesce("_first", again)).drop("_first", "_named")
 
 

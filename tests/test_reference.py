@@ -182,6 +182,7 @@ def test_evaluation(spark):
     assert {r.item_id: r.extracted for r in got.collect()} == {1: "B", 2: "A", 3: "F", 4: None}
     r = one(evaluate.accuracy(got))
     assert (r.total, r.invalid, r.accuracy) == (4, 1, 0.75)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 2  # a reader is a process for each task
 
 
 # ---- prompts
