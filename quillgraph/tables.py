@@ -6,10 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Into so many parts a key's rows are dealt when they meet the key's few rows in a table.
 SALTS = 16
@@ -58,23 +62,63 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Bits of a row's place in monotonically_increasing_id; above them is its partition.
+PLACE_BITS = 33
+
+
 def places(df: DataFrame, order: list[Column], place: str = "place", size: Column | None = None) -> DataFrame:
     """Adds each row's place (from 0) in ``order``, or with ``size`` the sum of the sizes before it.
 
     The sorted rows are written once, as a sort that runs again may cut its
-    partitions elsewhere. Sums are taken within the sort's partitions; only
+    partitions elsewhere. Sums are taken as the sort's partitions go by, so no row is shuffled again; only
     one sum for each of these comes to the driver and goes out again.
     """
     spark = df.sparkSession
-    rows = df.withColumn("_size", F.lit(1).cast("long") if size is None else F.coalesce(size.cast("long"), F.lit(0).cast("long")))
-    rows = Scratch(spark).keep(rows.sort(*order).withColumn("_m", F.monotonically_increasing_id()), "sorted").withColumn("_p", F.shiftright("_m", 33))
+    rows = df.sort(*order) if size is None else df.withColumn("_size", F.coalesce(size.cast("long"), F.lit(0).cast("long"))).sort(*order)
+    rows = rows.withColumn("_m", F.monotonically_increasing_id())
+    if size is not None:
+        rows = rows.mapInArrow(_sums_before, StructType([*rows.schema.fields, StructField("_b", LongType())]))
+    rows = Scratch(spark).keep(rows, "sorted").withColumn("_p", F.shiftright("_m", PLACE_BITS))
     total, offsets = 0, []
-    for r in sorted(rows.groupBy("_p").agg(F.sum("_size").alias("s")).collect(), key=lambda r: r["_p"]):
+    for r in sorted(rows.groupBy("_p").agg((F.count("*") if size is None else F.sum("_size")).alias("s")).collect(), key=lambda r: r["_p"]):
         offsets.append((r["_p"], total))
         total += r["s"]
     known = F.broadcast(spark.createDataFrame(offsets, "_p long, _o long"))
-    before = F.coalesce(F.sum("_size").over(Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("_b", before).join(known, "_p").withColumn(place, F.col("_o") + F.col("_b")).drop("_p", "_o", "_b", "_m", "_size")
+    before = _in_partition() if size is None else F.col("_b")
+    return rows.join(known, "_p").withColumn(place, F.col("_o") + before).drop("_p", "_o", "_b", "_m", "_size")
+
+
+def _in_partition() -> Column:
+    return F.col("_m").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+
+
+def _sums_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to a partition's rows the sum of _size before each."""
+    total = 0
+    for batch in batches:
+        size = batch.column("_size").to_numpy(zero_copy_only=False)
+        ends = total + np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else total
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - size, pa.int64())], names=[*batch.schema.names, "_b"])
+
+
+def _starts(key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds to a partition's rows, which stand together by ``key``, the place in it where their key's rows begin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, start, last = 0, 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs = pc.run_end_encode(pc.cast(batch.column(key), pa.string()))
+            ends, values = runs.run_ends.to_numpy(), runs.values
+            begins = np.concatenate(([0], ends[:-1])) + at
+            if at and values[0].as_py() == last:
+                begins[0] = start
+            at, start, last = at + batch.num_rows, int(begins[-1]), values[-1].as_py()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.repeat(begins, np.diff(ends, prepend=0)), pa.int64())], names=[*batch.schema.names, "_start"])
+
+    return run
 
 
 def meet(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,13 +132,24 @@ def meet(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
 def paged(df: DataFrame, key: str, order: list[str], size: int, page: str = "page") -> DataFrame:
     """Adds each row's page: its place in ``order`` among the rows of its key, ``size`` to a page, from 0.
 
-    Rows are sorted over all keys at once (``places``), so a key with many rows is spread over the
-    sort's partitions by what follows it in the order; a key's first place is subtracted by
-    ``meet``. Null keys are a key.
+    Rows are sorted over all keys at once and written, so a key with many rows is spread over the
+    sort's partitions by what follows it in the order. Where a key begins in a partition is told as the rows go by; for
+    a partition's first key, which an earlier one may have begun, it goes by the driver with the partitions'
+    sizes, so the rows are shuffled by nothing but the sort. Null keys are a key.
     """
-    named = df.withColumn("_nokey", F.col(key).isNull())
-    placed = places(named, [F.col("_nokey"), F.col(key), *map(F.col, order)], "_place")
-    text = placed.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit("")))
-    first = text.groupBy("_nokey", "_key").agg(F.min("_place").alias("_first"))
-    out = meet(text, first, ["_nokey", "_key"])
-    return out.withColumn(page, F.floor((F.col("_place") - F.col("_first")) / size).cast("int")).select(*df.columns, page)
+    spark = df.sparkSession
+    rows = df.sort(F.col(key).isNull(), F.col(key), *map(F.col, order)).withColumn("_m", F.monotonically_increasing_id())
+    rows = rows.mapInArrow(_starts(key), StructType([*rows.schema.fields, StructField("_start", LongType())]))
+    rows = Scratch(spark).keep(rows, "sorted").withColumn("_p", F.shiftright("_m", PLACE_BITS))
+    name = F.col(key).cast("string")
+    ends = rows.groupBy("_p").agg(F.count("*").alias("n"), F.min_by(name, "_m").alias("first"), F.max_by(name, "_m").alias("last"), F.max("_start").alias("start"))
+    total, begun, last, offsets = 0, 0, None, []
+    for r in sorted(ends.collect(), key=lambda r: r["_p"]):
+        first = begun if offsets and r["first"] == last else total
+        offsets.append((r["_p"], total, first))
+        begun, last = total + r["start"] if r["start"] else first, r["last"]
+        total += r["n"]
+    known = F.broadcast(spark.createDataFrame(offsets, "_p long, _o long, _f long"))
+    first = F.when(F.col("_start") == 0, F.col("_f")).otherwise(F.col("_o") + F.col("_start"))
+    out = rows.join(known, "_p")
+    return out.withColumn(page, F.floor((F.col("_o") + _in_partition() - first) / size).cast("int")).select(*df.columns, page)

@@ -11,7 +11,7 @@ from quillgraph import models, tables
 from quillgraph.operators import balls, graph, ingest, quantiles, retrieval, sft
 from quillgraph.plans import catalogue
 from quillgraph.sources import files
-from quillgraph.tables import meet, paged
+from quillgraph.tables import meet, paged, places
 
 
 def clustered(seed, clusters, each, dims=8):
@@ -231,3 +231,31 @@ def test_triples_taken_once_make_no_sums(spark):
     assert "WindowGroupLimit" in plan("q_actions_top15").split("Exchange")[-1]
     edges = spark.createDataFrame([("a", "r", t, 1.0) for t in "bbbcd"], "source string, edge_type string, target string, weight double")
     assert sorted((r.neighbour, r["rank"]) for r in graph.actions(edges, 2, F.col("neighbour")).where("node = 'a'").collect()) == [("b", 1), ("c", 2)]
+
+
+@pytest.fixture
+def five_parts(spark):
+    """Five partitions in every sort, however small, and no join by broadcast but by hint."""
+    own = {"spark.sql.shuffle.partitions": "5", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_pages_and_places_shuffle_by_nothing_but_the_sort(five_parts):
+    """Keys that begin in one partition of the sort and end in another; no second shuffle of the rows."""
+    rng = random.Random(8)
+    rows = [(k, i) for k, n in ((None, 300), ("", 1), ("a", 900), ("b", 2), ("c", 1500), ("d", 1), ("e", 40)) for i in range(n)]
+    rng.shuffle(rows)
+    df = five_parts.createDataFrame(rows, "k string, v int")
+    out, placed = paged(df, "k", ["v"], 7), places(df, [F.col("k").isNull(), F.col("k"), F.col("v")])
+    sums = places(df, [F.col("k").isNull(), F.col("k"), F.col("v")], size=F.col("v"))
+    for plan in (out, placed, sums):
+        assert "hashpartitioning" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert {(r.k, r.v): r.page for r in out.collect()} == {(k, v): v // 7 for k, v in rows}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1]))
+    assert {(r.k, r.v): r.place for r in placed.collect()} == {r: i for i, r in enumerate(order)}
+    assert {(r.k, r.v): r.place for r in sums.collect()} == {r: sum(v for _, v in order[:i]) for i, r in enumerate(order)}
