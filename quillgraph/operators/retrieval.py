@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from quillgraph.functions.arrays import cosine
 from quillgraph.operators import balls, quantiles
-from quillgraph.tables import meet
+from quillgraph.tables import Scratch, meet
 
 # The retrieval budget and the chunks of the vector store.
 CONTEXT_VOLUME, PERCENTILE, MIN_SIMILARITY = 150, 75, 0.5
@@ -131,6 +131,7 @@ def retrieve(questions: DataFrame, entities: DataFrame, store: DataFrame, contex
     parts = sentences(nodes.join(one, "node_name"), "node_context").withColumn("sentence_no", F.shiftleft("page", 32) + F.col("sentence_no"))
     parts = parts.withColumn("s", embed(F.col("sentence"))).join(asked, "question_id")
     scored = parts.select(F.concat_ws("\x1f", "question_id", "node_name").alias("key"), "question_id", "node_name", "sentence", F.col("sentence_no").alias("position"), cosine(F.col("q"), F.col("s")).alias("similarity"))
+    scored = Scratch(scored.sparkSession).keep(scored, "scored")  # the bars and what passes them are read from it: a sentence is embedded once
     kept = prune(scored, "key").join(share, "question_id").where(F.col("rank") <= F.col("share"))
     order = F.transform(F.sort_array(F.collect_list(F.struct("node_name", "rank", "sentence"))), lambda p: p["sentence"])
     return kept.groupBy("question_id").agg(F.concat(F.array_join(order, ". "), F.lit(". ")).alias("context"))
