@@ -149,6 +149,16 @@ def shingles(data: bytes, words: int = 5) -> list[int]:
     return np.unique(np.array([xxh64_intdigest(joined[a:b], 11) for a, b in _spans(parts, words)], np.uint64).view(np.int64)).tolist()
 
 
+#: Bits of the parities of a text's shingles: two texts' parities differ in no more bits than their sets differ in shingles.
+PARITIES = 1024
+
+
+def parities(hashes: list[int]) -> list[int]:
+    """For each of PARITIES values of a hash, whether an odd number of shingles has it; as signed longs."""
+    counts = np.bincount(np.array(hashes, np.int64) & (PARITIES - 1), minlength=PARITIES)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64).tolist()
+
+
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: tuple[int, int] = (4, 5), width: int = 2, bits: int | None = None) -> DataFrame:
     """(id, component): the smallest id reachable over links between texts whose sets of ``words``-word
     shingles have a Jaccard similarity of at least ``least`` (a fraction).
@@ -158,8 +168,9 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     differ in at most two bits of one of them meet (in the middle, as in ``links``). All that meet at a value or have one hash are first
     compared with the least there: by all their sketches' bits, of which a quarter may differ, and
     what is left by their shingles, exactly; only then they link. What does not link with the least one is
-    compared with all that it meets and that is not in one component with it by then (``_others``), so a group of near copies makes
-    no more pairs than it has members, and no link between texts that meet is lost. No text below the similarity links, and of those above
+    compared with all that it meets, that is not in one component with it by then (``_others``) and that shares one of its rarest shingles, as texts of
+    that similarity do (``_sharing``). So neither a group of near copies nor one of texts just too far apart makes pairs
+    with its square, and no link between texts that meet is lost. No text below the similarity links, and of those above
     it nearly all meet: see README for measurements.
 
     Rows with the same words are one text whatever their number, by 128 bits of hash; null, empty and blank texts
@@ -194,15 +205,17 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     met = scratch.keep(met.select("value", "fp", "least", "a"), "met")
     near = met.where("a < least").select("a", F.col("least").alias("b"))
     of = lambda side: classes.select(F.col("own").alias(side), F.col("sketch").alias(f"of_{side}"))
-    apart = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    alike = lambda pairs: pairs.join(of("a"), "a").join(of("b"), "b").where(4 * apart <= bits * tables).select("a", "b")
-    judged = lambda pairs: _similar(pairs, _sets(texts, _ends(pairs).distinct().join(classes.select("own", "h1", "h2"), "own"), words, scratch), least)
-    close = scratch.keep(alike(same.select("a", "b").unionAll(near).distinct()), "pairs")
-    linked = scratch.keep(judged(close), "links")
-    more = _others(same, met, parts, classes, linked, scratch)
-    if more is not None:
-        more = scratch.keep(alike(more), "pairs")
-        linked = linked.unionAll(judged(more))
+    differ = F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(differ, F.lit(0), lambda s, x: s + x)
+    alike = lambda pairs: pairs.join(of("a"), "a").join(of("b"), "b").where(4 * apart <= bits * tables)
+    wanted = lambda pairs: _ends(pairs).distinct().join(classes.select("own", "h1", "h2"), "own")
+    close = scratch.keep(alike(same.select("a", "b").unionAll(near).distinct()).select("a", "b"), "pairs")
+    linked = scratch.keep(_similar(close, _sets(texts, wanted(close), words, scratch), least), "links")
+    others = _others(same, met, parts, classes, linked, scratch)
+    if others is not None:
+        sets = _sets(texts, others.select("own", "h1", "h2"), words, scratch)
+        more = alike(_sharing(others, sets, least, scratch)).where(F.array_min(differ) <= 2).select("a", "b")
+        linked = linked.unionAll(_similar(scratch.keep(more, "pairs"), sets, least))
     found = components(linked, scratch)
     group = scratch.keep(classes.join(found, classes.own == found.node, "left").select("h1", "h2", "own", "first", "n", F.coalesce("component", "own").alias("root")), "groups")
     best = group.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("size"))
@@ -215,31 +228,51 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _others(same: DataFrame, met: DataFrame, parts: DataFrame, classes: DataFrame, linked: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """The pairs (a, b) that links to the least ones leave open: a text that does not link with the least of its hash,
-    and all texts of a hash whose least does not link with the least at a value, with all that meet
-    them there and are not in one component with them already. None if there are no such texts."""
+    """The texts (own, h1, h2, root, asks) that links to the least ones leave open: a text that does not link with the least of its hash,
+    and all texts of a hash whose least does not link with the least at a value, ask; those that
+    meet them there may answer; root is the component that a text has already. None if no text asks."""
     own = ["a", "b"]
-    lone = same.join(linked, own, "left_anti").select("fp", F.col("b").alias("x"))
-    apart = met.where("a < least").withColumnRenamed("least", "b").join(linked, own, "left_anti").select("value", "fp")
-    lone, apart = scratch.keep(lone, "outliers"), scratch.keep(apart, "outliers")
+    lone = scratch.keep(same.join(linked, own, "left_anti").select("fp", F.col("b").alias("own")), "outliers")
+    apart = scratch.keep(met.where("a < least").withColumnRenamed("least", "b").join(linked, own, "left_anti").select("value", "fp"), "outliers")
     if lone.isEmpty() and apart.isEmpty():
         return None
     found = components(linked, scratch)
-    part = classes.select("own").join(found, F.col("own") == F.col("node"), "left").select("own", F.coalesce("component", "own").alias("root"))
-    members = scratch.keep(parts.join(part, "own"), "members")
-    asked = apart.join(members, "fp").select("value", F.col("own").alias("x"), F.col("root").alias("rx"))
-    alone = lone.join(part.withColumnRenamed("own", "x"), "x").withColumnRenamed("root", "rx")
-    asked = asked.unionAll(alone.join(met.select("value", "fp"), "fp").select("value", "x", "rx")).distinct()
-    at = met.select("value", "fp").join(asked.select("value").distinct(), "value", "left_semi").join(members, "fp").select("value", F.col("own").alias("y"), F.col("root").alias("ry"))
-    differ = (F.col("rx") != F.col("ry")) & (F.col("x") != F.col("y"))
-    pairs = asked.alias("p").join(at.alias("q"), (F.col("p.value") == F.col("q.value")) & differ).select("x", "y")
-    hash_ = members.select(F.col("fp").alias("f"), F.col("own").alias("y"), F.col("root").alias("ry"))
-    pairs = pairs.unionAll(alone.join(hash_, (F.col("fp") == F.col("f")) & differ).select("x", "y"))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    of = lambda fps: parts.join(fps.distinct(), "fp", "left_semi").select("own")
+    asking = of(apart.select("fp")).unionAll(lone.select("own")).distinct().withColumn("asks", F.lit(True))
+    where = apart.select("value").unionAll(met.join(lone.select("fp").distinct(), "fp", "left_semi").select("value")).distinct()
+    there = of(met.join(where, "value", "left_semi").select("fp").unionAll(lone.select("fp"))).distinct()
+    texts = there.join(asking, "own", "left").join(classes.select("own", "h1", "h2"), "own").join(found, F.col("own") == F.col("node"), "left")
+    return scratch.keep(texts.select("own", "h1", "h2", F.coalesce("component", "own").alias("root"), F.coalesce("asks", F.lit(False)).alias("asks")), "open")
+
+
+def _sharing(texts: DataFrame, sets: DataFrame, least: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of a text that asks and one that may answer, not in one component, that share one of their rarest shingles.
+
+    With all shingles in one order, two sets of that similarity share one of the first n - ceil(n * similarity) + 1 of
+    either, n being its size, and differ in at most a share (1 - similarity) / (1 + similarity) of both sizes, so no link is lost. The order is by the number of these texts that hold a shingle: what
+    only one holds comes first and meets nothing, so texts that differ too much make few pairs, and where a shingle is held by many of them, the parities of all their
+    shingles tell them apart within the join, before a row is made.
+    """
+    n, (p, q) = F.size("shingles"), least
+    held = sets.select("own", n.alias("n"), F.explode("shingles").alias("shingle"))
+    counts = scratch.keep(held.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1"), "held")
+    total = sets.agg(F.coalesce(F.sum(n.cast("long")), F.lit(0))).first()[0]
+    ranked = lookup(held, counts.withColumn("copies", F.col("held")), ["shingle"], "copies", total, F.xxhash64("own"))
+    place = F.row_number().over(Window.partitionBy("own").orderBy(F.coalesce("held", F.lit(1)), "shingle"))
+    first = ranked.withColumn("place", place).where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * p / q) + 1) & F.col("held").isNotNull())
+    first = first.select("own", "n", "shingle").join(texts.select("own", "root", "asks"), "own").join(sets.select("own", "parity"), "own")
+    first = scratch.keep(first, "rarest")
+    x, y = first.where("asks").alias("x"), first.alias("y")
+    both = F.col("x.n") + F.col("y.n")
+    apart = sum((F.bit_count(F.get("x.parity", i).bitwiseXOR(F.get("y.parity", i))) for i in range(1, PARITIES // 64)), F.bit_count(F.get("x.parity", 0).bitwiseXOR(F.get("y.parity", 0))))
+    once = ~F.col("y.asks") | (F.col("x.own") < F.col("y.own"))
+    size = F.least("x.n", "y.n") * q >= F.greatest("x.n", "y.n") * p
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & once & size & (apart * (p + q) <= both * (q - p)))
+    return pairs.select(F.least("x.own", "y.own").alias("a"), F.greatest("x.own", "y.own").alias("b")).distinct()
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, words: int, scratch: Scratch) -> DataFrame:
-    """(own, shingles) of the texts that are wanted (own, h1, h2), written. A bitmap of fixed size says in the task
+    """(own, shingles, parity) of the texts that are wanted (own, h1, h2), written. A bitmap of fixed size says in the task
     which texts may be, so that no others are hashed or shuffled."""
     wanted = scratch.keep(wanted, "wanted")
     blocks = suffixes._bitmap(wanted.select(F.col("h1").alias("row"))).toArrow()  # at most 128 rows of 64 KB
@@ -258,10 +291,10 @@ def _sets(texts: DataFrame, wanted: DataFrame, words: int, scratch: Scratch) ->
                 if key not in out and bitmap[(key[0] & mask) >> 6] >> (key[0] & 63) & 1:
                     out[key] = shingles(data, words)
             names = np.array(list(out), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(list(out.values()), pa.list_(pa.int64()))], names=["h1", "h2", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(list(out.values()), pa.list_(pa.int64())), pa.array(list(map(parities, out.values())), pa.list_(pa.int64()))], names=["h1", "h2", "shingles", "parity"])
 
-    found = texts.select("text").mapInArrow(hashed, "h1 long, h2 long, shingles array<long>")
-    return scratch.keep(found.join(wanted.hint("shuffle_hash"), ["h1", "h2"]).groupBy("own").agg(F.first("shingles").alias("shingles")), "shingles")
+    found = texts.select("text").mapInArrow(hashed, "h1 long, h2 long, shingles array<long>, parity array<long>")
+    return scratch.keep(found.join(wanted.hint("shuffle_hash"), ["h1", "h2"]).groupBy("own").agg(F.first("shingles").alias("shingles"), F.first("parity").alias("parity")), "shingles")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:

@@ -209,8 +209,7 @@ def kernels(words: list[str], marks: tuple[Space, np.ndarray]) -> np.ndarray:
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 60) -> np.ndarray:
-    """Weights (the last is the bias) of a squared-hinge SVM by Newton steps; y is -1 or 1."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    """Weights (the last is the bias, whose column of ones is part of x) of a squared-hinge SVM by Newton steps; y is -1 or 1."""
     w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
     loss = lambda v: v @ ridge @ v / 2 + cost @ np.maximum(0, 1 - y * (x @ v)) ** 2 / 2
@@ -301,7 +300,10 @@ def fit(labelled: list[tuple[str, int]], *, clean_weight: float = 1.0, landmarks
         put_in = [gapped(w, rng) for w in learnt(words) for _ in range(2)]
         weight = np.array([min(20.0, told[w]) for w in words])
         cost = np.concatenate([weight, 0.3 * np.repeat(weight, 2), [3 * min(20.0, 1.0 + clean[w]) for w in others]])
-        x = kernels(learnt(words) + put_in + learnt(others), at_marks) @ root
+        rows = learnt(words) + put_in + learnt(others)
+        x = np.ones((len(rows), root.shape[1] + 1))
+        for at in range(0, len(rows), 2000):  # one copy of all rows, as it is the driver's memory
+            x[at : at + 2000, :-1] = kernels(rows[at : at + 2000], at_marks) @ root
         solved = svm(x, np.repeat([1.0, -1.0], [len(words) + len(put_in), len(others)]), 10 * cost)
         model = Model(at_marks[1].T @ (root @ solved[:-1]), float(solved[-1]), 1.0, 0.0, at_marks[0])
         read |= model.telling(long_words)

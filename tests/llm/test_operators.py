@@ -548,6 +548,25 @@ def test_outliers_of_equal_hashes_meet_all_others(spark, monkeypatch):
     assert got == {i: i // 10 * 10 for i, _, _ in rows}
 
 
+def test_texts_just_too_far_apart_make_few_pairs(spark, monkeypatch):
+    """Texts of one hash that differ in words of a small choice do not all meet one another, and those that link still do."""
+    counted, similar = [], simhash._similar
+    monkeypatch.setattr(simhash, "sketch", lambda data, width, tables, bits: [0] * tables)
+    monkeypatch.setattr(simhash, "_similar", lambda pairs, sets, least: counted.append(pairs.count()) or similar(pairs, sets, least))
+    rng = random.Random(11)
+    base, choice, texts = noise(rng, 100).split(), noise(rng, 4).split(), []
+    for _ in range(60):
+        own = list(base)
+        for at in rng.sample(range(100), 7):
+            own[at] = rng.choice(choice)
+        texts += [own, [*own[:-1], "end"]] if len(texts) % 20 == 10 else [own]
+    rows = [(i, " ".join(t), "a") for i, t in enumerate(texts)]
+    want = brute_near([t for _, t, _ in rows])
+    got = {r.id: r.component for r in simhash.near_copies(documents(spark, rows, clash=False), bits=32).collect()}
+    assert got == {i: want.index(g) for i, g in enumerate(want)} and len(set(want)) < len(want)
+    assert sum(counted) < 3 * len(rows)
+
+
 def test_sketches_and_tables():
     rng = random.Random(1)
     words = [w.encode() for w in noise(rng, 40).split()]
