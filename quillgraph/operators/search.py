@@ -24,20 +24,35 @@ TREE = "seed string, id int, parent int, depth int, subject string, relation str
 STEP = "struct<subject: string, relation: string, object: string, value: double, visits: int>"
 
 
-def neighbourhoods(edges: DataFrame, seeds: DataFrame, max_depth: int = 5, width: int = 15) -> DataFrame:
+def neighbourhoods(edges: DataFrame, seeds: DataFrame, max_depth: int = 5, width: int = 15, written: bool = False) -> DataFrame:
     """(seed, node, actions): what the search from each seed can open, and where each action leads with what
     is gained there. Nodes at the last level but one are the last that are opened, so those at the last are
-    no rows of their own."""
+    no rows of their own.
+
+    Actions are ranked a level at a time, only for nodes that a search may open, and gains are worked out for what these lead to, so nothing but
+    the passes over the edges grows with the graph. The edges are written for that, unless they are ``written`` already, or are as cheap to read again.
+    """
     scratch = Scratch(edges.sparkSession)
-    edges = scratch.keep(edges, "edges")
-    gain = node_entropy(edges).select(F.col("node").alias("neighbour"), "information")
-    allowed = scratch.keep(actions(edges, width).join(gain, "neighbour").select("node", "rank", "relation", "neighbour", "information"), "actions")
+    edges = edges if written else scratch.keep(edges, "edges")
+    new = opened = scratch.keep(seeds.select(F.col("seed").alias("node")).distinct(), "level")
+    levels = []
+    for level in range(max(1, max_depth - 1)):
+        levels.append(scratch.keep(actions(edges, width, nodes=new).select("node", "rank", "relation", "neighbour"), "actions"))
+        if level < max_depth - 2:
+            new = scratch.keep(levels[-1].select(F.col("neighbour").alias("node")).distinct().join(opened, "node", "left_anti"), "level")
+            opened = opened.unionAll(new)
+    chosen = levels[0]
+    for other in levels[1:]:
+        chosen = chosen.unionAll(other)
+    led = scratch.keep(chosen.select(F.col("neighbour").alias("node")).distinct(), "led")
+    gain = node_entropy(edges, nodes=led).select(F.col("node").alias("neighbour"), "information")
+    allowed = scratch.keep(chosen.join(gain, "neighbour").select("node", "rank", "relation", "neighbour", "information"), "actions")
     acts = allowed.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "relation", "neighbour", "information"))), lambda a: F.struct(a["relation"].alias("relation"), a["neighbour"].alias("neighbour"), a["information"].alias("information"))).alias("actions"))
-    chosen = allowed.select(F.col("node").alias("source"), F.col("relation").alias("edge_type"), F.col("neighbour").alias("target"), F.lit(1.0).alias("weight"))
-    return k_hop(chosen, seeds, max_depth - 2, directed=True).select("seed", "node").join(acts, "node")
+    steps = allowed.select(F.col("node").alias("source"), F.col("relation").alias("edge_type"), F.col("neighbour").alias("target"), F.lit(1.0).alias("weight"))
+    return k_hop(steps, seeds, max_depth - 2, directed=True).select("seed", "node").join(acts, "node")
 
 
-def tree(edges: DataFrame, seeds: DataFrame, simulations: int = 100, max_depth: int = 5, width: int = 15, c_puct: float = 2.5, seed: int = 42) -> DataFrame:
+def tree(edges: DataFrame, seeds: DataFrame, simulations: int = 100, max_depth: int = 5, width: int = 15, c_puct: float = 2.5, seed: int = 42, written: bool = False) -> DataFrame:
     """The search trees: (seed, id, parent, depth, subject, relation, state, visits, value);
     subject is the parent's state.
 
@@ -45,7 +60,7 @@ def tree(edges: DataFrame, seeds: DataFrame, simulations: int = 100, max_depth:
     (visits + 1), ties to the first child, opens a leaf with its actions, goes on to one
     at random, and adds that node's self-information to all nodes on its way. A
     tree has at most simulations * width nodes. Randomness is seeded by the seed's
-    name, so runs agree. Seeds without edges have no tree.
+    name, so runs agree. Seeds without edges have no tree. ``written``: as for ``neighbourhoods``.
     """
 
     def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -74,7 +89,7 @@ def tree(edges: DataFrame, seeds: DataFrame, simulations: int = 100, max_depth:
                 value[node] += gain
         return pd.DataFrame({"seed": name, "id": range(len(state)), "parent": [None if p < 0 else p for p in parent], "depth": depth, "subject": [None if p < 0 else state[p] for p in parent], "relation": relation, "state": state, "visits": visits, "value": value})
 
-    return neighbourhoods(edges, seeds, max_depth, width).groupBy("seed").applyInPandas(grow, TREE)
+    return neighbourhoods(edges, seeds, max_depth, width, written).groupBy("seed").applyInPandas(grow, TREE)
 
 
 _PATHS = """

@@ -259,3 +259,18 @@ def test_pages_and_places_shuffle_by_nothing_but_the_sort(five_parts):
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1]))
     assert {(r.k, r.v): r.place for r in placed.collect()} == {r: i for i, r in enumerate(order)}
     assert {(r.k, r.v): r.place for r in sums.collect()} == {r: sum(v for _, v in order[:i]) for i, r in enumerate(order)}
+
+
+def test_only_what_a_search_can_open_is_ranked(spark, monkeypatch):
+    """Actions are ranked for nodes within reach of the seeds, whatever else the graph holds."""
+    from quillgraph.operators import search
+
+    ranked, actions = [], search.actions
+    monkeypatch.setattr(search, "actions", lambda *a, **k: ranked.append(actions(*a, **k)) or ranked[-1])
+    rows = [("a", "r", "b", 1.0), ("b", "r", "c", 2.0), ("c", "r", "d", 1.0), ("d", "r", "e", 1.0), ("e", "r", "f", 1.0)]
+    rows += [(f"x{i}", "r", f"y{i}", 1.0) for i in range(20)]
+    edges = spark.createDataFrame(rows, "source string, edge_type string, target string, weight double")
+    seeds = spark.createDataFrame([("a",)], "seed string")
+    near = {r.node: [x.neighbour for x in r.actions] for r in search.neighbourhoods(edges, seeds, max_depth=5).collect()}
+    assert {n: sorted(x) for n, x in near.items()} == {"a": ["b"], "b": ["a", "c"], "c": ["b", "d"], "d": ["c", "e"]}
+    assert {r.node for df in ranked for r in df.select("node").collect()} == set("abcd")
