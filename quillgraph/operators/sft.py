@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgraph.functions.arrays import last, pad_left, pad_right
-from quillgraph.tables import places
+from quillgraph.tables import places, strung
 
 
 def first_paragraph(text: Column) -> Column:
@@ -159,22 +159,32 @@ def blend(sources: dict[str, DataFrame], seed: int = 42) -> DataFrame:
     return out.withColumn("shuffle_key", F.xxhash64(F.lit(seed), F.struct(*out.columns)))
 
 
-def pack(df: DataFrame, key: str, tokens: str, block: int) -> DataFrame:
-    """(block_no, tokens): all tokens, in order of ``key``, cut into blocks; a last part of a block is
+#: Blocks' worth of tokens that rows are strung together to before they are cut.
+STRUNG = 64
+
+
+def pack(df: DataFrame, key: str, tokens: str | Column, block: int) -> DataFrame:
+    """(block_no, tokens): all tokens, a column of arrays, in order of ``key``, cut into blocks; a last part of a block is
     dropped unless it is all there is.
 
-    A row's place among all tokens says which blocks it reaches into; its array is cut at their bounds,
-    so pieces are shuffled, at most one for each row and block bound, not tokens.
+    Rows are strung together as the sort's partitions go by; their places among all tokens say which blocks they hold
+    whole, so only what is over at the ends of these runs is shuffled to meet. With an expression for ``tokens`` it is worked out after the sort.
     """
-    total = df.agg(F.coalesce(F.sum(F.size(tokens).cast("long")), F.lit(0)).alias("total"))
-    n = F.size(tokens)
-    placed = places(df.select(key, tokens).where(n > 0), [F.col(key)], "start", n)
-    cut = placed.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + n - 1) / block))))
-    begin, end = F.greatest("start", F.col("block_no") * block), F.least(F.col("start") + n, (F.col("block_no") + 1) * block)
-    piece = F.slice(tokens, (begin - F.col("start") + 1).cast("int"), (end - begin).cast("int"))
-    pieces = cut.select("block_no", F.struct(begin.alias("at"), piece.alias("piece")).alias("p"))
-    blocks = pieces.groupBy("block_no").agg(F.flatten(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["piece"])).alias("tokens"))
-    return blocks.crossJoin(F.broadcast(total)).where((F.size("tokens") == block) | (F.col("total") < block)).drop("total")  # one row
+    runs, total = strung(df, [F.col(key)], F.col(tokens) if isinstance(tokens, str) else tokens, STRUNG * block)
+    start, end = F.col("start"), F.col("start") + F.size("items")
+    first, last_ = F.floor(start / block), F.floor((end - 1) / block)
+    whole = lambda k: (k * block >= start) & ((k + 1) * block <= end)
+
+    def cut(numbers: Column) -> DataFrame:
+        begin = lambda k: F.greatest(start, k * block)
+        piece = lambda k: F.slice("items", (begin(k) - start + 1).cast("int"), (F.least(end, (k + 1) * block) - begin(k)).cast("int"))
+        pieces = F.transform(numbers, lambda k: F.struct(k.alias("block_no"), begin(k).alias("at"), piece(k).alias("piece")))
+        return runs.select(F.explode(pieces).alias("p")).select("p.*")
+
+    inner = cut(F.filter(F.sequence(first, last_), whole)).select("block_no", F.col("piece").alias("tokens"))
+    ends = cut(F.filter(F.array_distinct(F.array(first, last_)), lambda k: ~whole(k)))
+    met = ends.groupBy("block_no").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "piece"))), lambda p: p["piece"])).alias("tokens"))
+    return inner.unionAll(met if total < block else met.where(F.size("tokens") == block))
 
 
 def mini_batches(df: DataFrame, order: str, buffer: int, size: int, place: Column | None = None) -> DataFrame:

@@ -79,13 +79,49 @@ def places(df: DataFrame, order: list[Column], place: str = "place", size: Colum
     if size is not None:
         rows = rows.mapInArrow(_sums_before, StructType([*rows.schema.fields, StructField("_b", LongType())]))
     rows = Scratch(spark).keep(rows, "sorted").withColumn("_p", F.shiftright("_m", PLACE_BITS))
+    known, _ = _begun(rows, F.count("*") if size is None else F.sum("_size"))
+    before = _in_partition() if size is None else F.col("_b")
+    return rows.join(known, "_p").withColumn(place, F.col("_o") + before).drop("_p", "_o", "_b", "_m", "_size")
+
+
+def _begun(rows: DataFrame, size: Column) -> tuple[DataFrame, int]:
+    """(_p, _o), to be broadcast: the sum of ``size`` over all partitions before each; and over all."""
     total, offsets = 0, []
-    for r in sorted(rows.groupBy("_p").agg((F.count("*") if size is None else F.sum("_size")).alias("s")).collect(), key=lambda r: r["_p"]):
+    for r in sorted(rows.groupBy("_p").agg(size.alias("s")).collect(), key=lambda r: r["_p"]):
         offsets.append((r["_p"], total))
         total += r["s"]
-    known = F.broadcast(spark.createDataFrame(offsets, "_p long, _o long"))
-    before = _in_partition() if size is None else F.col("_b")
-    return rows.join(known, "_p").withColumn(place, F.col("_o") + before).drop("_p", "_o", "_b", "_m", "_size")
+    return F.broadcast(rows.sparkSession.createDataFrame(offsets, "_p long, _o long")), total
+
+
+def strung(df: DataFrame, order: list[Column], items: Column, least: int) -> tuple[DataFrame, int]:
+    """(items, start) and the number of all items: arrays of rows that follow each other in ``order`` strung
+    together to some ``least`` items a row, with the place of a row's first item among all. The arrays are made after the sort, so
+    what they are made of is shuffled, once; they are written."""
+    rows = df.sort(*order).select(items.alias("items"))
+    kind = StructType([rows.schema["items"], StructField("_size", LongType()), StructField("_b", LongType())])
+    rows = Scratch(df.sparkSession).keep(rows.mapInArrow(_string(least), kind).withColumn("_p", F.spark_partition_id().cast("long")), "strung")
+    known, total = _begun(rows, F.sum("_size"))
+    return rows.join(known, "_p").select("items", (F.col("_o") + F.col("_b")).alias("start")), total
+
+
+def _string(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            arrays = batch.column(0)
+            sizes = pc.fill_null(pc.list_value_length(arrays), 0).to_numpy(zero_copy_only=False)
+            full = np.flatnonzero(sizes)
+            if not len(full):
+                continue
+            ends = np.cumsum(sizes[full], dtype=np.int64)
+            last = np.flatnonzero(np.diff((ends - sizes[full]) // least, append=-1))
+            ends = ends[last]
+            own = np.diff(ends, prepend=0)
+            out = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), arrays.flatten())
+            yield pa.RecordBatch.from_arrays([out, pa.array(own, pa.int64()), pa.array(total + ends - own, pa.int64())], names=["items", "_size", "_b"])
+            total += int(ends[-1])
+
+    return run
 
 
 def _in_partition() -> Column:

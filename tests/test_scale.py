@@ -274,3 +274,17 @@ def test_only_what_a_search_can_open_is_ranked(spark, monkeypatch):
     near = {r.node: [x.neighbour for x in r.actions] for r in search.neighbourhoods(edges, seeds, max_depth=5).collect()}
     assert {n: sorted(x) for n, x in near.items()} == {"a": ["b"], "b": ["a", "c"], "c": ["b", "d"], "d": ["c", "e"]}
     assert {r.node for df in ranked for r in df.select("node").collect()} == set("abcd")
+
+
+def test_pack_makes_tokens_after_the_sort(spark):
+    """Tokens by an expression, null and empty rows among them: rows are strung together in order, and few pieces are left to meet."""
+    from quillgraph.tables import strung
+
+    texts = {k: None if k % 7 == 0 else " ".join(f"w{k}_{i}" for i in range(k % 5)) for k in range(400)}
+    want = [w for k in sorted(texts) for w in (texts[k] or "").split()]
+    df = spark.createDataFrame(list(texts.items()), "k long, t string").repartition(6)
+    got = {r.block_no: r.tokens for r in sft.pack(df, "k", sft.words(F.col("t")), 8).collect()}
+    assert got == {i // 8: want[i : i + 8] for i in range(0, len(want) // 8 * 8, 8)}
+    runs, total = strung(df, [F.col("k")], sft.words(F.col("t")), 20)
+    runs = sorted(runs.collect(), key=lambda r: r.start)
+    assert total == len(want) and [w for r in runs for w in r["items"]] == want and len(runs) <= total // 20 + 30
