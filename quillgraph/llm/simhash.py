@@ -168,7 +168,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     differ in at most two bits of one of them meet (in the middle, as in ``links``). All that meet at a value or have one hash are first
     compared with the least there: by all their sketches' bits, of which a quarter may differ, and
     what is left by their shingles, exactly; only then they link. What does not link with the least one is
-    compared with all that it meets, that is not in one component with it by then (``_others``) and that shares one of its rarest shingles, as texts of
+    compared with all that it meets and may be alike, by how far both are from the least (``_apart``), that is not in one component with it by then (``_others``) and that shares one of its rarest shingles, as texts of
     that similarity do (``_sharing``). So neither a group of near copies nor one of texts just too far apart makes pairs
     with its square, and no link between texts that meet is lost. No text below the similarity links, and of those above
     it nearly all meet: see README for measurements.
@@ -207,15 +207,21 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     of = lambda side: classes.select(F.col("own").alias(side), F.col("sketch").alias(f"of_{side}"))
     differ = F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     apart = F.aggregate(differ, F.lit(0), lambda s, x: s + x)
-    alike = lambda pairs: pairs.join(of("a"), "a").join(of("b"), "b").where(4 * apart <= bits * tables)
+    most = bits * tables // 4
+    sketches = lambda pairs: pairs.join(of("a"), "a").join(of("b"), "b")
     wanted = lambda pairs: _ends(pairs).distinct().join(classes.select("own", "h1", "h2"), "own")
-    close = scratch.keep(alike(same.select("a", "b").unionAll(near).distinct()).select("a", "b"), "pairs")
-    linked = scratch.keep(_similar(close, _sets(texts, wanted(close), words, scratch), least), "links")
-    others = _others(same, met, parts, classes, linked, scratch)
+    measured = scratch.keep(sketches(same.select("a", "b").unionAll(near).distinct()).select("a", "b", apart.alias("bits")), "pairs")
+    close = measured.where(F.col("bits") <= most).select("a", "b")
+    sets = _sets(texts, wanted(close), words, scratch)
+    linked = scratch.keep(_similar(close, sets, least), "links")
+    scratch.drop(sets)
+    others = _others(same, met, parts, classes, linked, measured, most, scratch)
+    scratch.drop(parts, values, same, met, measured)
     if others is not None:
         sets = _sets(texts, others.select("own", "h1", "h2"), words, scratch)
-        more = alike(_sharing(others, sets, least, scratch)).where(F.array_min(differ) <= 2).select("a", "b")
-        linked = linked.unionAll(_similar(scratch.keep(more, "pairs"), sets, least))
+        more = sketches(_sharing(others, sets, least, scratch)).where((apart <= most) & (F.array_min(differ) <= 2)).select("a", "b")
+        linked = linked.unionAll(scratch.keep(_similar(scratch.keep(more, "pairs"), sets, least), "links"))
+        scratch.drop(sets)
     found = components(linked, scratch)
     group = scratch.keep(classes.join(found, classes.own == found.node, "left").select("h1", "h2", "own", "first", "n", F.coalesce("component", "own").alias("root")), "groups")
     best = group.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("size"))
@@ -227,24 +233,47 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("own")).unionAll(pairs.select("b"))
 
 
-def _others(same: DataFrame, met: DataFrame, parts: DataFrame, classes: DataFrame, linked: DataFrame, scratch: Scratch) -> DataFrame | None:
+def _others(same: DataFrame, met: DataFrame, parts: DataFrame, classes: DataFrame, linked: DataFrame, measured: DataFrame, most: int, scratch: Scratch) -> DataFrame | None:
     """The texts (own, h1, h2, root, asks) that links to the least ones leave open: a text that does not link with the least of its hash,
-    and all texts of a hash whose least does not link with the least at a value, ask; those that
+    and all texts of a hash that ``_apart`` says, ask; those that
     meet them there may answer; root is the component that a text has already. None if no text asks."""
-    own = ["a", "b"]
-    lone = scratch.keep(same.join(linked, own, "left_anti").select("fp", F.col("b").alias("own")), "outliers")
-    apart = scratch.keep(met.where("a < least").withColumnRenamed("least", "b").join(linked, own, "left_anti").select("value", "fp"), "outliers")
-    if lone.isEmpty() and apart.isEmpty():
-        return None
+    lone = scratch.keep(same.join(linked, ["a", "b"], "left_anti").select("fp", F.col("b").alias("own")), "outliers")
     found = components(linked, scratch)
+    apart = scratch.keep(_apart(same, met, linked, measured, found, most), "outliers")
+    if lone.isEmpty() and apart.where("asks").isEmpty():
+        return None
     of = lambda fps: parts.join(fps.distinct(), "fp", "left_semi").select("own")
-    asking = of(apart.select("fp")).unionAll(lone.select("own")).distinct().withColumn("asks", F.lit(True))
-    where = apart.select("value").unionAll(met.join(lone.select("fp").distinct(), "fp", "left_semi").select("value")).distinct()
-    there = of(met.join(where, "value", "left_semi").select("fp").unionAll(lone.select("fp"))).distinct()
+    asking = of(apart.where("asks").select("fp")).unionAll(lone.select("own")).distinct().withColumn("asks", F.lit(True))
+    there = apart.join(apart.where("asks").select("value").distinct(), "value", "left_semi").select("fp")
+    around = met.join(lone.select("fp").distinct(), "fp", "left_semi").select("value").distinct()
+    there = of(there.unionAll(met.join(around, "value", "left_semi").select("fp")).unionAll(lone.select("fp"))).distinct()
     texts = there.join(asking, "own", "left").join(classes.select("own", "h1", "h2"), "own").join(found, F.col("own") == F.col("node"), "left")
     return scratch.keep(texts.select("own", "h1", "h2", F.coalesce("component", "own").alias("root"), F.coalesce("asks", F.lit(False)).alias("asks")), "open")
 
 
+def _apart(same: DataFrame, met: DataFrame, linked: DataFrame, measured: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """The hashes at a value (value, fp, asks) of which texts may be alike that have not been compared; those whose least does not link with the least there ask.
+
+    Differing bits are a metric, and all at a value have been measured from the least one there: two hashes whose least ones are not about as far from it
+    hold no alike texts (``most`` bits, and as many as a hash's texts are from its least). So where unlike texts
+    meet by chance, as do the more the more texts there are, nothing is open; nor where all that meet are in one component. The least one of all has been compared and does not count, but
+    others of its hash do.
+    """
+    wide = same.join(measured, ["a", "b"]).groupBy("fp").agg(F.max("bits").alias("wide"))
+    known = measured.join(linked.withColumn("links", F.lit(True)), ["a", "b"], "left").withColumnRenamed("b", "least")
+    at = met.join(wide, "fp", "left").join(found, F.col("least") == F.col("node"), "left").join(known, ["a", "least"], "left")
+    at = at.where((F.col("a") < F.col("least")) | F.col("wide").isNotNull())
+    asks = (F.col("a") < F.col("least")) & F.col("links").isNull()
+    at = at.select("value", "fp", asks.alias("asks"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("bits", "wide")), F.coalesce("component", "least").alias("root"))
+    there = Window.partitionBy("value")
+    below, above = there.orderBy("bits", "fp"), there.orderBy(F.desc("bits"), F.desc("fp"))
+    step = lambda line: F.when(F.lag("root").over(line) != F.col("root"), F.lag("bits").over(line))
+    at = at.withColumns({"low": step(below), "high": step(above), "widest": F.max("wide").over(there)})
+    low, high = (F.last(c, ignorenulls=True).over(line) for c, line in (("low", below), ("high", above)))  # of another component
+    at = at.withColumn("nearest", F.least(F.col("bits") - low, high - F.col("bits")))
+    return at.where(F.col("nearest") <= most + F.col("wide") + F.col("widest")).select("value", "fp", "asks")
+
+
 def _sharing(texts: DataFrame, sets: DataFrame, least: tuple[int, int], scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of a text that asks and one that may answer, not in one component, that share one of their rarest shingles.
 

@@ -567,6 +567,28 @@ def test_texts_just_too_far_apart_make_few_pairs(spark, monkeypatch):
     assert sum(counted) < 3 * len(rows)
 
 
+def test_unlike_texts_that_meet_by_chance_open_nothing(spark, monkeypatch):
+    """Texts that differ in half the bits of all sketches but have a value in common, as more do the more texts there are, are not looked into again."""
+    rng = random.Random(23)
+    base = [noise(rng, 60) for _ in range(40)]
+    far, place, opened, others = [rng.getrandbits(24) for _ in range(20)], {}, [], simhash._others
+    rows = [(10 * g + i, f"{text} end{i}" if i else text, "a") for g, text in enumerate(base) for i in range(3)]
+    for i, text, _ in rows:
+        g = i // 10  # two unlike families meet in the first table
+        place[text] = [far[g // 2] << 8 | g % 2 << 4 | i % 10, *(place[base[g]][1:] if i % 10 else [rng.getrandbits(32) for _ in range(9)])]
+
+    def seen(*args):
+        out = others(*args)
+        opened.append(out.count() if out is not None else 0)
+        return out
+
+    monkeypatch.setattr(simhash, "sketch", lambda data, width, tables, bits: place[data.decode()])
+    monkeypatch.setattr(simhash, "_others", seen)
+    got = {r.id: r.component for r in simhash.near_copies(documents(spark, rows, clash=False), bits=32).collect()}
+    assert got == {i: i // 10 * 10 for i, _, _ in rows}
+    assert opened == [0]
+
+
 def test_sketches_and_tables():
     rng = random.Random(1)
     words = [w.encode() for w in noise(rng, 40).split()]
