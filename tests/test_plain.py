@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import models
 from quillgraph.operators import entropy, graph, retrieval
-from quillgraph.plans import catalogue
+from quillgraph.plans import catalogue, kg
 from quillgraph.tables import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -233,10 +233,29 @@ def test_merge_rounds(spark, seed, joining):
     one_task = entropy.entropy_2d(df, entropy.minimise_2d(df)).first().entropy
     assert entropy.entropy_2d(df, entropy.merge_rounds(df)).first().entropy < one_task * 1.01
     assert entropy.merge_deltas(df, found).agg(F.min("delta")).first()[0] > -1e-6
+    once = df.groupBy("source", "edge_type", "target").agg(F.sum("weight").alias("weight"))
+    assert {r.node: r.comm for r in entropy.merge_rounds(once, distinct=True, joining=joining).collect()} == plain_rounds(edges, joining)
     assert entropy.merge_rounds(df.where("false")).count() == 0
     assert [tuple(r) for r in entropy.merge_rounds(df.where("source = 'alone'")).collect()] == [("alone", "alone")]
 
 
+def test_simple_edges(spark, tmp_path):
+    """Equal to the simple graph of all edges, also where keys are missing or repeated; the supplies are brought together by their keys only."""
+    for t in ("nation", "customer"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    suppliers, rows = spark.read.parquet(f"{SF}/supplier.parquet"), spark.read.parquet(f"{SF}/lineitem.parquet").limit(300)
+    blank = lambda df, *keys: df.limit(3).withColumns({k: F.lit(None).cast(df.schema[k].dataType) for k in keys})
+    suppliers.unionAll(suppliers.limit(2)).unionAll(blank(suppliers, "s_nationkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    ours = rows.withColumn("l_suppkey", F.lit(suppliers.first().s_suppkey).cast(rows.schema["l_suppkey"].dataType))
+    odd = blank(rows, "l_suppkey").unionAll(blank(ours, "l_partkey")).unionAll(blank(rows, "l_suppkey", "l_partkey"))
+    rows.unionAll(odd).write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = graph.simple(kg.edges(spark, str(tmp_path)))
+    got = kg.simple_edges(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    assert "hashpartitioning(l_suppkey" in plan and sum("Exchange hashpartitioning(a#" in x for x in plan.split("\n")) <= 1
+
+
 def test_greedy_query_is_a_minimum(spark):
     """The rounds of the plain rule over the whole graph; no merge is left that lowers the entropy."""
     found = catalogue.QUERIES["q_se_2d_greedy"](spark, SF)
