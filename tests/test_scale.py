@@ -211,6 +211,16 @@ def test_hops_around_a_hub(spark, monkeypatch, hops, listed):
         assert max(written) < 600  # of 7,000 rows of the result
 
 
+def test_hops_around_hubs_take_few_bytes(spark, tmp_path):
+    """Leaves of 20 hubs to one another, 3.2 million rows: written as runs, not as places in a table of values for each row."""
+    edges = spark.range(8000).select(F.concat(F.lit("leaf"), F.col("id")).alias("source"), F.lit("E").alias("edge_type"), F.concat(F.lit("H"), F.col("id") % 20).alias("target"), F.lit(1.0).alias("weight"))
+    graph.k_hop(edges, edges.select(F.col("source").alias("seed")), 2, keep_last=False).write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    want = {"n": 8000 * 401, "each": 8000 * 401, "zero": 8000, "one": 8000}
+    assert out.agg(F.count("*").alias("n"), F.count_distinct("seed", "node").alias("each"), F.count_if(F.col("distance") == 0).alias("zero"), F.count_if(F.col("distance") == 1).alias("one")).first().asDict() == want
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < want["n"]
+
+
 def test_paths_across_a_hub(spark, monkeypatch):
     """Every leaf to both hubs: their leaves are looked at from the hubs, not from every leaf."""
     edges, away = hubs(spark)
