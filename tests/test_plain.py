@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillgraph import models
+from quillgraph import models, tables
 from quillgraph.operators import entropy, graph, retrieval
 from quillgraph.plans import catalogue, kg
 from quillgraph.tables import Scratch
@@ -239,6 +239,22 @@ def test_merge_rounds(spark, seed, joining):
     assert [tuple(r) for r in entropy.merge_rounds(df.where("source = 'alone'")).collect()] == [("alone", "alone")]
 
 
+@pytest.mark.parametrize("hot", [0, 20, 10_000])
+def test_merge_rounds_of_large_tables(spark, monkeypatch, hot):
+    """Equal to the plain rule where tables are too large to send and hubs' links go in parts; links and communities are not sent, however small their files."""
+    rng = random.Random(hot)
+    edges = [(f"n{a}", f"n{b}", float(rng.randint(1, 6))) for a, b in {tuple(sorted(rng.sample(range(40), 2))) for _ in range(90)}]
+    edges += [("hub", f"leaf{i}", 1.0) for i in range(30)] + [("hub", "n1", 2.0), ("n3", "n3", 5.0), ("alone", "alone", 1.0)]
+    monkeypatch.setattr(tables, "SENT", 5, raising=False)
+    monkeypatch.setattr(entropy, "HOT", hot, raising=False)
+    plans, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name="table": [keep(self, df, name), plans.append((name, df._jdf.queryExecution().executedPlan().toString()))][0])
+    df = spark.createDataFrame([(a, "r", b, w) for a, b, w in edges], "source string, edge_type string, target string, weight double")
+    assert {r.node: r.comm for r in entropy.merge_rounds(df, distinct=True).collect()} == plain_rounds(edges, 65_536)
+    first = next(plan for name, plan in plans if name == "choices")
+    assert "SortMergeJoin" in first and not [x for x in first.split("\n") if "BroadcastHashJoin" in x and "Inner" in x]
+
+
 def test_simple_edges(spark, tmp_path):
     """Equal to the simple graph of all edges, also where keys are missing or repeated; the supplies are brought together by their keys only."""
     for t in ("nation", "customer"):
